@@ -10,8 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import let, space_punct
+from spanloom.functions.text import let, result_key, space_punct
 from spanloom.ontology import Ontology, starter_ontology
+from spanloom.operators.parse import detect, structure_modes
+from spanloom.operators.spans import enrich, weave
 from spanloom.schema import ENTITY, EVENT
 from spanloom.session import materialise
 
@@ -139,3 +141,81 @@ def shared(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
 
 def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared(spark, sf_dir, "corpus", lambda: build_corpus(table(spark, sf_dir, "documents")))
+
+
+# ---- model outputs derived from the corpus ----------------------------------------------------
+def build_outputs(corpus_df: DataFrame, ontology: Ontology | None = None) -> DataFrame:
+    """Linearised predictions of every task per sentence, edited so that parsers meet errors.
+
+    The direct (``e2e``) outputs use the same edits shifted by one, so that the modes differ.  Edits by
+    event position ``p``: drop, change the type, append a word to arguments, swap the first two events.
+    """
+    onto = ontology or starter_ontology()
+    first4 = {ds: list(onto.roles[ds])[:4] for ds in LANG_DATASET.values()}
+    types_of = F.create_map(*[x for ds, ts in first4.items() for x in (F.lit(ds), F.array(*[F.lit(t) for t in ts]))])
+    m = F.col("src_id") * 1000 + F.col("sid") % 100000
+    types = types_of[F.col("dataset")]
+
+    def edited(q):
+        def one(x, p):
+            at = F.array_position(types, x["type"]).cast("int") - 1
+            etype = F.when((q + p) % 7 == 0, F.get(types, (at + 1) % 4)).otherwise(x["type"])
+            return F.when((q + p) % 5 != 0, F.struct(
+                p.alias("p"), x["text"].alias("text"), etype.alias("type"),
+                F.transform(F.filter(x["args"], lambda a: a["text"] != ""), lambda a: F.struct(
+                    F.when((q + p) % 6 == 0, F.concat(a["text"], F.lit(" zzz"))).otherwise(a["text"]).alias("text"),
+                    a["role"].alias("role"))).alias("args")))
+        kept = F.filter(F.transform("uspans", one), lambda x: x.isNotNull())
+        return let(kept, lambda k: F.when(
+            (q % 13 == 0) & (F.size(k) > 1), F.concat(F.array(F.get(k, F.lit(1)), F.get(k, F.lit(0))), F.slice(k, F.lit(3), F.size(k)))
+        ).otherwise(k))
+
+    def extraction(q):
+        def one(x):
+            args = F.transform(x["args"], lambda a: F.concat(F.lit("argument> "), a["text"], F.lit(">="), a["role"]))
+            none = F.when((q + x["p"]) % 2 == 0, F.array(F.lit("None=Time"))).otherwise(F.array().cast("array<string>"))
+            return F.concat(F.lit("trigger> "), x["text"], F.lit(">="), x["type"], F.lit(": "), F.array_join(F.concat(args, none), " | "))
+        return one
+
+    def whole(x):
+        head = F.concat(F.lit("trigger>"), x["text"], F.lit(">="), x["type"])
+        args = F.transform(x["args"], lambda a: F.concat(F.lit("argument>"), a["text"], F.lit(">="), a["role"]))
+        return F.array_join(F.concat(F.array(head), args), " | ")
+
+    def reference(x):
+        args = F.transform(F.filter(x["args"], lambda a: a["text"] != ""), lambda a: F.concat(
+            F.lit("argument> "), a["text"], F.lit(">="), a["role"]))
+        return F.concat(F.lit("trigger> "), x["text"], F.lit(">="), x["type"], F.lit(": "), F.array_join(args, " | "))
+
+    return (
+        enrich(corpus_df).where(F.size("uspans") > 0)
+        .withColumn("m", m)
+        .withColumn("a", edited(F.col("m"))).withColumn("b", edited(F.col("m") + 1))
+        .select(
+            "dataset", "split", "doc_id", "sid", "src_id", "m", F.col("plain").alias("source"),
+            F.array_join(F.transform("a", lambda x: F.concat(x["text"], F.lit("="), x["type"])), " | ").alias("tc_pipeline"),
+            F.array_join(F.transform("b", lambda x: F.concat(F.lit("trigger> "), x["text"], F.lit(">="), x["type"])), " | ").alias("tc_e2e"),
+            F.array_join(F.transform("b", whole), " || ").alias("e2e_text"),
+            F.transform("a", extraction(F.col("m"))).alias("ae_pipeline"),
+            F.transform("b", extraction(F.col("m") + 1)).alias("ae_e2e"),
+            weave(F.col("tokens"), F.col("uspans"), lambda t, i: F.concat(F.lit("trigger> "), t, F.lit(">"))).alias("ti"),
+            F.transform(F.filter("mentions", lambda x: x["valid"] & (x["n_args"] > 0)), reference).alias("ae_refs"))
+        .withColumn("ae_merged", F.concat("ae_pipeline", "ae_e2e"))
+    )
+
+
+def outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared(spark, sf_dir, "outputs", lambda: build_outputs(corpus(spark, sf_dir)))
+
+
+def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Analysis runs: one row per sentence with events of every mode."""
+    def build():
+        df = structure_modes(detect(outputs(spark, sf_dir)))
+        model = F.when(F.col("src_id") % 3 == 0, "cross-domain").otherwise("domain-specific")
+        return df.select(
+            result_key(F.col("doc_id"), F.col("dataset"), model, F.col("source")).alias("result_key"),
+            "doc_id", "dataset", model.alias("model_type"), "source", "sid", "src_id",
+            F.timestamp_seconds(F.lit(1704067200) + F.col("src_id") * 60).alias("analyzed_at"),
+            "pipeline", "e2e", "merged", "complete_e2e")
+    return shared(spark, sf_dir, "runs", build)
