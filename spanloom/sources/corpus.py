@@ -58,9 +58,9 @@ def write_corpus(corpus: DataFrame, root: str, split_group: str = "split1") -> N
             "tokens", "event_mentions", "entity_mentions").write.mode("overwrite").json(f"{root}/{ds}/{split_group}/{schema.SPLIT_FILES[split]}")
 
 
-def read_results(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of documents per file, or one document per line."""
-    return spark.read.option("multiLine", True).schema(schema.RESULT_ITEM).json(path)
+def read_results(spark: SparkSession, path: str, array: bool = True) -> DataFrame:
+    """A JSON array of documents per file; ``array=False`` reads what :func:`write_results` writes, which splits."""
+    return spark.read.option("multiLine", array).schema(schema.RESULT_ITEM).json(path)
 
 
 def write_results(items: DataFrame, path: str) -> None:

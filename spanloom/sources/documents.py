@@ -7,6 +7,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from spanloom.functions.text import first_truthy
 from spanloom.operators.insights import RECORD_ALIASES
@@ -31,7 +32,7 @@ def jsonl_uploads(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_path").alias("upload"), F.monotonically_increasing_id().alias("pos"), F.try_parse_json("value").alias("doc"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def decode_values(content: pd.Series) -> pd.Series:
     """The JSON values of a text, one or several in a row; NULL when it does not parse."""
     decoder = json.JSONDecoder()
@@ -79,9 +80,11 @@ def strict(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     made up, ``doc_id`` stands in for ``id``, and one document without text refuses the whole upload.
     """
     lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    whole = uploads.withColumn("v", F.try_parse_json("content"))
-    whole = whole.withColumn("_obj", _object(F.col("v"))).withColumn(
-        "docs", F.when(F.col("v").isNull(), F.transform(lines, lambda x: F.try_parse_json(x))).otherwise(
+    # parse_json stops after the first value, so lines are recognised by looking at each of them.
+    whole = uploads.withColumn("_lines", lines).withColumn("_obj", _object(F.try_parse_json("content"))).withColumn(
+        "_jsonl", (F.size("_lines") > 1) & F.forall("_lines", lambda x: F.coalesce(_kind(F.try_parse_json(x)) == "object", F.lit(False))))
+    whole = whole.withColumn(
+        "docs", F.when(F.col("_jsonl"), F.transform("_lines", lambda x: F.try_parse_json(x))).otherwise(
             F.try_variant_get(F.try_element_at("_obj", F.lit("documents")), "$", _LIST)))
     objs = F.transform("docs", _object)
     whole = whole.withColumn("_docs", objs).withColumn(
