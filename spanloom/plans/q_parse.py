@@ -169,7 +169,12 @@ query("t9_positions", """SELECT doc_id, count(*) AS n, min(p0) AS first, max(p0)
     lambda spark, sf: table(spark, sf, "documents").select("doc_id", O.substring_positions(F.col("text"), F.lit("en")).alias("ps")).where(F.size("ps") > 0).select(
         "doc_id", F.size("ps").cast("long").alias("n"), F.element_at("ps", 1).cast("long").alias("first"), F.element_at("ps", -1).cast("long").alias("last")))
 
-query("t10_word_positions", sql("""SELECT doc_id, p, string_agg(st, ' ' ORDER BY st) AS positions FROM us JOIN runs USING (sid) WHERE run = txt GROUP BY ALL""", "us", "out", "runs"))(
+query("t10_word_positions", sql(f"""SELECT doc_id, p, string_agg(st, ' ' ORDER BY st) AS positions FROM (
+      SELECT us.doc_id, us.p, st FROM us JOIN runs USING (sid) WHERE run = txt
+      UNION ALL SELECT doc_id, p, unnest(list_filter(range(0, length(plain) - length(txt) + 1), lambda i: substring(plain, i + 1, length(txt)) = txt
+        AND regexp_matches(CASE WHEN i = 0 THEN '' ELSE substring(plain, i, 1) END, '^{W}') <> regexp_matches(txt, '^{W}')
+        AND regexp_matches(substring(plain, i + 1 + length(txt), 1), '^{W}') <> regexp_matches(txt, '{W}$')))
+      FROM (SELECT us.*, plain FROM us JOIN (SELECT sid, plain FROM src) USING (sid)) WHERE NOT contains(txt, ' ') AND NOT regexp_matches(txt, '^{W}+$')) GROUP BY ALL""", "us", "out", "runs"))(
     lambda spark, sf: _gold_spans(spark, sf).select("doc_id", "p", O.word_positions(F.col("source"), F.col("text")).alias("ps")).where(
         (F.size("ps") > 0)).select("doc_id", "p", F.array_join(F.transform("ps", lambda x: x.cast("string")), " ").alias("positions")))
 
