@@ -19,23 +19,33 @@ def drop_null_pairs(instances: DataFrame) -> DataFrame:
     return instances.dropna(subset=["input", "output"])
 
 
-def row_index(df: DataFrame, group: list[str], key: str, bucket: int = 1 << 20, name: str = "idx") -> DataFrame:
+def row_index(df: DataFrame, group: list[str], key: str, name: str = "idx", bits: int = 20, total: str | None = None) -> DataFrame:
     """0-based position within ``group`` by the unique integer ``key``, without one task per group.
 
+    ``total`` names a column for the size of the group.
+
     A plain ``row_number`` over a group puts the whole group in one task, and a group may hold a third
-    of all rows.  Here a row's position is its rank inside a key range (at most ``bucket`` rows, as the
-    key is unique) plus the number of rows in earlier ranges, which a small per-range table provides.
+    of all rows.  Here the key is read as digits of ``bits`` bits: a row's position is its rank among
+    keys that share all but the last digit, plus the rows in earlier such ranges of the same block, plus
+    the rows in earlier blocks.  As keys are unique, no window sees more than ``2**bits`` rows at the
+    first two levels, however dense or sparse the keys are.
     """
-    ranged = df.withColumn("_range", F.floor(F.col(key) / bucket))
-    counts = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*group, "_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy(*group, "_range").orderBy(key)
+    ranged = df.withColumn("_range", F.shiftright(F.col(key).cast("long"), bits))
+    ranges = ranged.groupBy(*group, "_range").agg(F.count("*").alias("_n")).withColumn("_block", F.shiftright("_range", bits))
+    blocks = ranges.groupBy(*group, "_block").agg(F.sum("_n").alias("_n"))
+
+    def before(part: list[str], order: str):
+        w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(w), F.lit(0))
+
+    sizes = [F.sum("_n").over(Window.partitionBy(*group)).alias(total)] if total else []
+    first = blocks.select(*group, "_block", before(group, "_block").alias("_before"), *sizes)
+    starts = ranges.withColumn("_inside", before([*group, "_block"], "_range")).join(first, [*group, "_block"]).select(
+        *group, "_range", (F.col("_before") + F.col("_inside")).alias("_start"), *([total] if total else []))
+    rank = F.row_number().over(Window.partitionBy(*group, "_range").orderBy(key))
     return (
-        ranged.withColumn("_rank", F.row_number().over(inside))
-        .join(starts, group + ["_range"])
-        .withColumn(name, F.col("_start") + F.col("_rank") - 1)
-        .drop("_range", "_rank", "_start")
+        ranged.withColumn("_rank", rank).join(starts, [*group, "_range"])
+        .withColumn(name, F.col("_start") + F.col("_rank") - 1).drop("_range", "_rank", "_start")
     )
 
 
@@ -60,12 +70,8 @@ def prefix_fraction(instances: DataFrame, amount: float | None, key: str, group=
     """The first ``int(n * amount)`` rows of each group."""
     if amount is None:
         return instances
-    group = list(group)
-    sizes = instances.groupBy(*group).agg(F.count("*").alias("_total"))
-    return (
-        row_index(instances, group, key, name="_at").join(sizes, group)
-        .where(F.col("_at") < F.floor(F.col("_total") * F.lit(float(amount)))).drop("_at", "_total")
-    )
+    placed = row_index(instances, list(group), key, name="_at", total="_total")
+    return placed.where(F.col("_at") < F.floor(F.col("_total") * F.lit(float(amount)))).select(*instances.columns)
 
 
 def amount_compat(instances: DataFrame, amount: float | None, key: str) -> DataFrame:

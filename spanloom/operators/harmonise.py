@@ -160,13 +160,12 @@ def tag_types(events: DataFrame, ontology: Ontology) -> DataFrame:
     spark = events.sparkSession
     dim = ontology.dim_event_tags(spark)
     types = events.select("dataset", "event_type").where(truthy(F.col("event_type")).isNotNull()).distinct()
-    cands = types.select("dataset", "event_type", F.posexplode(F.array(
+    anywhere = dim.groupBy("event_type").agg(F.min_by("tag", "ds_ord").alias("any_tag"))
+    cands = types.join(anywhere, "event_type", "left").select("dataset", "event_type", "any_tag", F.posexplode(F.array(
         F.col("event_type"), F.lower("event_type"), F.upper("event_type"), F.translate("event_type", ":/-", "___"))).alias("prio", "key"))
-    own = cands.join(dim.select("dataset", F.col("event_type").alias("key"), "tag"), ["dataset", "key"]).select(
-        "dataset", "event_type", "prio", "tag")
-    any_dim = dim.groupBy("event_type").agg(F.min_by("tag", "ds_ord").alias("tag"))
-    other = types.join(any_dim, "event_type").select("dataset", "event_type", F.lit(9).alias("prio"), "tag")
-    best = own.unionByName(other).groupBy("dataset", "event_type").agg(F.min_by("tag", "prio").alias("tag"))
+    own = cands.join(dim.select("dataset", F.col("event_type").alias("key"), "tag"), ["dataset", "key"], "left")
+    best = own.groupBy("dataset", "event_type").agg(F.coalesce(
+        F.min_by("tag", F.when(F.col("tag").isNotNull(), F.col("prio"))), F.first("any_tag")).alias("tag"))
     return events.join(best, ["dataset", "event_type"], "left").withColumn(
         "tag", F.coalesce("tag", truthy(F.col("event_type")), F.lit("Unknown")))
 

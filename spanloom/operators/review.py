@@ -130,8 +130,7 @@ def attach_decisions(records: DataFrame, log: DataFrame) -> DataFrame:
 
 def navigation(records: DataFrame, group: list[str], key: str) -> DataFrame:
     """Each record's cursor within ``group`` and the cursors before and after it, clamped to the range."""
-    sizes = records.groupBy(*group).agg(F.count("*").alias("_n"))
-    return row_index(records, group, key, name="cursor").join(sizes, group).select(
+    return row_index(records, group, key, name="cursor", total="_n").select(
         *records.columns, "cursor", F.greatest(F.col("cursor") - 1, F.lit(0)).alias("previous"),
         F.least(F.col("cursor") + 1, F.col("_n") - 1).alias("next"))
 

@@ -102,7 +102,7 @@ def test_unified_roles(spark):
 
 def test_row_index_spreads_a_hot_group(spark):
     df = spark.range(5000).withColumn("g", F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 50).cast("string")))
-    got = assemble.row_index(df, ["g"], "id", bucket=256)
+    got = assemble.row_index(df, ["g"], "id", bits=4)
     want = {}
     for r in sorted(got.collect(), key=lambda r: r.id):
         assert r.idx == want.get(r.g, 0)
