@@ -130,9 +130,9 @@ def attach_decisions(records: DataFrame, log: DataFrame) -> DataFrame:
 
 def navigation(records: DataFrame, group: list[str], key: str) -> DataFrame:
     """Each record's cursor within ``group`` and the cursors before and after it, clamped to the range."""
-    return row_index(records, group, key, name="cursor", total="_n").select(
+    return row_index(records, group, key, name="cursor", total="_size").select(
         *records.columns, "cursor", F.greatest(F.col("cursor") - 1, F.lit(0)).alias("previous"),
-        F.least(F.col("cursor") + 1, F.col("_n") - 1).alias("next"))
+        F.least(F.col("cursor") + 1, F.col("_size") - 1).alias("next"))
 
 
 def match_counts(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
