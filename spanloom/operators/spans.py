@@ -124,7 +124,7 @@ def weave(tokens: Column, spans: Column, tag) -> Column:
         prev = F.when(i == 0, 0).otherwise(F.get(spans, i - 1)["e"])
         return F.array_append(
             F.slice(tokens, prev + 1, F.greatest(x["s"] - prev, F.lit(0))), tag(x["text"], i))
-    last = F.coalesce(F.get(spans, F.size(spans) - 1)["e"], F.lit(0))
+    last = F.coalesce(F.try_element_at(spans, F.lit(-1))["e"], F.lit(0))
     tail = F.slice(tokens, last + 1, F.greatest(F.size(tokens) - last, F.lit(0)))
     return clean_punct(F.array_join(F.concat(F.flatten(F.transform(spans, piece)), tail), " "))
 
