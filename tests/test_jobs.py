@@ -156,3 +156,24 @@ def test_sinks(spark, tmp_path):
     assert src.read_generations(spark, path).count() == 1
     src.write_generations(p, path, append=True)
     assert [r.prediction for r in src.read_generations(spark, path).collect()] == ["é", "é"]
+
+
+def test_supplied_triggers_are_reused(spark):
+    """Arguments for triggers the caller brings: only the argument prompts reach the model."""
+    class Only(scoring.RuleScorer):
+        def score(self, texts):
+            assert all("Extract arguments" in t for t in texts)
+            return super().score(texts)
+
+    one = "array(struct('ran' as text, 'Action' as type, 4 as start, 6 as end))"
+    none = f"filter({one}, x -> false)"
+    d = spark.sql(f"select 'geneva' dataset, 'x' model_type, '1' doc_id, 'geneva' model_key, 'she ran off' source, '' failed, {one} t_pipeline, {none} t_e2e, {none} t_merged")
+    r = scoring.score_arguments(d, ONTO, Only).first()
+    assert r.ae_pipeline == ["trigger> ran>=Action: argument> she ran>=Agent | None=Place"] and r.ae_e2e == [] and r.failed == ""
+
+
+def test_repeated_ids_stay_apart(spark):
+    d = spark.createDataFrame([("geneva", "x", "api-doc", "first wonderful text"), ("geneva", "x", "api-doc", "other terrifying words")],
+                              "dataset string, model_type string, doc_id string, source string")
+    got = sorted((r.source, [(e.trigger.text, e.arguments[0].text) for e in r.pipeline]) for r in scoring.chain(d, ONTO, scoring.RuleScorer).collect())
+    assert got == [("first wonderful text", [("wonderful", "first wonderful")]), ("other terrifying words", [("terrifying", "other terrifying")])]
