@@ -24,13 +24,18 @@ ALIASES = {
 DEFAULTS = {"dataset": "unknown", "model_name": "unknown"}
 
 
+def _keys(items: DataFrame) -> list[str]:
+    """What tells documents apart: ids repeat between data sets and, where the column is there, splits (Q16)."""
+    return [c for c in ("dataset", "split", "doc_id") if c in items.columns]
+
+
 def predicted_arguments(items: DataFrame, preds: str, compat: bool = False) -> DataFrame:
     """X8 without an anchor over a list of predictions: one row per argument with both parts non-blank."""
+    keys = _keys(items)
     return (
-        items.select("dataset", "doc_id", "source", F.posexplode(preds).alias("pred_pos", "pred"))
-        .select("dataset", "doc_id", "pred_pos", "pred",
-                F.posexplode(serving_arguments(F.col("source"), F.col("pred"), compat=compat)).alias("arg_pos", "a"))
-        .select("dataset", "doc_id", "pred_pos", "arg_pos", "pred", strip(F.col("a.text")).alias("text"),
+        items.select(*keys, "source", F.posexplode(preds).alias("pred_pos", "pred"))
+        .select(*keys, "pred_pos", "pred", F.posexplode(serving_arguments(F.col("source"), F.col("pred"), compat=compat)).alias("arg_pos", "a"))
+        .select(*keys, "pred_pos", "arg_pos", "pred", strip(F.col("a.text")).alias("text"),
                 strip(F.col("a.role")).alias("role"), "a.start", "a.end")
         .where((F.col("text") != "") & (F.col("role") != ""))
     )
@@ -38,13 +43,13 @@ def predicted_arguments(items: DataFrame, preds: str, compat: bool = False) -> D
 
 def reference_set(items: DataFrame, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
     """A13."""
-    return predicted_arguments(items, refs, compat).select("dataset", "doc_id", "text", "role").distinct()
+    return predicted_arguments(items, refs, compat).select(*_keys(items), "text", "role").distinct()
 
 
 def false_positives(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
     """J9 as a table job: predicted (text, role) pairs absent from the document's references."""
     pred = predicted_arguments(items, preds, compat)
-    return pred.join(reference_set(items, refs, compat), ["dataset", "doc_id", "text", "role"], "left_anti")
+    return pred.join(reference_set(items, refs, compat), [*_keys(items), "text", "role"], "left_anti")
 
 
 def fp_records(items: DataFrame, preds: str, task: str, model_name: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
@@ -137,7 +142,7 @@ def navigation(records: DataFrame, group: list[str], key: str) -> DataFrame:
 
 def match_counts(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
     """True and false positives and misses per data set under E1's matching rule."""
-    keys = ["dataset", "doc_id", "text", "role"]
+    keys = [*_keys(items), "text", "role"]
     pred = predicted_arguments(items, preds, compat).select(*keys, F.lit(1).alias("p"), F.lit(0).alias("r"))
     ref = predicted_arguments(items, refs, compat).select(*keys, F.lit(0).alias("p"), F.lit(1).alias("r"))
     both = pred.unionByName(ref).groupBy(*keys).agg(F.max("p").alias("p"), F.max("r").alias("r"))

@@ -443,10 +443,10 @@ def r2(spark, sf):
     return jobs.current_runs(spark, out).groupBy("result_key").agg(F.count("*").alias("n"))
 
 
-@query("r3_window_counts", """SELECT (epoch(date_trunc('hour', ts)))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+@query("r3_window_counts", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
 def r3(spark, sf):
     d = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     out, ck = fresh_path(spark, "r3-out"), fresh_path(spark, "r3-ck")
     # The replayed files are in no order, so the watermark here allows for the whole span of the table.
     jobs.window_totals(_stream(spark, sf, "r3", d), out, ck, watermark="3650 days").awaitTermination()
-    return jobs.latest_windows(spark, out).select(F.unix_timestamp("window_start").alias("window_start"), "event_type", "n")
+    return jobs.latest_windows(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")

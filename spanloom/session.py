@@ -26,6 +26,9 @@ def build_session(app: str = "spanloom", master: str | None = None, shuffle: int
     )
 
 
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by the cluster in ``spark.checkpoint.dir``.
 
@@ -33,12 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     and that is refused on a real cluster because a machine-local folder is lost with its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        root = tempfile.mkdtemp(prefix="spanloom-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="spanloom-")
+    return _LOCAL[app]
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -177,3 +177,20 @@ def test_repeated_ids_stay_apart(spark):
                               "dataset string, model_type string, doc_id string, source string")
     got = sorted((r.source, [(e.trigger.text, e.arguments[0].text) for e in r.pipeline]) for r in scoring.chain(d, ONTO, scoring.RuleScorer).collect())
     assert got == [("first wonderful text", [("wonderful", "first wonderful")]), ("other terrifying words", [("terrifying", "other terrifying")])]
+
+
+def test_shared_folder():
+    """The cluster's folder is used as it is; without one only a local session gets a temporary folder."""
+    from types import SimpleNamespace as N
+
+    import pytest
+
+    from spanloom.session import shared_dir
+
+    def fake(master, folder=None):
+        return N(conf=N(get=lambda key, default: folder or default), sparkContext=N(master=master, applicationId="test-app"))
+
+    assert shared_dir(fake("yarn", "hdfs:///ck")) == "hdfs:///ck"
+    assert shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_dir(fake("yarn"))
