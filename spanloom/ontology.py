@@ -269,8 +269,8 @@ class Ontology:
 
     # ---- in-row lookups (bounded) ----------------------------------------------------------
     def fits_inline(self) -> bool:
-        n = sum(1 for _ in self.tag_rows()) + sum(1 for _ in self.type_map_rows()) + sum(1 for _ in self.role_map_rows())
-        return n <= MAX_INLINE_ENTRIES
+        parts = (self.tag_rows(), self.type_map_rows(), self.role_map_rows(), self.role_rows())
+        return sum(1 for p in parts for _ in p) <= MAX_INLINE_ENTRIES
 
     def _inline(self, rows) -> Column:
         rows = dict(rows)
@@ -278,6 +278,15 @@ class Ontology:
             raise ValueError("ontology too large for in-row lookup; use the join form of this operator")
         return F.from_json(F.lit(json.dumps(rows)), "map<string,string>")
 
+    def inline_roles(self) -> Column:
+        """``data set, lower-cased type`` → the types of that spelling in order, each with its roles."""
+        out: dict = {}
+        for ds, t, _ in self.type_rows():
+            out.setdefault(f"{ds}\t{t.lower()}", []).append({"t": t, "r": list(self.roles[ds][t])})
+        if len(out) > MAX_INLINE_ENTRIES:
+            raise ValueError("ontology too large for in-row lookup; use the join form of this operator")
+        return F.from_json(F.lit(json.dumps(out)), "map<string,array<struct<t:string,r:array<string>>>>")
+
     def inline_type_map(self) -> Column:
         return self._inline((f"{ds}\t{o}", u) for ds, o, u in self.type_map_rows())
 

@@ -139,6 +139,13 @@ def roles_for_type(events: DataFrame, ontology: Ontology, domain: str, etype: Co
     return out.withColumn("roles", let(listed, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array_distinct(seen)))).drop("_types", "_low")
 
 
+def roles_in_row(ontology: Ontology, domain: Column, etype: Column, seen: Column) -> Column:
+    """J3 in-row, for an ontology that fits inline."""
+    types = F.try_element_at(ontology.inline_roles(), F.concat_ws("\t", domain, F.lower(F.coalesce(etype, F.lit("")))))
+    listed = let(types, lambda ts: F.coalesce(F.get(F.filter(ts, lambda t: t["t"] == etype), F.lit(0)), F.get(ts, F.lit(0)))["r"])
+    return let(listed, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array_distinct(seen)))
+
+
 def display_tag(ontology: Ontology, domain: Column, etype: Column) -> Column:
     """J4 in-row, for label building inside arrays; needs an ontology that fits inline."""
     own, anywhere = ontology.inline_tags(), ontology.inline_any_tag()

@@ -86,6 +86,18 @@ def test_large_ontology_takes_the_join(spark):
     assert got.event_mentions[0].event_type == "U7" and got.mapped == 1
 
 
+def test_instances_agree_for_a_large_ontology(spark, sf_dir, monkeypatch):
+    """One pass with in-row role lists, or a join to them: the same instances."""
+    c = derived.corpus(spark, sf_dir)
+    for build in (instances.build_expressive, instances.build_indexed, instances.build_plain):
+        small = build(c, ONTO)
+        with monkeypatch.context() as mp:
+            mp.setattr(Ontology, "fits_inline", lambda self: False)
+            large = build(c, ONTO)
+        assert "Join" in large._jdf.queryExecution().optimizedPlan().toString()
+        assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
+
+
 def test_tags_agree(spark):
     rows = [("m2e2", "Conflict:Attack"), ("m2e2", "Achieve"), ("x", "Action"), ("m2e2", "none"), ("geneva", "ACTION")]
     df = spark.createDataFrame(rows, "dataset string, event_type string")
