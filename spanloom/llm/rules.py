@@ -145,6 +145,18 @@ def judge(docs: DataFrame, forest: trees.Forest, least: float = 0.5) -> DataFram
     return scored.select("doc_id", *BASE, failed.alias("base_failed"), (~failed & (F.col("score") >= least)).alias("kept"), "score")
 
 
+def accepted(docs: DataFrame, forest: trees.Forest, least: float = 0.5, min_words: int = 20, max_repeat: int = 30) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the base rules and the trees keep; one pass and no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(forest)
+
+    def run(batches):
+        for rows, data, off in text_pieces(batches):
+            base, ratio = statistics(data, off)
+            failed = (base[:, 0] < min_words) | (100 * base[:, 4] > max_repeat * base[:, 0])
+            yield rows.filter(pa.array(~failed & (shared.value.score(ratio) >= least)))
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_labels(spark, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long"), F.col("quality").cast("double").alias("label"))
 

@@ -39,8 +39,8 @@ class Forest:
 
 
 def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: float = 0.15, bins: int = 64,
-          ridge: float = 1.0, least: int = 8, monotone: list[int] | None = None) -> Forest:
-    """Fit on rows ``x`` with labels 0/1.  Without rows, or with one label only, the forest is a constant."""
+          ridge: float = 1.0, least: int = 8, monotone: list[int] | None = None, balanced: bool = False) -> Forest:
+    """Fit on rows ``x`` with labels 0/1; ``balanced`` gives both labels the same total weight.  Without rows, or with one label only, the forest is a constant."""
     n, m = x.shape if x.ndim == 2 else (0, 0)
     monotone = monotone or [0] * m
     nodes = (1 << (depth + 1)) - 1
@@ -48,13 +48,15 @@ def train(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: f
     base = float(np.log(p / (1 - p)))
     if n == 0 or y.min() == y.max():
         return Forest(np.full((0, nodes), -1), np.zeros((0, nodes)), np.zeros((0, nodes)), base, depth)
+    weight = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean())) if balanced else np.ones(n)
+    base = 0.0 if balanced else base
     cuts = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, bins + 1)[1:-1])) for f in range(m)]
     code = np.stack([np.searchsorted(cuts[f], x[:, f], "left") for f in range(m)], 1)
     margin = np.full(n, base)
     fs, ts, vs = [], [], []
     for _ in range(trees):
         prob = 1 / (1 + np.exp(-margin))
-        grad, hess = prob - y, np.maximum(prob * (1 - prob), 1e-9)
+        grad, hess = weight * (prob - y), np.maximum(weight * prob * (1 - prob), 1e-9)
         feature, threshold, value = np.full(nodes, -1), np.zeros(nodes), np.zeros(nodes)
         at = np.zeros(n, np.int64)
         bound = {0: (-np.inf, np.inf)}
