@@ -19,7 +19,7 @@ _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def _words(text: str) -> str:
-    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), x -> x <> '')"
+    return f"list_filter(regexp_split_to_array({text}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 
 
 _OP3 = f"""
@@ -27,11 +27,11 @@ WITH RECURSIVE w AS (SELECT doc_id, {_words(f"translate(coalesce(text, ''), '{_U
 s AS (SELECT doc_id, CASE WHEN len(ws) < 2 THEN ws ELSE list_distinct([ws[i] || ' ' || ws[i + 1] FOR i IN range(1, len(ws))]) END AS sh FROM w),
 n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
 g AS (SELECT doc_id, unnest(sh) AS k FROM s),
-p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
-e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * both >= 80 * (x.n_shingles + y.n_shingles - both)),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n_shingles + y.n_shingles - m)),
 u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
 r(x, root) AS (SELECT doc_id, doc_id FROM n UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.x AND r.root < u.b)
-SELECT n.doc_id, n_shingles, min(root) AS component_id, n.doc_id = min(root) AS kept FROM n JOIN r ON r.x = n.doc_id GROUP BY ALL
+SELECT doc_id, n_shingles, root AS component_id, doc_id = root AS kept FROM n JOIN (SELECT x AS doc_id, min(root) AS root FROM r GROUP BY x) USING (doc_id)
 """
 
 _Q = ASSIGN.replace("'", "''")
@@ -39,7 +39,7 @@ _Q = ASSIGN.replace("'", "''")
 
 def _found(kind: int, pattern: str) -> str:
     """Spans of one kind: piece lengths and match lengths added up from the left."""
-    return f"""SELECT doc_id, list_transform(range(1, len(m) + 1), i -> {{'s': list_sum(list_transform(p[1:i], x -> length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], x -> length(x))), 0),
+    return f"""SELECT doc_id, list_transform(range(1, len(m) + 1), lambda i: {{'s': list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0),
  'k': {kind}, 'l': length(m[i]), 't': m[i]}}) AS sp FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}') AS m, regexp_split_to_array(t, '{pattern}') AS p FROM d)"""
 
 
