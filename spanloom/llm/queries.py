@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from spanloom.llm.decontam import op9_benchmark_decontamination
 from spanloom.llm.fmindex import op10_substring_dedup
+from spanloom.llm.katz import op2_katz_backoff
 from spanloom.llm.minhash import op3_minhash_near_dedup
 from spanloom.llm.packing import op7_best_fit_packing
 from spanloom.llm.quality import op1_quality_classifier
@@ -13,7 +14,7 @@ from spanloom.llm.tokencount import op6_token_counts
 from spanloom.llm.urls import op4_url_filter
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_classifier, op3_minhash_near_dedup, op4_url_filter, op5_secret_scan, op6_token_counts,
+    op1_quality_classifier, op2_katz_backoff, op3_minhash_near_dedup, op4_url_filter, op5_secret_scan, op6_token_counts,
     op7_best_fit_packing, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
