@@ -13,7 +13,8 @@ How it runs: texts are coded into blocks of about ``BLOCK_TOKENS`` tokens, each
 table in the shared folder).  A block asks every partition of words for its words' counts, then every partition of pairs for
 its pairs' counts and its contexts' sums, and scores its tokens from the answers: nothing is broadcast, each distinct word or
 pair of a block travels once, and both tables are partitioned by hash (pairs by their context; the pairs of a context with more
-than a share of all tokens by the pair).  Every partition answers every block, so a block can add up the corpus-wide counts of
+than a share of all tokens by the pair).  Within its context a pair's word is
+known by 40 bits, and a context's sum has 32 fraction bits.  Every partition answers every block, so a block can add up the corpus-wide counts of
 counts itself.
 
 Defined cases: null text is empty (one token, the end); null ids are never held out and are learned from; repeated rows count
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.words import docs_table, fold, ints, mix, restore_id, source, text_pieces, words_of
 from spanloom.session import materialise
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 3_000_000
 K = 5
 END = np.uint64(0xE0D)  # not a value that ``mix`` gives a likely word
 _ROW = "block long, part long, kind int, a binary, b binary, c binary, stats array<double>"
@@ -50,6 +51,11 @@ def _unzip(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
+def _round(x: np.ndarray) -> np.ndarray:
+    """Doubles with the last 20 of 52 fraction bits cleared, which then compress."""
+    return (x.astype("<f8").view("<u8") & np.uint64(0xFFFFFFFFFFF00000)).view("<f8")
+
+
 def _join(*parts: bytes) -> bytes:
     return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
 
@@ -196,14 +202,14 @@ def pair_questions(parts: int):
         part = b.pair_part(parts, known, tokens)
         order = np.argsort(part, kind="stable")  # within a partition still in order of context
         edge = np.searchsorted(part[order], np.arange(parts + 1))
-        print48 = mix(b.vocab + np.uint64(9))
+        print40 = mix(b.vocab + np.uint64(9))
         out = []
         for p in range(parts):
             at = order[edge[p]:edge[p + 1]]
             new = np.append(True, b.v[at][1:] != b.v[at][:-1])[:len(at)]
             first = np.flatnonzero(new)
             follow = np.diff(np.append(first, len(at)))
-            w = np.ascontiguousarray(print48[b.w[at]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            w = np.ascontiguousarray(print40[b.w[at]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
             numbers = np.stack([b.seen[at], np.minimum(known[b.w[at]], (1 << 32) - 1)]).astype("<u4")
             head = zstandard.compress(w, 1)
             out.append((int(block.block.iloc[0]), p, 1, _zip(b.vocab[b.v[at[first]]]) , _join(_zip(follow.astype("<u4")), _zip(numbers[0]), _zip(numbers[1])), head,
@@ -217,14 +223,14 @@ def pair_answers(frame: pd.DataFrame) -> pd.DataFrame:
     ctx = [_unzip(x, "<u8") for x in frame.a]
     parts = [[_unzip(x, "<u4").astype(np.int64) for x in _split(b)] for b in frame.b]
     follow, seen, known = ([p[i] for p in parts] for i in range(3))
-    word = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, 6) for x in frame.c]
+    word = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, 5) for x in frame.c]
     size, heads = np.cumsum([0, *map(len, seen)]), np.cumsum([0, *map(len, ctx)])
     uni = Unigrams.__new__(Unigrams)
     uni.total, uni.unknown, uni.d = frame.stats.iloc[0][0], frame.stats.iloc[0][1], np.array(frame.stats.iloc[0][2:])
     contexts, ctx_of = np.unique(np.concatenate(ctx), return_inverse=True)
     v = np.repeat(ctx_of, np.concatenate(follow))
     w = np.zeros((size[-1], 8), np.uint8)
-    w[:, :6] = np.concatenate(word)
+    w[:, :5] = np.concatenate(word)
     key, first, inverse = np.unique(mix(mix(contexts)[v] + w.view("<u8").ravel()) if len(v) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
     total = np.bincount(inverse, np.concatenate(seen), len(key)).astype(np.int64)
     of, p = v[first], uni.p(np.concatenate(known)[first])
@@ -234,7 +240,7 @@ def pair_answers(frame: pd.DataFrame) -> pd.DataFrame:
     out = []
     for i, (b, q) in enumerate(zip(frame.block, frame.part)):
         mine = ctx_of[heads[i]:heads[i + 1]]
-        out.append((b, q, 1, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(np.ascontiguousarray(few[:, mine].T).ravel()), _zip(mass[mine].astype("<f8")), stats))
+        out.append((b, q, 1, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(np.ascontiguousarray(few[:, mine].T).ravel()), _zip(_round(mass[mine])), stats))
     return _rows(out)
 
 
@@ -272,7 +278,7 @@ def scores(parts: int):
 def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs`` (doc_id, held_out, text)."""
     blocks = materialise(encode(docs, block_tokens), "blocks")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count() // 2)
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count())
     words = word_questions(blocks, parts).groupBy("part").applyInPandas(word_answers, _ROW)
     pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(pair_questions(parts), _ROW)
     both = words.unionByName(pairs.groupBy("part").applyInPandas(pair_answers, _ROW))
