@@ -14,7 +14,7 @@ and then confirmed on their full sets.
 
 Only connectedness is wanted, so pairs are not all expanded.  First each list links its members to its smallest one.  After
 these links are confirmed and merged into components, only members of one list that are still in different components are
-compared (in blocks, see ``across``), so no link between different texts is lost and no group emits its pairs.
+compared (in blocks, see ``possible_partners``), so no link between different texts is lost and no group emits its pairs.
 
 At similarity 0.8 a pair agrees in 38.4 of 48 coordinates on average; the chance that it agrees in fewer than 26 is 1.3e-5 (and 3e-8 at 0.85).
 
@@ -109,15 +109,12 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, sigs: DataFrame, k: int, least: int, matches: int = MATCHES) -> DataFrame:
-    """Pairs ``a, b`` whose signatures agree in ``matches`` coordinates and whose full sets reach ``least`` per cent.
+def confirmed(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFrame:
+    """Pairs ``a, b`` whose full sets reach ``least`` per cent.
 
     The partners of one text are dealt out in groups of sixteen, so a text with very many partners is spread over many tasks.
     """
-    left, right = (sigs.select(F.col("rep").alias(x), F.col("sig").alias(f"s{x}")) for x in "ab")
-    agree = F.aggregate(F.zip_with("sa", "sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda s, x: s + x)
-    kept = pairs.join(left, "a").join(right, "b").where(agree >= matches).select("a", "b")
-    kept = materialise(kept.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(1 << 30))), "pairs")
+    kept = materialise(pairs.withColumn("g", F.pmod(F.xxhash64("b"), F.lit(1 << 30))), "pairs")
     size = kept.groupBy("a").agg(F.ceil(F.count("*") / 16).cast("long").alias("groups"))
     bundles = max(1, kept.count() // 128)
     dealt = kept.join(size, "a").select("a", "b", F.pmod(F.xxhash64("a", F.pmod("g", "groups")), F.lit(bundles)).alias("g"))
@@ -145,53 +142,61 @@ def _sets(texts: pd.Series, k: int):
         yield from (cell[x:y] for x, y in zip(ptr[:-1], ptr[1:]))
 
 
-def across(star: DataFrame, root: DataFrame, texts: DataFrame, reps: DataFrame, k: int, least: int, matches: int, chunk: int = 512) -> DataFrame:
-    """Confirmed links ``a, b`` between different components, enough of them to connect all that are linked.
+def possible_partners(star: DataFrame, reps: DataFrame, least: int, matches: int, chunk: int = 512) -> DataFrame:
+    """``hub, i, j, rep, n, sig, g, star``: texts whose size and signature allow a link with another text of the same hub.
 
     Two texts of one posting list are both partners of the list's smallest text, so the partners of each such hub hold all
-    pairs there are.  A hub's partners are dealt into chunks and every two chunks meet in one group: signatures first, which
-    leave only texts with a possible partner, then the texts of those.  A group returns links, never pairs.
+    pairs there are.  A hub's partners are dealt into chunks and every two chunks (i, j) meet in one group; many hubs are
+    small, so a group ``g`` of Python rows holds several.  Texts are returned, never pairs; ``star`` marks those whose
+    signature agrees with the hub's own.
     """
-    member = star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).union(star.select(F.col("a"), F.col("a"))).distinct()
-    member = member.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("root", "rep").alias("root"))
-    member = materialise(member, "partners")
-    # The hub's own pairs are decided; what is left needs two other partners of different components.
-    partner = member.where("rep <> hub")
-    hubs = partner.groupBy("hub").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    dealt = partner.join(hubs.select("hub", F.ceil(F.col("size") / chunk).cast("int").alias("p")), "hub").join(reps.select("rep", "n", "sig"), "rep")
+    member = materialise(star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).union(star.select("a", "a")).distinct(), "partners")
+    hubs = member.groupBy("hub").agg(F.ceil(F.count("*") / chunk).cast("int").alias("p"))
+    dealt = member.join(hubs, "hub").join(reps.select("rep", "n", "sig"), "rep")
     own = dealt.withColumn("c", F.pmod(F.xxhash64("rep"), "p").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    own = own.select("hub", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "root", "sig")
-    bundles = max(1, member.count() // 2048)  # many hubs are small; a group of Python rows holds several
-    own = own.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(bundles)))
+    own = own.select("hub", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "sig")
+    own = own.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, member.count() // 2048))))
 
-    def possible(sig: np.ndarray, n: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of rows of different components whose sizes and signatures allow a link."""
+    def hopeful(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["hub", "i", "j"]).reset_index(drop=True)
+        rep, hub, star, use = frame.rep.to_numpy(), frame.hub.to_numpy(), np.zeros(len(frame), bool), [np.empty(0, np.int64)]
+        for a, x, y in _pairs(frame, frame.rep.to_numpy(), least, matches):
+            use.append(a + np.union1d(x, y))
+            with_hub = (rep[a + x] == hub[a]) | (rep[a + y] == hub[a])
+            star[a + x[with_hub]] = star[a + y[with_hub]] = True
+        return frame.assign(star=star).iloc[np.concatenate(use)]
+
+    return own.groupBy("g").applyInPandas(hopeful, "hub long, i int, j int, rep long, n long, sig array<int>, g long, star boolean")
+
+
+def _pairs(frame: pd.DataFrame, root: np.ndarray, least: int, matches: int):
+    """For each hub and two chunks: the first row, and the pairs of rows of different ``root`` whose sizes and signatures allow a link."""
+    sig, n = np.array(frame.sig.tolist(), np.int32), frame.n.to_numpy()
+    key = frame[["hub", "i", "j"]].to_numpy()
+    begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
+    for a, b in zip(begin.tolist(), np.append(begin[1:], len(n)).tolist()):
         out = []
-        for lo in range(0, len(n), 64):
-            part = slice(lo, lo + 64)
-            ok = (r[part, None] != r[None, :]) & (100 * np.minimum(n[part, None], n[None, :]) >= least * np.maximum(n[part, None], n[None, :]))
+        for lo in range(a, b, 64):
+            hi = min(lo + 64, b)
+            ok = (root[lo:hi, None] != root[None, a:b]) & (100 * np.minimum(n[lo:hi, None], n[None, a:b]) >= least * np.maximum(n[lo:hi, None], n[None, a:b]))
             x, y = np.nonzero(ok)
-            x += lo
+            x += lo - a
             x, y = x[y > x], y[y > x]
-            hit = np.concatenate([(sig[x[at:at + (1 << 15)]] == sig[y[at:at + (1 << 15)]]).sum(1) >= matches for at in range(0, max(len(x), 1), 1 << 15)])
-            out.append((x[hit], y[hit]))
-        return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
-
-    def each(frame: pd.DataFrame):
-        """Rows of one hub and pair of chunks at a time: their first row and their possible pairs."""
-        sig, n, r = np.array(frame.sig.tolist(), np.int32), frame.n.to_numpy(), frame.root.to_numpy()
-        key = frame[["hub", "i", "j"]].to_numpy()
-        begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
-        for a, b in zip(begin.tolist(), np.append(begin[1:], len(n)).tolist()):
-            if b - a > 1:
-                x, y = possible(sig[a:b], n[a:b], r[a:b])
-                if len(x):
-                    yield a, x, y
+            for at in range(0, len(x), 1 << 15):
+                xs, ys = x[at:at + (1 << 15)], y[at:at + (1 << 15)]
+                hit = (sig[a + xs] == sig[a + ys]).sum(1) >= matches
+                out.append((xs[hit], ys[hit]))
+        if out and sum(len(x) for x, _ in out):
+            yield a, np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
-    def hopeful(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["hub", "i", "j"]).reset_index(drop=True)
-        use = [np.empty(0, np.int64), *[a + np.union1d(x, y) for a, x, y in each(frame)]]
-        return frame.iloc[np.concatenate(use)]
+
+def across(few: DataFrame, root: DataFrame, texts: DataFrame, k: int, least: int, matches: int) -> DataFrame:
+    """Confirmed links ``a, b`` between different components, enough of them to connect all that are linked.
+
+    ``few`` comes from ``possible_partners``; a group returns links, never pairs.
+    """
+    named = few.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "i", "j", "rep", "n", "sig", "g", F.coalesce("root", "rep").alias("root"))
+    split = named.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
 
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["hub", "i", "j"]).reset_index(drop=True)
@@ -204,7 +209,7 @@ def across(star: DataFrame, root: DataFrame, texts: DataFrame, reps: DataFrame,
                 v = up[v]
             return v
         links = []
-        for a, xs, ys in each(frame):
+        for a, xs, ys in _pairs(frame, ids, least, matches):
             for x, y in zip((xs + a).tolist(), (ys + a).tolist()):
                 if top(ids[x]) != top(ids[y]):
                     both = np.intersect1d(sets[x], sets[y], assume_unique=True).size
@@ -213,9 +218,7 @@ def across(star: DataFrame, root: DataFrame, texts: DataFrame, reps: DataFrame,
                         links.append((rep[x], rep[y]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    ddl = "hub long, i int, j int, rep long, n long, root long, sig array<int>, g long"
-    few = materialise(own.groupBy("g").applyInPandas(hopeful, ddl), "hopeful")
-    return few.join(texts, "rep").groupBy("g").applyInPandas(link, "a long, b long")
+    return named.join(split, "hub").join(texts, "rep").groupBy("g").applyInPandas(link, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, least: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -228,15 +231,16 @@ def groups(docs: DataFrame, k: int = 5, least: int = 80, coordinates: int = COOR
     first = linked.groupBy("f1", "f2", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("r"), F.first("sig").alias("sig"))
     reps = materialise(first.select("f1", "f2", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.text_key").alias("rep_key"), F.xxhash64("f1", "f2", "n").alias("rep"), "sig"), "classes")
     posts = materialise(postings(reps, matches), "postings")
-    involved = posts.select("rep").distinct().join(reps.select("rep", F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("text_key")), "rep")
-    keyed = docs.withColumn("text_key", F.xxhash64("text"))
-    texts = materialise(keyed.join(involved, ["doc_id", "text_key"]).select("rep", "text").dropDuplicates(["rep"]), "texts")
-
     hub = posts.groupBy("key").agg(F.min("rep").alias("a"))
     star = posts.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    links = materialise(confirmed(star, texts, reps, k, least, matches), "links-first")
-    root = materialise(components(links), "roots-first")
-    more = materialise(across(star, root, texts, reps, k, least, matches), "links-second")
+    few = materialise(possible_partners(star, reps, least, matches), "possible")
+
+    # Only texts with a possible partner are read again.  A merge join at every size: its order serves the grouping after it.
+    wanted = few.select("rep").distinct().join(reps.select("rep", F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("text_key")), "rep")
+    keyed = docs.withColumn("text_key", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "text_key"])
+    texts = materialise(keyed.groupBy("doc_id", "text_key").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "texts")
+    links = materialise(confirmed(few.where("star and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), texts, k, least), "links-first")
+    more = materialise(across(few, components(links), texts, k, least, matches), "links-second")
     # An id with several texts ties their classes together.
     ids = marked.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).select("doc_id", F.xxhash64("f1", "f2", "n").alias("rep"))
     ties = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")
