@@ -132,6 +132,15 @@ class FMIndex:
         size = np.diff(np.append(begin, n))
         return np.repeat(begin, size), np.repeat(begin + size, size), begin
 
+    def search(self, code: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Suffix intervals of ``code[begin:begin+length]``; empty ones if the index does not hold it."""
+        lo, hi = np.zeros(len(begin), np.int64), np.full(len(begin), len(self.text))
+        for k in range(int(length.max(initial=0)) - 1, -1, -1):
+            on = np.flatnonzero(length > k)
+            c = code[begin[on] + k]
+            lo[on], hi[on] = self.before[c] + self.tree.rank(c, lo[on]), np.where(c == 0, 0, self.before[c] + self.tree.rank(c, hi[on]))
+        return lo, np.maximum(hi, 0)
+
     def stream(self, code: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Earliest place of the window that starts at each word of the streamed segments; the largest value if there is none.
 
@@ -151,9 +160,17 @@ class FMIndex:
             h = np.where(full, self.hi1[np.maximum(hi[:k] - 1, 0)], hi[:k])
             n = have[:k] - full
             l, h = self.before[c] + self.tree.rank(c, l), self.before[c] + self.tree.rank(c, h)
-            lost = (h <= l) | (c == 0)
-            # Nothing holds this word after the match: begin anew with the next.
-            lo[:k], hi[:k], have[:k] = np.where(lost, 0, l), np.where(lost, len(self.text), h), np.where(lost, 0, n + 1)
+            n += 1
+            lost = np.flatnonzero((h <= l) | (c == 0))
+            if len(lost):  # only words from elsewhere: the longest match that begins here, by bisection
+                least, most = np.zeros(len(lost), np.int64), n[lost] - 1
+                while (most > least).any():
+                    mid = (least + most + 1) // 2
+                    x, y = self.search(code, pos[lost], mid)
+                    least, most = np.where(y > x, mid, least), np.where(y > x, most, mid - 1)
+                l[lost], h[lost] = self.search(code, pos[lost], least)
+                n[lost] = least
+            lo[:k], hi[:k], have[:k] = l, h, n
             found = np.flatnonzero(have[:k] == self.window)
             out[pos[found]] = self.earliest[lo[found]]
         return out
