@@ -100,8 +100,8 @@ def format_offset(start: Column, end: Column) -> Column:
 
 
 def parse_int(c: Column, default: int) -> Column:
-    """T18."""
-    return F.coalesce(strip(c).try_cast("int"), F.lit(default))
+    """As a 64-bit number."""
+    return F.coalesce(strip(c).try_cast("long"), F.lit(default).cast("long"))
 
 
 def ae_trigger(pred: Column, compat: bool = False) -> tuple[Column, Column]:
@@ -115,11 +115,11 @@ def ae_trigger(pred: Column, compat: bool = False) -> tuple[Column, Column]:
 
 
 def extract_json(text: Column) -> Column:
-    """The outermost ``{...}`` of a reply, fences dropped; NULL when there is none."""
+    """The outermost ``{...}`` of a reply, fences dropped; NULL when there is none or it is no JSON."""
     t = F.replace(strip(text), F.lit("```json"), F.lit("```"))
     parts = F.split(t, "```")
     body = F.when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1)))).otherwise(strip(text))
-    return truthy(F.regexp_extract(body, r"(?s)\{.*\}", 0))
+    return let(truthy(F.regexp_extract(body, r"(?s)\{.*\}", 0)), lambda j: F.when(F.try_parse_json(j).isNotNull(), j))
 
 
 def ordered_distinct(items: Column) -> Column:
@@ -133,8 +133,9 @@ def normalise_labels(json_list: Column) -> Column:
 
 
 def normalise_tuples(json_list: Column, width: int = 2) -> Column:
-    """A JSON list of pairs (``width`` 2) or triples (3); short or blank members dropped."""
-    items = F.from_json(json_list, "array<array<string>>")
+    """A JSON list of pairs (``width`` 2) or triples (3); members of another kind, short or blank ones dropped."""
+    members = F.try_variant_get(F.try_parse_json(json_list), "$", "array<variant>")
+    items = F.filter(F.transform(members, lambda m: F.try_variant_get(m, "$", "array<string>")), lambda p: p.isNotNull())
     cut = F.transform(items, lambda p: F.transform(F.slice(p, 1, width), strip))
     ok = F.filter(cut, lambda p: (F.size(p) == width) & ~F.exists(p, lambda x: F.coalesce(x, F.lit("")) == ""))
     return F.coalesce(ok, F.array().cast("array<array<string>>"))

@@ -18,6 +18,7 @@ from spanloom.schema import ENTITY, EVENT
 from spanloom.session import materialise
 
 LANG_DATASET = {"en": "geneva", "fr": "m2e2", "de": "wikievents", "es": "rams"}
+OTHER_DATASET = "geneva"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,21 +34,20 @@ def spread(df: DataFrame, small: int = 1 << 30) -> DataFrame:
 
 
 def sentences(documents: DataFrame) -> DataFrame:
-    """One row per non-blank line of at least five tokens."""
+    """One row per non-blank line; other languages go to ``OTHER_DATASET``."""
     ds = F.create_map(*[F.lit(x) for kv in LANG_DATASET.items() for x in kv])
     # Tokenising inside the generator computes it once; a later filter would otherwise repeat it.
     lines = F.transform(F.split("text", "\n", -1), lambda line: F.split(space_punct(line), " "))
     return (
         documents.select("doc_id", "lang", F.posexplode(lines).alias("line_no", "tokens"))
-        .where(F.size("tokens") >= 5)
+        .where((F.size("tokens") > 1) | (F.get("tokens", F.lit(0)) != ""))
         .select(
             F.col("doc_id").alias("src_id"),
             (F.col("doc_id") * 100000 + F.col("line_no")).alias("sid"),
             (F.col("doc_id") * 1000 + F.col("line_no")).alias("m"),
-            ds[F.col("lang")].alias("dataset"),
+            F.coalesce(ds[F.col("lang")], F.lit(OTHER_DATASET)).alias("dataset"),
             F.when(F.col("doc_id") % 10 == 8, "val").when(F.col("doc_id") % 10 == 9, "test").otherwise("train").alias("split"),
             "tokens")
-        .where(F.col("dataset").isNotNull())
     )
 
 

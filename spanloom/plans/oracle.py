@@ -7,7 +7,7 @@ nested rows, so that the two share no approach.
 from __future__ import annotations
 
 from spanloom.ontology import starter_ontology
-from spanloom.plans.derived import LANG_DATASET
+from spanloom.plans.derived import LANG_DATASET, OTHER_DATASET
 
 ONTO = starter_ontology()
 WS = r"[\s\x1C-\x1F\x{85}\p{Z}]"
@@ -64,10 +64,10 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)""", ()),
     "sent": (f"""sent AS MATERIALIZED (SELECT *, 'doc_' || sid AS doc_id, len(tokens) AS n, {clean("array_to_string(tokens, ' ')")} AS plain FROM (
         SELECT doc_id AS src_id, doc_id * 100000 + line_no AS sid, doc_id * 1000 + line_no AS m,
-          CASE lang {' '.join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in LANG_DATASET.items())} END AS dataset,
+          CASE lang {' '.join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in LANG_DATASET.items())} ELSE {lit(OTHER_DATASET)} END AS dataset,
           CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split,
           string_split({spaced('line')}, ' ') AS tokens FROM lines)
-        WHERE dataset IS NOT NULL AND len(tokens) >= 5)""", ("lines",)),
+        WHERE len(tokens) > 1 OR tokens[1] <> '')""", ("lines",)),
     "hit": ("""hit AS MATERIALIZED (SELECT * FROM (SELECT sid, src_id, doc_id, split, m, n, dataset, unnest(tokens) AS t, generate_subscripts(tokens, 1) - 1 AS i FROM sent)
         WHERE length(t) >= 6 AND (m + i) % 17 = 0)""", ("sent",)),
     "ev": (f"""ev AS MATERIALIZED (SELECT x.*, least(raw_e, n) AS e, raw_e > s AS valid, {clean("array_to_string(tokens[s + 1:least(raw_e, n)], ' ')")} AS txt FROM (

@@ -498,6 +498,6 @@ query("t14_result_key", f"""SELECT doc_id, doc_id || '::' || lang || '::' || sou
 query("t16_format_offset", sql("SELECT doc_id, pos, CASE WHEN valid THEN '[' || s || ', ' || raw_e || ']' ELSE '[]' END AS shown FROM ev", "ev"))(
     lambda spark, sf: mentions(spark, sf).select("doc_id", "pos", T.format_offset(
         F.col("e.trigger.start").cast("int"), F.when(F.col("e.trigger.end").cast("int") > F.col("e.trigger.start").cast("int"), F.col("e.trigger.end").cast("int"))).alias("shown")))
-query("t18_parse_int", """SELECT event_id, coalesce(try_cast(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE json_extract_string(props, '$.k') END, '') AS INTEGER), 512) AS n FROM events""")(
+query("t18_parse_int", """SELECT event_id, coalesce(try_cast(nullif(CASE WHEN event_id % 3 = 0 THEN '' WHEN event_id % 3 = 1 THEN event_type ELSE json_extract_string(props, '$.k') END, '') AS BIGINT), 512) AS n FROM events""")(
     lambda spark, sf: table(spark, sf, "events").select("event_id", T.parse_int(
         F.when(F.col("event_id") % 3 == 0, "").when(F.col("event_id") % 3 == 1, F.col("event_type")).otherwise(F.get_json_object("props", "$.k")), 512).alias("n")))

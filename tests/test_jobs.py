@@ -194,3 +194,13 @@ def test_shared_folder():
     assert shared_dir(fake("local[2]")) == shared_dir(fake("local[2]"))
     with pytest.raises(RuntimeError):
         shared_dir(fake("yarn"))
+
+
+def test_text_probes(spark):
+    from spanloom.functions import text as T
+    row = spark.range(1).select(
+        T.parse_int(F.lit(" 3000000000 "), 5).alias("big"), T.parse_int(F.lit("x"), 5).alias("bad"),
+        T.extract_json(F.lit("so {oops}")).alias("oops"), T.extract_json(F.lit('```json\n{"a": [1]}\n```')).alias("fine"),
+        T.normalise_tuples(F.lit('[["a","b"], "x", ["c","d"], 3, ["e"], ["[1]"," f "]]')).alias("pairs"), T.normalise_tuples(F.lit("{oops")).alias("none")).first()
+    assert (row.big, row.bad, row.oops, row.fine) == (3000000000, 5, None, '{"a": [1]}')
+    assert row.pairs == [["a", "b"], ["c", "d"], ["[1]", "f"]] and row.none == []
