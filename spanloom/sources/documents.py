@@ -101,6 +101,19 @@ def strict(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, bad
 
 
+def strict_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """S4 for an upload too large for one cell: rows of :func:`jsonl_uploads`, each accepted or refused by itself.
+
+    Gives documents ``upload, pos, id, text`` and refused lines ``upload, pos, reason``.  A made-up id carries ``pos``.
+    """
+    rows = lines.withColumn("m", _object(F.col("doc")))
+    m = F.col("m")
+    ok = F.coalesce(F.map_contains_key(m, F.lit("text")), F.lit(False))
+    named = F.when(F.map_contains_key(m, F.lit("id")), _text(m, "id")).when(F.map_contains_key(m, F.lit("doc_id")), _text(m, "doc_id"))
+    good = rows.where(ok).select("upload", "pos", named.otherwise(F.concat(F.lit("doc_"), F.col("pos").cast("string"))).alias("id"), _text(m, "text").alias("text"))
+    return good, rows.where(~ok).select("upload", "pos", F.lit("each document must have 'text'").alias("reason"))
+
+
 def _wrapped(obj: Column, keys) -> Column:
     """The first wrapper key that holds a list."""
     return F.coalesce(*[F.when(_kind(F.try_element_at(obj, F.lit(k))) == "array",
@@ -111,9 +124,10 @@ def lenient(uploads: DataFrame) -> DataFrame:
     """Records ``upload, pos, record`` (a map of variants) from any of the accepted shapes.
 
     A list of objects or texts, an object wrapping such a list, one document, or an object of id →
-    document or text.  Other list members are dropped, as is an upload that does not parse.
+    document or text; several values in a row count as a list (S6).  Other list members are dropped;
+    uploads that give no records are named by :func:`lenient_rejects`.
     """
-    parsed = uploads.withColumn("v", F.try_parse_json("content")).withColumn("_obj", _object(F.col("v")))
+    parsed = concatenated(uploads).withColumn("v", F.try_parse_json("content")).withColumn("_obj", _object(F.col("v")))
     items = F.when(_kind(F.col("v")) == "array", F.try_variant_get("v", "$", _LIST)).otherwise(_wrapped(F.col("_obj"), WRAPPERS))
     parsed = parsed.withColumn("_items", items)
     one = F.exists(F.array(*[F.lit(k) for k in TEXT_KEYS]), lambda k: F.map_contains_key("_obj", k))
@@ -141,6 +155,14 @@ def lenient(uploads: DataFrame) -> DataFrame:
     return parsed.select("upload", F.posexplode(records).alias("pos", "record"))
 
 
+def lenient_rejects(uploads: DataFrame) -> DataFrame:
+    """Uploads that :func:`lenient` cannot read, as ``upload, reason``."""
+    read = concatenated(uploads)
+    kind = _kind(F.try_parse_json("content"))
+    reason = F.when(F.col("content").isNull(), "not JSON").when(F.coalesce(kind, F.lit("other")).isin("object", "array"), None).otherwise("no list, wrapper or document")
+    return read.select("upload", reason.alias("reason")).where("reason is not null")
+
+
 def record_text(m: Column, key: str) -> Column:
     """A record's field as text; texts made by :func:`lenient` sit in a one-element list."""
     v = F.try_element_at(m, F.lit(key))

@@ -204,3 +204,14 @@ def test_text_probes(spark):
         T.normalise_tuples(F.lit('[["a","b"], "x", ["c","d"], 3, ["e"], ["[1]"," f "]]')).alias("pairs"), T.normalise_tuples(F.lit("{oops")).alias("none")).first()
     assert (row.big, row.bad, row.oops, row.fine) == (3000000000, 5, None, '{"a": [1]}')
     assert row.pairs == [["a", "b"], ["c", "d"], ["[1]", "f"]] and row.none == []
+
+
+def test_upload_probes(spark, tmp_path):
+    loose = [("three", '{"text": "x"} {"text": "y"}\n{"text": "z"}'), ("bad", "{oops"), ("scalar", "3"), ("null", None), ("fine", '["t"]')]
+    ups = spark.createDataFrame(loose, "upload string, content string")
+    assert sorted((r.upload, r.pos, r.text) for r in docs.normalised(docs.lenient(ups)).collect()) == [("fine", 0, "t"), ("three", 0, "x"), ("three", 1, "y"), ("three", 2, "z")]
+    assert sorted(tuple(r) for r in docs.lenient_rejects(ups).collect()) == [("bad", "not JSON"), ("null", "not JSON"), ("scalar", "no list, wrapper or document")]
+    (tmp_path / "big.jsonl").write_text('{"id": "a", "text": "x"}\n\n{"doc_id": "b", "text": "y"}\nnope\n{"id": "c"}\n{"text": "z"}\n')
+    good, bad = docs.strict_rows(docs.jsonl_uploads(spark, str(tmp_path)))
+    assert [(r.id if r.id in "ab" else "made up", r.text) for r in good.orderBy("pos").collect()] == [("a", "x"), ("b", "y"), ("made up", "z")]
+    assert bad.count() == 2
