@@ -215,3 +215,18 @@ def test_upload_probes(spark, tmp_path):
     good, bad = docs.strict_rows(docs.jsonl_uploads(spark, str(tmp_path)))
     assert [(r.id if r.id in "ab" else "made up", r.text) for r in good.orderBy("pos").collect()] == [("a", "x"), ("b", "y"), ("made up", "z")]
     assert bad.count() == 2
+
+
+def test_broken_model_is_opened_once(spark, tmp_path):
+    log = str(tmp_path / "opened")
+
+    def factory(key):
+        with open(log, "a") as f:
+            f.write(f"{key}\n")
+        if key == "bad":
+            raise OSError("no weights")
+        return scoring.RuleScorer(key)
+    df = spark.range(200).coalesce(1).select(F.when(F.col("id") % 2 == 0, "bad").otherwise("good").alias("model_key"), F.format_string("Domain: geneva. Identify trigger words. text %d", "id").alias("input"))
+    rows = scoring.batch_score(df, factory).collect()
+    assert {r.error for r in rows if r.model_key == "bad"} == {"OSError: no weights"} and all(r.error is None for r in rows if r.model_key == "good")
+    assert open(log).read().split().count("bad") == 1
