@@ -7,6 +7,7 @@ The full ontologies (hundreds of types) are a *parameter*: pass nested dictionar
 from __future__ import annotations
 
 import json
+import zlib
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,8 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-# In-row map lookups are used up to this many entries; beyond it every lookup is a join.
-MAX_INLINE_ENTRIES = 20_000
 # A configuration file larger than this is not an ontology.
 MAX_CONFIG_BYTES = 64 * 1024 * 1024
 
@@ -103,10 +102,10 @@ _TYPE_MAP = {
         ["Transaction:Transfer-Money", "transaction_Transfer_Money"],
     ],
     "rams": [
+        ["conflict.attack.airstrikemissilestrike", "conflict_Attack"],
         ["artifactexistence.damagedestroy.damage", "artifact_existence_Damage_Destroy_Disable_Dismantle"],
         ["artifactexistence.damagedestroy.destroy", "artifact_existence_Damage_Destroy_Disable_Dismantle"],
         ["artifactexistence.damagedestroy.n/a", "artifact_existence_Damage_Destroy_Disable_Dismantle"],
-        ["conflict.attack.airstrikemissilestrike", "conflict_Attack"],
     ],
     "wikievents": [
         ["ArtifactExistence.DamageDestroyDisableDismantle.Damage",
@@ -182,6 +181,29 @@ def local_frame(spark: SparkSession, rows: list, ddl: str) -> DataFrame:
     return spark.createDataFrame(table, schema=schema)
 
 
+_ROLE_LISTS = "array<struct<t:string,r:array<string>>>"
+
+
+class Lookup:
+    """A dictionary as an expression, for use in the row and inside arrays; nothing is joined or shuffled.
+
+    Spark reads a map literal from its first entry on, so the entries are dealt into buckets by the CRC of their key: a look-up
+    costs the same at 20 and at 20,000 entries.  What it holds comes from one configuration file (``MAX_CONFIG_BYTES``).
+    """
+
+    def __init__(self, entries: dict, value: str = "string"):
+        self.size = max(1, len(entries))
+        buckets: list[dict] = [{} for _ in range(self.size)]
+        for k, v in entries.items():
+            buckets[zlib.crc32(k.encode()) % self.size][k] = v
+        self.content, self.schema = json.dumps(buckets), f"array<map<string,{value}>>"
+
+    def __call__(self, key: Column) -> Column:
+        """The value of ``key``, NULL where there is none."""
+        buckets = F.from_json(F.lit(self.content), self.schema)
+        return F.try_element_at(F.get(buckets, (F.crc32(key) % self.size).cast("int")), key)
+
+
 @dataclass
 class Ontology:
     """Nested dictionaries in list order; list order is semantic (first match wins)."""
@@ -247,10 +269,6 @@ class Ontology:
     def dim_types(self, spark: SparkSession) -> DataFrame:
         return local_frame(spark, list(self.type_rows()), "dataset string, event_type string, type_ord int")
 
-    def dim_role_lists(self, spark: SparkSession) -> DataFrame:
-        rows = [(ds, t, o, list(self.roles[ds][t])) for ds, t, o in self.type_rows()]
-        return local_frame(spark, rows, "dataset string, event_type string, type_ord int, roles array<string>")
-
     def dim_event_tags(self, spark: SparkSession) -> DataFrame:
         return local_frame(spark, list(self.tag_rows()), "dataset string, ds_ord int, event_type string, tag string")
 
@@ -267,46 +285,42 @@ class Ontology:
         return local_frame(
             spark, list(self.unified_rows()), "unified_type string, type_group string, secondary_type string, description string")
 
-    # ---- in-row lookups (bounded) ----------------------------------------------------------
-    def fits_inline(self) -> bool:
-        parts = (self.tag_rows(), self.type_map_rows(), self.role_map_rows(), self.role_rows())
-        return sum(1 for p in parts for _ in p) <= MAX_INLINE_ENTRIES
-
-    def _inline(self, rows) -> Column:
-        rows = dict(rows)
-        if len(rows) > MAX_INLINE_ENTRIES:
-            raise ValueError("ontology too large for in-row lookup; use the join form of this operator")
-        return F.from_json(F.lit(json.dumps(rows)), "map<string,string>")
-
-    def inline_roles(self) -> Column:
+    # ---- in-row lookups --------------------------------------------------------------------
+    def role_lists(self) -> Lookup:
         """``data set, lower-cased type`` → the types of that spelling in order, each with its roles."""
         out: dict = {}
         for ds, t, _ in self.type_rows():
             out.setdefault(f"{ds}\t{t.lower()}", []).append({"t": t, "r": list(self.roles[ds][t])})
-        if len(out) > MAX_INLINE_ENTRIES:
-            raise ValueError("ontology too large for in-row lookup; use the join form of this operator")
-        return F.from_json(F.lit(json.dumps(out)), "map<string,array<struct<t:string,r:array<string>>>>")
+        return Lookup(out, _ROLE_LISTS)
+
+    def unified_role_lists(self) -> Lookup:
+        """``lower-cased unified type`` → as :meth:`role_lists`."""
+        out: dict = {}
+        for t, r in self.unified_roles.items():
+            out.setdefault(t.lower(), []).append({"t": t, "r": list(r)})
+        return Lookup(out, _ROLE_LISTS)
 
-    def inline_type_map(self) -> Column:
-        return self._inline((f"{ds}\t{o}", u) for ds, o, u in self.type_map_rows())
+    def unified_type(self) -> Lookup:
+        return Lookup({f"{ds}\t{o}": u for ds, o, u in self.type_map_rows()})
 
-    def inline_role_map(self) -> Column:
-        return self._inline((f"{ds}\t{t}\t{a}", b) for ds, t, a, b, _ in self.role_map_rows())
+    def unified_role(self) -> Lookup:
+        return Lookup({f"{ds}\t{t}\t{a}": b for ds, t, a, b, _ in self.role_map_rows()})
 
-    def inline_role_map_folded(self) -> Column:
+    def unified_role_any_case(self) -> Lookup:
         out: dict = {}
         for ds, t, a, b, _ in self.role_map_rows():
             out.setdefault(f"{ds}\t{t}\t{a.lower()}", b)
-        return self._inline(out.items())
+        return Lookup(out)
 
-    def inline_tags(self) -> Column:
-        return self._inline((f"{ds}\t{k}", v) for ds, _, k, v in self.tag_rows())
+    def tag(self) -> Lookup:
+        return Lookup({f"{ds}\t{k}": v for ds, _, k, v in self.tag_rows()})
 
-    def inline_any_tag(self) -> Column:
+    def tag_anywhere(self) -> Lookup:
+        """Type → its tag in the first data set that has it."""
         out: dict = {}
         for _, _, k, v in self.tag_rows():
             out.setdefault(k, v)
-        return self._inline(out.items())
+        return Lookup(out)
 
 
 def starter_ontology() -> Ontology:

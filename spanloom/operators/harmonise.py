@@ -1,82 +1,65 @@
 """Ontology lookups and harmonisation (J1-J4, J13, J14, A1, A15, G13's remapping).
 
-Joins carry no broadcast hint: Catalyst broadcasts a dimension whose size it knows to be under its
-threshold and falls back to a shuffled join (with AQE skew handling) for a larger one.
+A look-up by type or role is an expression over the row (``ontology.Lookup``), at every size of the ontology, so it
+shuffles nothing however often one type occurs.  Dimension columns (groups, role lists as rows) are joined without a
+broadcast hint: Catalyst broadcasts a dimension whose size it knows to be under its threshold.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from spanloom.functions.text import let, truthy
-from spanloom.ontology import Ontology, local_frame
+from spanloom.ontology import Ontology
+
+
+def _key(*parts: Column) -> Column:
+    return F.concat_ws("\t", *parts)
 
 
 # ---- J1 / J2 --------------------------------------------------------------------------------
 def remap_types(events: DataFrame, ontology: Ontology, keep_unmapped: bool = True) -> DataFrame:
     """J1 on flat rows ``dataset, event_type, …``; adds ``new_type`` and ``mapped`` (NULL when there is no type)."""
-    dim = ontology.dim_type_map(events.sparkSession).withColumnRenamed("original_type", "event_type")
-    other = F.col("event_type") if keep_unmapped else F.lit("Unknown")
-    has = truthy(F.col("event_type")).isNotNull()
-    return (
-        events.join(dim, ["dataset", "event_type"], "left")
-        .withColumn("new_type", F.when(~has | F.col("event_type").isNull(), F.col("event_type")).otherwise(F.coalesce("unified_type", other)))
-        .withColumn("mapped", F.when(has, F.col("unified_type").isNotNull()))
-        .drop("unified_type")
-    )
+    own = F.col("event_type")
+    unified = ontology.unified_type()(_key(F.col("dataset"), own))
+    has = truthy(own).isNotNull()
+    return events.withColumns({
+        "new_type": F.when(has, F.coalesce(unified, own if keep_unmapped else F.lit("Unknown"))).otherwise(own),
+        "mapped": F.when(has, unified.isNotNull())})
+
+
+def _new_role(ontology: Ontology):
+    exact, any_case = ontology.unified_role(), ontology.unified_role_any_case()
+    return lambda ds, etype, role: F.coalesce(exact(_key(ds, etype, role)), any_case(_key(ds, etype, F.lower(role))), role)
 
 
 def remap_roles(arguments: DataFrame, ontology: Ontology) -> DataFrame:
     """J2 on flat rows ``dataset, event_type, role, …``: exact, then first ignoring case, else unchanged."""
-    dim = ontology.dim_role_map(arguments.sparkSession)
-    folded = dim.groupBy("dataset", F.col("original_type").alias("event_type"), F.lower("original_role").alias("_folded")).agg(
-        F.array_sort(F.collect_list(F.struct("ord", "original_role", "unified_role"))).alias("_cands"))
-    hit = F.coalesce(
-        F.get(F.filter("_cands", lambda x: x["original_role"] == F.col("role")), F.lit(0)), F.get("_cands", F.lit(0)))
-    return (
-        arguments.withColumn("_folded", F.lower("role"))
-        .join(folded, ["dataset", "event_type", "_folded"], "left")
-        .withColumn("new_role", F.coalesce(hit["unified_role"], F.col("role")))
-        .drop("_cands", "_folded")
-    )
-
+    return arguments.withColumn("new_role", _new_role(ontology)(F.col("dataset"), F.col("event_type"), F.col("role")))
 
-def remap_corpus(corpus: DataFrame, ontology: Ontology, keep_unmapped: bool = True, in_row: bool | None = None) -> DataFrame:
-    """J1+J2 on corpus rows; adds ``mapped`` and ``unmapped`` counts.
 
-    While the ontology is small the lookup happens in the row and nothing is shuffled.  A large one
-    goes through :func:`_remap_by_join`, with equal results.
-    """
-    if in_row is None:
-        in_row = ontology.fits_inline()
-    if not in_row:
-        return _remap_by_join(corpus, ontology, keep_unmapped)
-    types, exact, folded = ontology.inline_type_map(), ontology.inline_role_map(), ontology.inline_role_map_folded()
+def remap_corpus(corpus: DataFrame, ontology: Ontology, keep_unmapped: bool = True) -> DataFrame:
+    """J1+J2 on corpus rows; adds ``mapped`` and ``unmapped`` counts."""
+    unified, new_role = ontology.unified_type(), _new_role(ontology)
     ds = F.col("dataset")
 
-    def new_role(etype, role):
-        key = F.concat_ws("\t", ds, etype, role)
-        low = F.concat_ws("\t", ds, etype, F.lower(role))
-        return F.coalesce(F.try_element_at(exact, key), F.try_element_at(folded, low), role)
-
     def argument(etype, a):
         first = F.when(a["role"].isNotNull(), 0).when(a["role_type"].isNotNull(), 1).when(a["label"].isNotNull(), 2)
         out = a
         for k, f in enumerate(("role", "role_type", "label")):
-            out = out.withField(f, F.when(first == k, new_role(etype, a[f])).otherwise(a[f]))
+            out = out.withField(f, F.when(first == k, new_role(ds, etype, a[f])).otherwise(a[f]))
         return out
 
     def mention(e):
         etype = truthy(e["event_type"])
         other = e["event_type"] if keep_unmapped else F.lit("Unknown")
-        new = F.coalesce(F.try_element_at(types, F.concat_ws("\t", ds, etype)), other)
+        new = F.coalesce(unified(_key(ds, etype)), other)
         args = F.when(etype.isNotNull(), F.transform(e["arguments"], lambda a: argument(etype, a))).otherwise(e["arguments"])
         return e.withField("event_type", F.when(etype.isNotNull(), new).otherwise(e["event_type"])).withField("arguments", args)
 
     known = F.filter("event_mentions", lambda e: truthy(e["event_type"]).isNotNull())
-    mapped = F.size(F.filter(known, lambda e: F.try_element_at(types, F.concat_ws("\t", ds, e["event_type"])).isNotNull()))
+    mapped = F.size(F.filter(known, lambda e: unified(_key(ds, e["event_type"])).isNotNull()))
     return (
         corpus.withColumn("mapped", mapped.cast("long"))
         .withColumn("unmapped", F.size(known).cast("long") - F.col("mapped"))
@@ -84,31 +67,6 @@ def remap_corpus(corpus: DataFrame, ontology: Ontology, keep_unmapped: bool = Tr
     )
 
 
-def _remap_by_join(corpus: DataFrame, ontology: Ontology, keep_unmapped: bool) -> DataFrame:
-    """The same result for an ontology of any size: flatten, join, regroup by document."""
-    key = ["dataset", "split", "doc_id"]
-    ev = corpus.select(*key, F.posexplode("event_mentions").alias("pos", "e"))
-    flat = ev.select(*key, "pos", F.col("e.event_type").alias("event_type"), F.posexplode_outer("e.arguments").alias("apos", "a"))
-    flat = flat.withColumn("role", F.coalesce("a.role", "a.role_type", "a.label"))
-    roles = remap_roles(flat, ontology)
-    first = F.when(F.col("a.role").isNotNull(), 0).when(F.col("a.role_type").isNotNull(), 1).when(F.col("a.label").isNotNull(), 2)
-    arg = F.col("a")
-    for k, f in enumerate(("role", "role_type", "label")):
-        arg = arg.withField(f, F.when((first == k) & truthy(F.col("event_type")).isNotNull(), F.col("new_role")).otherwise(F.col(f"a.{f}")))
-    args = roles.groupBy(*key, "pos").agg(
-        F.array_sort(F.collect_list(F.when(F.col("apos").isNotNull(), F.struct("apos", arg.alias("a"))))).alias("args"))
-    types = remap_types(ev.select(*key, "pos", "e", F.col("e.event_type").alias("event_type")), ontology, keep_unmapped)
-    merged = types.join(args, key + ["pos"], "left").withColumn(
-        "e", F.col("e").withField("event_type", F.col("new_type")).withField(
-            "arguments", F.when(F.col("e.arguments").isNotNull(), F.transform(F.coalesce("args", F.array()), lambda x: x["a"]))))
-    docs = merged.groupBy(*key).agg(
-        F.array_sort(F.collect_list(F.struct("pos", "e"))).alias("_es"),
-        F.count_if(F.col("mapped")).alias("mapped"), F.count_if(~F.col("mapped")).alias("unmapped"))
-    return corpus.join(docs, key, "left").withColumn(
-        "event_mentions", F.when(F.col("_es").isNotNull(), F.transform("_es", lambda x: x["e"])).otherwise(F.col("event_mentions"))
-    ).withColumn("mapped", F.coalesce("mapped", F.lit(0))).withColumn("unmapped", F.coalesce("unmapped", F.lit(0))).drop("_es")
-
-
 def remap_stats(remapped: DataFrame) -> DataFrame:
     """A1: per data set and in total (``dataset`` NULL)."""
     return remapped.rollup("dataset").agg(
@@ -116,65 +74,40 @@ def remap_stats(remapped: DataFrame) -> DataFrame:
 
 
 # ---- J3 / J4 --------------------------------------------------------------------------------
-def roles_for_type(events: DataFrame, ontology: Ontology, domain: str, etype: Column, seen: Column,
-                   unified: bool = False) -> DataFrame:
-    """Adds ``roles`` — the type's role list, else the first type equal ignoring case, else the roles seen.
+def roles_for(ontology: Ontology, domain: Column, etype: Column, seen: Column, unified: bool = False) -> Column:
+    """The type's role list, else that of the first type equal ignoring case, else the roles seen.
 
-    One join: the dimension is keyed by the lower-cased type and lists its spellings in order.
     With ``unified`` the role lists of the unified types are used whatever the domain (Q7).
     """
-    spark = events.sparkSession
-    if unified:
-        rows = [(t, [(i, t, list(r))]) for i, (t, r) in enumerate(ontology.unified_roles.items())]
-        flat = local_frame(spark, [(t.lower(), i, t, r) for t, [(i, _, r)] in rows],
-                           "_low string, type_ord int, event_type string, roles array<string>")
-        keys = ["_low"]
-    else:
-        flat = ontology.dim_role_lists(spark).withColumn("_low", F.lower("event_type")).withColumnRenamed("dataset", domain)
-        keys = [domain, "_low"]
-    dim = flat.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("type_ord", "event_type", "roles"))).alias("_types"))
-    listed = F.coalesce(F.get(F.filter("_types", lambda t: t["event_type"] == etype), F.lit(0)), F.get("_types", F.lit(0)))["roles"]
-    out = events.withColumn("_low", F.lower(F.coalesce(etype, F.lit("")))).join(dim, keys, "left")
-    return out.withColumn("roles", let(listed, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array_distinct(seen)))).drop("_types", "_low")
-
-
-def roles_in_row(ontology: Ontology, domain: Column, etype: Column, seen: Column) -> Column:
-    """J3 in-row, for an ontology that fits inline."""
-    types = F.try_element_at(ontology.inline_roles(), F.concat_ws("\t", domain, F.lower(F.coalesce(etype, F.lit("")))))
+    low = F.lower(F.coalesce(etype, F.lit("")))
+    types = ontology.unified_role_lists()(low) if unified else ontology.role_lists()(_key(domain, low))
     listed = let(types, lambda ts: F.coalesce(F.get(F.filter(ts, lambda t: t["t"] == etype), F.lit(0)), F.get(ts, F.lit(0)))["r"])
     return let(listed, lambda r: F.when(F.size(r) > 0, r).otherwise(F.array_distinct(seen)))
 
 
+def roles_for_type(events: DataFrame, ontology: Ontology, domain: str, etype: Column, seen: Column, unified: bool = False) -> DataFrame:
+    """J3 on rows: adds ``roles``."""
+    return events.withColumn("roles", roles_for(ontology, F.col(domain), etype, seen, unified))
+
+
 def display_tag(ontology: Ontology, domain: Column, etype: Column) -> Column:
-    """J4 in-row, for label building inside arrays; needs an ontology that fits inline."""
-    own, anywhere = ontology.inline_tags(), ontology.inline_any_tag()
+    """The type's tag in its data set (spellings tried in turn), else in the first data set that has it, else the type.
+
+    An empty tag under the exact spelling counts as found, and the type itself is shown.
+    """
+    own = ontology.tag()
 
     def at(key):
-        return F.try_element_at(own, F.concat_ws("\t", domain, key))
+        return own(_key(domain, key))
 
-    return F.coalesce(
-        at(etype), truthy(at(F.lower(etype))), at(F.upper(etype)), at(F.translate(etype, ":/-", "___")),
-        F.try_element_at(anywhere, etype), etype)
+    tag = F.coalesce(
+        at(etype), truthy(at(F.lower(etype))), at(F.upper(etype)), at(F.translate(etype, ":/-", "___")), ontology.tag_anywhere()(etype))
+    return F.coalesce(truthy(tag), truthy(etype), F.lit("Unknown"))
 
 
 def tag_types(events: DataFrame, ontology: Ontology) -> DataFrame:
-    """J4 as joins, for an ontology of any size: adds ``tag``.
-
-    Candidate keys of a type are tried in order within its data set, then the first data set that has
-    the type.  Only the distinct types are resolved; the events join the small result.
-    """
-    spark = events.sparkSession
-    dim = ontology.dim_event_tags(spark)
-    types = events.select("dataset", "event_type").where(truthy(F.col("event_type")).isNotNull()).distinct()
-    anywhere = dim.groupBy("event_type").agg(F.min_by("tag", "ds_ord").alias("any_tag"))
-    cands = types.join(anywhere, "event_type", "left").select("dataset", "event_type", "any_tag", F.posexplode(F.array(
-        F.col("event_type"), F.lower("event_type"), F.upper("event_type"), F.translate("event_type", ":/-", "___"))).alias("prio", "key"))
-    own = cands.join(dim.select("dataset", F.col("event_type").alias("key"), "tag"), ["dataset", "key"], "left")
-    best = own.groupBy("dataset", "event_type").agg(F.coalesce(
-        F.min_by("tag", F.when(F.col("tag").isNotNull(), F.col("prio"))), F.first("any_tag")).alias("tag"))
-    return events.join(best, ["dataset", "event_type"], "left").withColumn(
-        "tag", F.coalesce("tag", truthy(F.col("event_type")), F.lit("Unknown")))
+    """J4 on rows ``dataset, event_type, …``: adds ``tag``."""
+    return events.withColumn("tag", display_tag(ontology, F.col("dataset"), F.col("event_type")))
 
 
 # ---- J13 / J14 / A15 -------------------------------------------------------------------------

@@ -19,6 +19,8 @@ from spanloom.session import materialise
 
 LANG_DATASET = {"en": "geneva", "fr": "m2e2", "de": "wikievents", "es": "rams"}
 OTHER_DATASET = "geneva"
+# A sentence is numbered by its document and line: room for 67 million lines a text and 137 thousand million documents.
+LINES = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,7 +45,7 @@ def sentences(documents: DataFrame) -> DataFrame:
         .where((F.size("tokens") > 1) | (F.get("tokens", F.lit(0)) != ""))
         .select(
             F.col("doc_id").alias("src_id"),
-            (F.col("doc_id") * 100000 + F.col("line_no")).alias("sid"),
+            (F.col("doc_id") * LINES + F.col("line_no")).alias("sid"),
             (F.col("doc_id") * 1000 + F.col("line_no")).alias("m"),
             F.coalesce(ds[F.col("lang")], F.lit(OTHER_DATASET)).alias("dataset"),
             F.when(F.col("doc_id") % 10 == 8, "val").when(F.col("doc_id") % 10 == 9, "test").otherwise("train").alias("split"),
@@ -153,7 +155,7 @@ def build_outputs(corpus_df: DataFrame, ontology: Ontology | None = None) -> Dat
     onto = ontology or starter_ontology()
     first4 = {ds: list(onto.roles[ds])[:4] for ds in LANG_DATASET.values()}
     types_of = F.create_map(*[x for ds, ts in first4.items() for x in (F.lit(ds), F.array(*[F.lit(t) for t in ts]))])
-    m = F.col("src_id") * 1000 + F.col("sid") % 100000
+    m = F.col("src_id") * 1000 + F.col("sid") % LINES
     types = types_of[F.col("dataset")]
 
     def edited(q):

@@ -7,7 +7,7 @@ nested rows, so that the two share no approach.
 from __future__ import annotations
 
 from spanloom.ontology import starter_ontology
-from spanloom.plans.derived import LANG_DATASET, OTHER_DATASET
+from spanloom.plans.derived import LANG_DATASET, LINES, OTHER_DATASET
 
 ONTO = starter_ontology()
 WS = r"[\s\x1C-\x1F\x{85}\p{Z}]"
@@ -63,7 +63,7 @@ CTE: dict[str, tuple[str, tuple[str, ...]]] = {
     "lines": ("""lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line,
         generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents)""", ()),
     "sent": (f"""sent AS MATERIALIZED (SELECT *, 'doc_' || sid AS doc_id, len(tokens) AS n, {clean("array_to_string(tokens, ' ')")} AS plain FROM (
-        SELECT doc_id AS src_id, doc_id * 100000 + line_no AS sid, doc_id * 1000 + line_no AS m,
+        SELECT doc_id AS src_id, doc_id * {LINES} + line_no AS sid, doc_id * 1000 + line_no AS m,
           CASE lang {' '.join(f"WHEN {lit(k)} THEN {lit(v)}" for k, v in LANG_DATASET.items())} ELSE {lit(OTHER_DATASET)} END AS dataset,
           CASE doc_id % 10 WHEN 8 THEN 'val' WHEN 9 THEN 'test' ELSE 'train' END AS split,
           string_split({spaced('line')}, ' ') AS tokens FROM lines)

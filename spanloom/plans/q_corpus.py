@@ -268,8 +268,7 @@ def w6(spark, sf):
       SELECT dataset, split, doc_id, pos, row_number() OVER w AS r, count(*) OVER (PARTITION BY dataset, split) AS c FROM ev WINDOW w AS (PARTITION BY dataset, split ORDER BY sid, pos))
     WHERE r <= floor(c * 0.25::DOUBLE)""", "ev"))
 def w10(spark, sf):
-    ev = mentions(spark, sf).withColumn("key", F.col("sid") * 100000 + F.col("pos"))
-    return assemble.prefix_fraction(ev, 0.25, "key", ("dataset", "split")).select("dataset", "split", "doc_id", "pos")
+    return assemble.prefix_fraction(mentions(spark, sf), 0.25, "sid", ("dataset", "split"), ("pos",)).select("dataset", "split", "doc_id", "pos")
 
 
 @query("w11_navigation", sql("""SELECT dataset, doc_id, r AS cursor, greatest(r - 1, 0) AS previous, least(r + 1, c - 1) AS next FROM (
@@ -300,8 +299,8 @@ def u1(spark, sf):
 
 @query("u4_amount_compat", sql("""SELECT dataset, split, (count(*) + floor(count(*) * 0.1::DOUBLE))::BIGINT AS n FROM ev GROUP BY ALL""", "ev"))
 def u4(spark, sf):
-    ev = mentions(spark, sf).withColumn("key", F.col("sid") * 100000 + F.col("pos")).select("dataset", "split", "key")
-    both = ev.unionByName(assemble.prefix_fraction(ev, 0.1, "key", ("dataset", "split")))
+    ev = mentions(spark, sf).select("dataset", "split", "sid", "pos")
+    both = assemble.amount_compat(ev, 0.1, "sid", ("dataset", "split"), ("pos",))
     return both.groupBy("dataset", "split").agg(F.count("*").alias("n"))
 
 

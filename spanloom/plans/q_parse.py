@@ -10,7 +10,7 @@ from spanloom.functions import text as T
 from spanloom.ontology import starter_ontology
 from spanloom.operators import parse as X
 from spanloom.operators import review
-from spanloom.plans.derived import corpus, outputs, runs, shared, table
+from spanloom.plans.derived import LINES, corpus, outputs, runs, shared, table
 from spanloom.plans.oracle import CTE, W, WS, clean, spaced, sql, strip, ws
 from spanloom.plans.registry import query
 
@@ -453,7 +453,7 @@ def fps(spark, sf):
 
 def decisions(spark, sf):
     """A decision log from ``labels``: three of four records judged, some first judged ``uncertain``."""
-    r = fps(spark, sf).where(F.col("local_idx") % 4 != 3).withColumn("src_id", F.floor(F.substring("doc_id", 5, 20).cast("long") / 100000))
+    r = fps(spark, sf).where(F.col("local_idx") % 4 != 3).withColumn("src_id", F.shiftright(F.substring("doc_id", 5, 20).cast("long"), LINES.bit_length() - 1))
     j = r.join(table(spark, sf, "labels").select(F.col("doc_id").alias("src_id"), "quality"), "src_id", "left")
     final = F.when(F.col("quality") == 1, "true_positive_missing_gold").when(F.col("quality") == 0, "true_false_positive").otherwise("uncertain")
     rows = F.array(

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from spanloom import schema
-from spanloom.ontology import MAX_INLINE_ENTRIES, Ontology, starter_ontology
+from spanloom.ontology import Lookup, Ontology, starter_ontology
 from spanloom.operators import assemble, harmonise, instances, parse, spans
 from spanloom.plans import derived
 from spanloom.sources import corpus as src
@@ -30,28 +30,28 @@ def by_task(df):
     return {r.task: (r.input, r.output) for r in df.collect()}
 
 
-BOMB = doc(["The", "bomb", "exploded", "and", "injured", "two", "."], [
+CRANE = doc(["The", "crane", "collapsed", "and", "crushed", "two", "."], [
     ("e1", "Conflict:Attack", ("2", "3"), [arg(start="1", end="2", role="Instrument")]), (None, "Life:Die", ("4", "5"), [])])
 
 
 def test_default_layout(spark):
-    got = by_task(instances.build_expressive(frame(spark, BOMB), ONTO))
+    got = by_task(instances.build_expressive(frame(spark, CRANE), ONTO))
     assert got["trigger_identification"] == (
-        "Domain: m2e2. Identify trigger words. The bomb exploded and injured two.", "The bomb trigger> exploded> and trigger> injured> two.")
-    assert got["trigger_classification_pipeline"][1] == "exploded=Conflict:Attack | injured=Life:Die"
-    assert got["event_extraction_e2e"][1] == "trigger>exploded>=Conflict:Attack | argument>bomb>=Instrument || trigger>injured>=Life:Die"
-    assert got["argument_identification_e2e"][1] == "argument>bomb>=Instrument(Conflict:Attack)"
+        "Domain: m2e2. Identify trigger words. The crane collapsed and crushed two.", "The crane trigger> collapsed> and trigger> crushed> two.")
+    assert got["trigger_classification_pipeline"][1] == "collapsed=Conflict:Attack | crushed=Life:Die"
+    assert got["event_extraction_e2e"][1] == "trigger>collapsed>=Conflict:Attack | argument>crane>=Instrument || trigger>crushed>=Life:Die"
+    assert got["argument_identification_e2e"][1] == "argument>crane>=Instrument(Conflict:Attack)"
     assert got["argument_extraction_pipeline"] == (
-        "Domain: m2e2. Extract arguments for a specific event. argument> Attacker | Target | Instrument | Place for trigger> exploded>=Conflict:Attack: "
-        "The bomb exploded and injured two.",
-        "trigger> exploded>=Conflict:Attack: None=Attacker | None=Target | argument> bomb>=Instrument | None=Place")
+        "Domain: m2e2. Extract arguments for a specific event. argument> Attacker | Target | Instrument | Place for trigger> collapsed>=Conflict:Attack: "
+        "The crane collapsed and crushed two.",
+        "trigger> collapsed>=Conflict:Attack: None=Attacker | None=Target | argument> crane>=Instrument | None=Place")
     assert set(got) == set(schema.TASKS)
 
 
 def test_prompt_override_and_human_labels(spark):
-    got = by_task(instances.build_expressive(frame(spark, BOMB), ONTO, human=True, prompts={"identify": "Find them."}))
-    assert got["trigger_identification"][0] == "Domain: m2e2. Find them. The bomb exploded and injured two."
-    assert got["trigger_classification_e2e"][1] == "trigger> exploded>=Conflict Attack | trigger> injured>=Life Die"
+    got = by_task(instances.build_expressive(frame(spark, CRANE), ONTO, human=True, prompts={"identify": "Find them."}))
+    assert got["trigger_identification"][0] == "Domain: m2e2. Find them. The crane collapsed and crushed two."
+    assert got["trigger_classification_e2e"][1] == "trigger> collapsed>=Conflict Attack | trigger> crushed>=Life Die"
 
 
 def test_argument_text_cascade(spark):
@@ -72,38 +72,31 @@ def test_span_rules_and_clamped_types(spark):
     assert new["trigger_classification_pipeline"][1] == "q r=T1 | q r=T1" and old["trigger_classification_pipeline"][1] == "q r=Unknown | q r=Unknown"
 
 
-def test_remapping_agrees(spark, sf_dir):
-    c = derived.corpus(spark, sf_dir)
-    for keep in (True, False):
-        a, b = (harmonise.remap_corpus(c, ONTO, keep, in_row=x).select("doc_id", "event_mentions", "mapped", "unmapped") for x in (True, False))
-        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+def test_lookup_of_any_size(spark):
+    for n in (0, 1, 20, 30_000):
+        look = Lookup({f"k{i}\té": f"v{i}" for i in range(n)})
+        df = spark.range(-5, n + 5, max(1, n // 50)).select("id", look(F.concat(F.lit("k"), F.col("id").cast("string"), F.lit("\té"))).alias("v"))
+        assert all(r.v == (f"v{r.id}" if 0 <= r.id < n else None) for r in df.collect())
 
 
-def test_large_ontology_takes_the_join(spark):
-    big = Ontology(type_map={"m2e2": [[f"T{i}", f"U{i}"] for i in range(MAX_INLINE_ENTRIES + 1)]}, role_map={})
-    assert not big.fits_inline()
-    got = harmonise.remap_corpus(frame(spark, doc(["a"], [("e", "T7", ("0", "1"), [])])), big).first()
-    assert got.event_mentions[0].event_type == "U7" and got.mapped == 1
+def test_large_ontology(spark):
+    big = Ontology(type_map={"m2e2": [[f"T{i}", f"U{i}"] for i in range(30_000)]}, role_map={"m2e2": {"T7": {"A": "B", "a": "C"}}})
+    e = ("e", "T7", ("0", "1"), [arg(text="a", role="A"), arg(text="a", role="a"), arg(text="a", role="x")])
+    got = harmonise.remap_corpus(frame(spark, doc(["a"], [e, (None, "other", ("0", "1"), [])])), big).first()
+    assert [m.event_type for m in got.event_mentions] == ["U7", "other"] and (got.mapped, got.unmapped) == (1, 1)
+    assert [a.role for a in got.event_mentions[0].arguments] == ["B", "C", "x"]
+    plan = harmonise.remap_corpus(frame(spark, doc(["a"], [])), big)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
 
 
-def test_instances_agree_for_a_large_ontology(spark, sf_dir, monkeypatch):
-    """One pass with in-row role lists, or a join to them: the same instances."""
-    c = derived.corpus(spark, sf_dir)
-    for build, human in ((instances.build_expressive, False), (instances.build_expressive, True), (instances.build_indexed, True), (instances.build_plain, False)):
-        small = build(c, ONTO, human=human)
-        with monkeypatch.context() as mp:
-            mp.setattr(Ontology, "fits_inline", lambda self: False)
-            large = build(c, ONTO, human=human)
-        assert "Join" in large._jdf.queryExecution().optimizedPlan().toString()
-        assert small.exceptAll(large).count() == 0 and large.exceptAll(small).count() == 0
-
-
-def test_tags_agree(spark):
-    rows = [("m2e2", "Conflict:Attack"), ("m2e2", "Achieve"), ("x", "Action"), ("m2e2", "none"), ("geneva", "ACTION")]
-    df = spark.createDataFrame(rows, "dataset string, event_type string")
-    a = harmonise.tag_types(df, ONTO).select("dataset", "event_type", "tag")
-    b = df.withColumn("tag", harmonise.display_tag(ONTO, F.col("dataset"), F.col("event_type")))
-    assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
+def test_tags(spark):
+    """Spellings in turn; an empty tag counts as found under the exact or upper-case spelling, and the type is shown."""
+    onto = Ontology(type_tags={"x": {"Aa": "", "bb": "", "BB": "Upper", "CC": "", "d_e": "Alt", "f": "low"}, "y": {"Zz": "Elsewhere", "Aa": "Other"}})
+    want = {"Aa": "Aa", "Bb": "Upper", "cc": "cc", "d:e": "Alt", "F": "low", "Zz": "Elsewhere", "none": "none", "": "Unknown", None: "Unknown"}
+    df = spark.createDataFrame([("x", k) for k in want], "dataset string, event_type string")
+    got = harmonise.tag_types(df, onto)
+    assert {r.event_type: r.tag for r in got.collect()} == want
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_unified_roles(spark):
@@ -121,10 +114,34 @@ def test_row_index_spreads_a_hot_group(spark):
         want[r.g] = want.get(r.g, 0) + 1
 
 
+def test_first_rows_of_hot_and_far_groups(spark):
+    """Large ids, a group with most rows, groups of one row, ties in the first key; the rows themselves are not shuffled."""
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 40).cast("string")).alias("g"),
+        (F.col("id") * 7919 % 1000 + 100_000_000_000).alias("k"), F.col("id").alias("pos"), F.lit("wide").alias("text"))
+    rows = [tuple(r) for r in df.collect()]
+    for quota in (0.0, 0.1, 0.999, 1.0):
+        got = assemble.prefix_fraction(df, quota, "k", ("g",), ("pos",))
+        want = []
+        for g in {r[0] for r in rows}:
+            own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2]))
+            want += own[:int(len(own) * quota)]
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    heads = assemble.first_rows(df, ["g"], "k", lambda total: F.lit(7), ["pos"], bits=4).groupBy("g").count().collect()
+    assert all(r["count"] == min(7, sum(x[0] == r.g for x in rows)) for r in heads) and len(heads) == len({r[0] for r in rows})
+
+
+def test_large_document_ids(spark):
+    docs = spark.createDataFrame([(10**11, "a b c\nd e f\n" + "x\n" * 100_001, "en"), (10**11 + 1, "g h", "en")], "doc_id long, text string, lang string")
+    got = derived.sentences(docs).agg(F.count("*").alias("n"), F.countDistinct("sid").alias("ids"), F.min("sid").alias("least")).first()
+    assert got.n == got.ids == 100_004 and got.least > 0
+
+
 def test_fraction(spark):
     df = spark.range(10).withColumn("g", F.lit("x"))
     assert sorted(r.id for r in assemble.prefix_fraction(df, 0.25, "id", ("g",)).collect()) == [0, 1]
-    assert assemble.amount_compat(df.withColumn("dataset", F.lit(1)).withColumn("task", F.lit(1)).withColumn("split", F.lit(1)), 0.25, "id").count() == 12
+    assert assemble.amount_compat(df, 0.25, "id", ("g",)).count() == 12
 
 
 def test_read_corpus(spark, tmp_path):
@@ -157,8 +174,8 @@ def test_ontology_file(spark, tmp_path):
 
 def test_round_trip(spark):
     """Parsing what the end-to-end layout wrote gives the events back."""
-    en = spans.enrich(frame(spark, BOMB))
-    made = instances.build_expressive(frame(spark, BOMB), ONTO, tasks=["event_extraction_e2e"])
+    en = spans.enrich(frame(spark, CRANE))
+    made = instances.build_expressive(frame(spark, CRANE), ONTO, tasks=["event_extraction_e2e"])
     got = made.join(en.select("doc_id", "plain"), "doc_id").select(F.explode(parse.serving_events(F.col("plain"), F.col("output"))).alias("e")).collect()
     assert [(r.e.trigger.text, r.e.trigger.type, [(a.text, a.role) for a in r.e.arguments]) for r in got] == [
-        ("exploded", "Conflict:Attack", [("bomb", "Instrument")]), ("injured", "Life:Die", [])]
+        ("collapsed", "Conflict:Attack", [("crane", "Instrument")]), ("crushed", "Life:Die", [])]
