@@ -259,9 +259,10 @@ def w1(spark, sf):
     LEFT JOIN us u ON u.sid = a.sid AND u.s = a.s AND u.e = a.raw_e LEFT JOIN (SELECT sid, count(*) AS nu FROM us GROUP BY sid) c ON c.sid = a.sid""", "aeok", "us"))
 def w6(spark, sf):
     en = spans.enrich(corpus(spark, sf))
-    ev = en.select("doc_id", "mentions", "uspans", F.explode(F.filter("mentions", lambda x: x["valid"] & (x["n_args"] > 0))).alias("ev"))
-    return ev.select("doc_id", F.col("ev.pos").cast("long").alias("pos"),
-                     instances.trigger_index(F.col("mentions"), F.col("uspans"), F.col("ev")).cast("long").alias("k"))
+    eligible = F.filter("mentions", lambda x: x["valid"] & (x["n_args"] > 0))
+    ranks = T.let(instances.trigger_places(F.col("mentions"), F.col("uspans")), lambda places: F.transform(eligible, lambda m: F.struct(
+        m["pos"].cast("long").alias("pos"), instances.trigger_index(places, m).cast("long").alias("k"))))
+    return en.select("doc_id", F.explode(ranks).alias("x")).select("doc_id", "x.*")
 
 
 @query("w10_prefix_fraction", sql("""SELECT dataset, split, doc_id, pos FROM (

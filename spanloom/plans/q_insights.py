@@ -357,7 +357,7 @@ query("t22_norm_labels", "SELECT event_id, CASE WHEN event_id % 4 = 2 THEN '' WH
 
 # ---- scoring -----------------------------------------------------------------------------------
 def docs_to_score(spark, sf):
-    return corpus(spark, sf).select("dataset", F.when(F.col("src_id") % 3 == 0, "cross-domain").otherwise("domain-specific").alias("model_type"), "doc_id", T.detokenise(F.col("tokens")).alias("source"))
+    return corpus(spark, sf).select("dataset", F.when(F.col("src_id") % 3 == 0, "cross-domain").otherwise("domain-specific").alias("model_type"), "doc_id", T.detokenise(F.col("tokens")).alias("source"), "src_id")
 
 
 @query("i1_batch_score", sql(
@@ -407,14 +407,24 @@ def i5(spark, sf):
     return out.select("doc_id", F.array_join("event_labels", ",").alias("event_labels"), F.coalesce(F.get(F.get("triggers", F.lit(0)), F.lit(0)), F.lit("")).alias("word"), "failed")
 
 
-@query("i6_infer_runs", sql("SELECT CASE WHEN src_id % 4 = 0 THEN 'kept' ELSE 'scored' END AS status, count(*) AS n FROM sent GROUP BY ALL", "sent"))
+_RUN_KEY = f"coalesce(nullif(doc_id, ''), 'doc-1') || '::' || dataset || '::' || model_type || '::' || left({ws('text')}, 80)"
+
+
+@query("i6_infer_runs", sql(rf"""SELECT status, doc_id, dataset, model_type, CASE WHEN status = 'kept' AND src_id % 8 = 0 THEN 'own-' || doc_id ELSE {_RUN_KEY} END AS result_key,
+      CASE status WHEN 'scored' THEN len(regexp_extract_all(plain, '\p{{L}}{{9,}}')) END AS n_events, CASE WHEN status = 'kept' THEN '2024-01-01' END AS day
+    FROM (SELECT *, CASE WHEN src_id % 7 = 0 THEN '' ELSE plain END AS text, CASE WHEN src_id % 7 = 0 THEN 'empty' WHEN src_id % 4 = 0 THEN 'kept' ELSE 'scored' END AS status,
+      CASE WHEN src_id % 3 = 0 THEN 'cross-domain' ELSE 'domain-specific' END AS model_type
+      FROM (SELECT * REPLACE (CASE WHEN src_id % 11 = 0 THEN 'geneva' ELSE dataset END AS dataset) FROM sent))""", "sent"))
 def i6(spark, sf):
-    """Records with results pass through, the rest are scored."""
-    d = docs_to_score(spark, sf).join(corpus(spark, sf).select("doc_id", "src_id"), "doc_id").withColumn(
-        "raw", F.when(F.col("src_id") % 4 == 0, '{"parsed_detection": {}}').otherwise("{}"))
-    done = insights.has_results(F.col("raw"))
-    todo = scoring.chain(d.where(~done).drop("raw", "src_id"), ONTO, scoring.RuleScorer)
-    return d.where(done).select(F.lit("kept").alias("status")).unionByName(todo.select(F.lit("scored").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    """Records without text, with results of their own, and to be scored; every eleventh names no data set."""
+    s = F.col("src_id")
+    own = F.when(s % 8 == 0, F.concat(F.lit(', "result_key": "own-'), "doc_id", F.lit('"'))).otherwise("")
+    records = docs_to_score(spark, sf).withColumn(
+        "raw", F.when(s % 4 == 0, F.concat(F.lit('{"parsed_detection": {}, "analyzed_at": "2024-01-01T00:00:00"'), own, F.lit("}"))).otherwise("{}")).withColumn(
+        "text", F.when(s % 7 != 0, F.col("source"))).withColumn("dataset", F.when(s % 11 != 0, F.col("dataset")))
+    runs = scoring.infer_runs(records, ONTO, scoring.RuleScorer)
+    return runs.select("status", "doc_id", "dataset", "model_type", "result_key", F.when(F.col("status") == "scored", F.size("pipeline")).alias("n_events"),
+                       F.when(F.col("status") == "kept", F.date_format("analyzed_at", "yyyy-MM-dd")).alias("day"))
 
 
 # ---- streaming ---------------------------------------------------------------------------------
@@ -425,14 +435,17 @@ def _stream(spark, sf, name, df):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("r1_stream_score", sql("SELECT CASE WHEN src_id % 5 = 0 THEN 'rejected' ELSE 'scored' END AS status, count(*) AS n FROM sent GROUP BY ALL", "sent"))
+@query("r1_stream_score", sql(rf"""SELECT doc_id, dataset, model_type, CASE WHEN src_id % 5 = 0 THEN 'rejected' ELSE 'scored' END AS status,
+      CASE WHEN src_id % 5 <> 0 THEN {_RUN_KEY} END AS result_key, CASE WHEN src_id % 5 <> 0 THEN len(regexp_extract_all(plain, '\p{{L}}{{9,}}')) END AS n_events
+    FROM (SELECT *, plain AS text, CASE WHEN src_id % 3 = 0 THEN 'cross-domain' ELSE 'domain-specific' END AS model_type FROM sent)""", "sent"))
 def r1(spark, sf):
-    d = docs_to_score(spark, sf).join(corpus(spark, sf).select("doc_id", "src_id"), "doc_id").select(
-        "doc_id", F.when(F.col("src_id") % 5 != 0, F.col("source")).alias("text"), "dataset", "model_type")
+    """Requests under their aliases; every fifth has no text."""
+    d = docs_to_score(spark, sf).select(F.col("doc_id").alias("id"), F.when(F.col("src_id") % 5 != 0, F.col("source")).alias("text"), F.col("dataset").alias("domain"), "model_type")
     out, rejects, ck = (fresh_path(spark, n) for n in ("r1-out", "r1-rejects", "r1-ck"))
     jobs.score_documents(_stream(spark, sf, "r1", d), ONTO, scoring.RuleScorer, out, rejects, ck).awaitTermination()
-    return spark.read.parquet(out).select(F.lit("scored").alias("status")).unionByName(
-        spark.read.parquet(rejects).select(F.lit("rejected").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
+    ids = ["doc_id", "dataset", "model_type"]
+    scored = spark.read.parquet(out).select(*ids, F.lit("scored").alias("status"), "result_key", F.size("pipeline").alias("n_events"))
+    return scored.unionByName(spark.read.parquet(rejects).select(*ids, F.lit("rejected").alias("status")), allowMissingColumns=True)
 
 
 @query("r2_stream_upsert", """SELECT result_key, count(*) AS n FROM (SELECT DISTINCT 'u' || user_id || '::' || event_type AS result_key FROM events) GROUP BY ALL""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -46,9 +48,28 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+_SCRATCH: ContextVar[list | None] = ContextVar("scratch", default=None)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path nobody has written yet, inside the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{shared_dir(spark).rstrip('/')}/spanloom/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCRATCH.get() is not None:
+        _SCRATCH.get().append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables materialised inside are removed at the end, so that a job that runs for ever does not pile them up."""
+    token = _SCRATCH.set(made := [])
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(token)
+        for path in made:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialise(df, name: str):

@@ -101,12 +101,12 @@ def test_scoring(spark):
 
 
 def test_chain(spark):
-    d = spark.createDataFrame([("geneva", "x", "1", "Argentina rejects reports of transferred uranium"), ("m2e2", "cross-domain", "2", "no words here")],
+    d = spark.createDataFrame([("geneva", "x", "1", "Marseille expects shipments of dehydrated apricots"), ("m2e2", "cross-domain", "2", "no words here")],
                               "dataset string, model_type string, doc_id string, source string")
     got = {r.doc_id: r for r in scoring.chain(d, ONTO, scoring.RuleScorer).collect()}
     one = got["1"]
-    assert [e.trigger.text for e in one.pipeline] == ["Argentina", "transferred"] and [e.trigger.text for e in one.e2e] == ["transferred"]
-    assert one.merged == [] and one.pipeline[1].arguments[0].text == "Argentina rejects" and one.pipeline[1].trigger.start == 29
+    assert [e.trigger.text for e in one.pipeline] == ["Marseille", "shipments", "dehydrated"] and [e.trigger.text for e in one.e2e] == ["shipments", "dehydrated"]
+    assert one.merged == [] and one.pipeline[1].arguments[0].text == "Marseille expects" and one.pipeline[1].trigger.start == 18
     assert got["2"].pipeline == [] and got["2"].complete_e2e == [] and one.failed == ""
 
 
@@ -172,6 +172,37 @@ def test_supplied_triggers_are_reused(spark):
     assert r.ae_pipeline == ["trigger> ran>=Action: argument> she ran>=Agent | None=Place"] and r.ae_e2e == [] and r.failed == ""
 
 
+def test_records_become_runs(spark):
+    """Empty, kept and scored records, defaults, keys of their own; triggers a request brings are used as they are."""
+    rows = [("a", None, "", "wonderful day", "{}"), (None, "m2e2", "cross-domain", "", '{"parsed_detection": 1}'), ("c", "rams", "x", "some  text", '{"parsed_detection": {}}'),
+            ("d", "rams", "x", "t", '{"event_detection_item": 1, "result_key": "mine", "analyzed_at": "2024-01-02T03:04:05"}'), ("e", "", None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id string, dataset string, model_type string, text string, raw string")
+    got = {r.doc_id: r for r in scoring.infer_runs(df, ONTO, scoring.RuleScorer).collect()}
+    assert {k: (r.status, r.result_key) for k, r in got.items()} == {
+        "a": ("scored", "a::geneva::domain-specific::wonderful day"), "doc-1": ("empty", "doc-1::m2e2::cross-domain::"), "c": ("kept", "c::rams::x::some text"),
+        "d": ("kept", "mine"), "e": ("empty", "e::geneva::domain-specific::")}
+    assert got["a"].pipeline[0].trigger.text == "wonderful" and got["c"].pipeline is None and all(r.analyzed_at for r in got.values())
+    assert str(got["d"].analyzed_at) == "2024-01-02 03:04:05" and got["c"].raw
+
+    one = "array(struct('ran' as text, 'Action' as type, 4 as start, 6 as end))"
+    batch = spark.sql(f"select 'rams' domain, 'she ran wonderfully' source, '7' id, {one} t_pipeline, cast(null as array<struct<text string, type string, start int, end int>>) t_e2e, "
+                      f"{one} t_merged union all select null, 'a wonderful day', '', null, null, null")
+    asked = jobs.requests_of(batch)
+    run = {r.doc_id: r for r in scoring.chain(asked.withColumnRenamed("text", "source"), ONTO, scoring.RuleScorer).collect()}
+    assert [e.trigger.text for e in run["7"].pipeline] == ["ran"] == [e.trigger.text for e in run["7"].merged] and run["7"].e2e == [] and run["7"].dataset == "rams"
+    assert [e.trigger.text for e in run["api-doc"].pipeline] == ["wonderful"] and run["api-doc"].dataset == "geneva"
+
+
+def test_scratch_tables_are_removed(spark):
+    import os
+    from spanloom.session import materialise, scratch
+    with scratch(spark):
+        path = materialise(spark.range(3), "gone").inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
+        assert os.path.exists(path)
+    assert not os.path.exists(path)
+    assert os.path.exists(materialise(spark.range(3), "stays").inputFiles()[0].removeprefix("file://"))
+
+
 def test_repeated_ids_stay_apart(spark):
     d = spark.createDataFrame([("geneva", "x", "api-doc", "first wonderful text"), ("geneva", "x", "api-doc", "other terrifying words")],
                               "dataset string, model_type string, doc_id string, source string")
