@@ -9,7 +9,7 @@ weighted Jaccard similarity of the shingles decides.
 A window that can reach the similarity ``least`` has at least that share of its shingles among the item's, so windows with
 fewer shingles known from any item are passed over before fingerprinting; no result depends on this.
 
-Items are taken in blocks of ``block`` (a block is what a task holds), each block against all documents.
+Items are taken in blocks of bounded number and length (a block is what a task holds), each block against all documents.
 
 Defined cases: null or empty texts and items match nothing; repeated rows are judged alike; an empty benchmark or table gives
 no matches; a document shorter than an item has no window for it.
@@ -18,7 +18,6 @@ no matches; a document shorter than an item has no window for it.
 from __future__ import annotations
 
 from collections import defaultdict
-from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -140,11 +139,18 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, least: float) -> l
     return [(d, item, at, n, sim, count[d, item, n]) for (d, item, n), (sim, at) in sorted(best.items(), key=lambda x: x[0])]
 
 
-def item_blocks(benchmark: DataFrame, block: int):
-    """Items as lists of at most ``block``, fetched a part at a time."""
+def item_blocks(benchmark: DataFrame, block: int, chars: int = 1 << 25):
+    """Items as lists of at most ``block`` items and ``chars`` characters (a longer item is a list of its own), fetched a part at a time."""
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("long"), F.lit(NULL_ID)).alias("item_id"), F.col("text").cast("string").alias("text"))
-    for part in batched((tuple(r) for r in rows.where("text is not null").toLocalIterator()), block):
-        yield list(part)
+    part, size = [], 0
+    for item_id, text in rows.where("text is not null").toLocalIterator():
+        if part and (len(part) == block or size + len(text) > chars):
+            yield part
+            part, size = [], 0
+        part.append((item_id, text))
+        size += len(text)
+    if part:
+        yield part
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radius: int = 22, block: int = 20000) -> DataFrame:
@@ -152,7 +158,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8, radi
     ddl = "doc_id long, item_id long, start_word long, n_words long, similarity double, n_windows long"
     out = docs.sparkSession.createDataFrame([], ddl)
     for items in item_blocks(benchmark, block):
-        index = docs.sparkSession.sparkContext.broadcast(Index(items, radius))  # at most ``block`` items
+        index = docs.sparkSession.sparkContext.broadcast(Index(items, radius))  # bounded by ``item_blocks``
 
         def run(batches, index=index):
             for rows, data, off in text_pieces(batches):

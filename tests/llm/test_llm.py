@@ -362,3 +362,17 @@ def test_pipeline_stages(spark, docs, sf_dir):
     assert len(corpus_pipeline.secret_scan(spark, frame, sf_dir).toPandas()) == len(docs)
     out = corpus_pipeline.run(spark, sf_dir).toPandas()
     assert set(out.doc_id) <= set(kept.doc_id) & set(clean.doc_id)
+
+
+def test_benchmark_blocks_are_bounded(spark):
+    """Blocks end at a number of items or of characters; every item with a text is in one of them, and splitting changes no result."""
+    items = [(i, None if i == 3 else "w" * (i * 10)) for i in range(9)]
+    frame = spark.createDataFrame(items, "item_id long, text string").coalesce(1)
+    blocks = list(decontam.item_blocks(frame, 3, 100))
+    assert sorted(x for b in blocks for x in b) == sorted((i, t) for i, t in items if t is not None)
+    assert all(len(b) <= 3 and (len(b) == 1 or sum(len(t) for _, t in b) <= 100) for b in blocks)
+    assert list(decontam.item_blocks(frame.limit(0), 3)) == []
+    bench = spark.createDataFrame([(i, " ".join(f"q{i}x{j}" for j in range(9 + i % 3))) for i in range(7)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "lead in " + " ".join(f"q{i}x{j}" for j in range(12)) + " out") for i in range(0, 12, 2)], "doc_id long, text string")
+    one, many = (sorted(map(tuple, decontam.contaminated(docs, bench, block=n).collect())) for n in (100, 2))
+    assert one == many and {r[0] for r in one} == {0, 2, 4, 6}
