@@ -1,10 +1,12 @@
 """Benchmark decontamination by SimHash of item-sized windows.
 
 An item is a benchmark text as lower-cased words and its weighted five-word shingles (weight: how often the shingle occurs;
-fewer words are one shingle).  Every window of a document that has as many words as some item is a candidate place.  Windows
+fewer words are one shingle).  Every window of a document that has as many words as some item is a candidate place; for items
+of more words than the whole document, the document is the one window.  Windows
 and items get 64-bit SimHash fingerprints over their weighted shingles; a multi-index over eight 8-bit blocks returns all
 items within ``radius`` bits (two fingerprints within r bits agree up to r // 8 bits in at least one block), and the exact
-weighted Jaccard similarity of the shingles decides.
+weighted Jaccard similarity of the shingles decides.  A document that is shorter than an item needs no fingerprint: its
+shingles are counted among those of all longer items, which gives the similarity itself.
 
 A window that can reach the similarity ``least`` has at least that share of its shingles among the item's, so windows with
 fewer shingles known from any item are passed over before fingerprinting; no result depends on this.
@@ -12,7 +14,7 @@ fewer shingles known from any item are passed over before fingerprinting; no res
 Items are taken in blocks of bounded number and length (a block is what a task holds), each block against all documents.
 
 Defined cases: null or empty texts and items match nothing; repeated rows are judged alike; an empty benchmark or table gives
-no matches; a document shorter than an item has no window for it.
+no matches; a document shorter than an item is compared whole (``n_words`` is then the document's number of words).
 """
 
 from __future__ import annotations
@@ -73,6 +75,12 @@ class Index:
             blocks = prints.view(np.uint8).reshape(-1, 8)
             near = [_NEAR[:, blocks[:, j]] <= radius // 8 for j in range(8)]
             self.sizes[n] = ([i for i, _ in found], prints, near, [numbered(s) for _, s in found])
+        # Keys of all items with full shingles, each with its item: for texts of fewer words than the item.
+        long = [(n, i, keys) for n, (ids, _, _, own) in self.sizes.items() if n > SHINGLE for i, keys in zip(ids, own)]
+        self.long_ids, self.long_n = [i for _, i, _ in long], np.array([n for n, _, _ in long], np.int64)
+        key = np.concatenate([np.empty(0, np.uint64), *[keys for _, _, keys in long]])
+        order = np.argsort(key, kind="stable")
+        self.long_key, self.long_item = key[order], np.repeat(np.arange(len(long)), self.long_n - SHINGLE + 1)[order]
 
     def within(self, n: int, prints: np.ndarray):
         """Pairs (window, item of n words) whose fingerprints differ in at most ``radius`` bits."""
@@ -88,6 +96,15 @@ class Index:
             ok = np.bitwise_count(part[a] ^ own[b]) <= self.radius
             yield from zip((a[ok] + lo).tolist(), b[ok].tolist())
 
+    def longer(self, n: int, keys: np.ndarray, least: float) -> list[tuple[int, float]]:
+        """Items of more than ``n`` words, and their similarity to a text of ``n`` words with these numbered shingles."""
+        lo, hi = np.searchsorted(self.long_key, keys, "left"), np.searchsorted(self.long_key, keys, "right")
+        both = np.zeros(len(self.long_ids), np.int64)
+        for a, b in zip(lo.tolist(), hi.tolist()):
+            both[self.long_item[a:b]] += 1  # a key occurs once in an item
+        sim = both / (len(keys) + self.long_n - SHINGLE + 1 - both)
+        return [(self.long_ids[i], float(sim[i])) for i in np.flatnonzero((self.long_n > n) & (sim >= least))]
+
 
 def _member(known: np.ndarray, filter_bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     """Whether each hash is among the sorted ``known``; a small bit table answers most of the time."""
@@ -136,6 +153,18 @@ def find(data: np.ndarray, offsets: np.ndarray, index: Index, least: float) -> l
                     count[key] += 1
                     if key not in best or sim > best[key][0]:
                         best[key] = (sim, at - int(w.ptr[w.doc[at]]))
+    if SHINGLE in state and len(index.long_n):
+        s, total = state[SHINGLE]
+        size = np.diff(w.ptr)
+        m = size - SHINGLE + 1
+        short = np.flatnonzero((m > 0) & (size < index.long_n.max()))
+        known = total[w.ptr[short] + m[short]] - total[w.ptr[short]]
+        for d in short[known >= least * m[short] - 1e-9].tolist():
+            for item, sim in index.longer(int(size[d]), numbered(s[w.ptr[d]:w.ptr[d] + m[d]]), least):
+                key = (d, item, int(size[d]))
+                count[key] = max(count[key], 1)
+                if key not in best or sim > best[key][0]:
+                    best[key] = (sim, 0)
     return [(d, item, at, n, sim, count[d, item, n]) for (d, item, n), (sim, at) in sorted(best.items(), key=lambda x: x[0])]
 
 

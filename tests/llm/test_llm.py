@@ -306,6 +306,30 @@ def test_op9_against_all_windows(spark, docs, sf_dir):
     assert {(r.doc_id, r.item_id): round(r.similarity, 9) for r in out.itertuples()} == {k: round(v, 9) for k, v in want.items()} and want
 
 
+def test_op9_texts_shorter_than_the_item(spark):
+    """An item less its last words is a whole document; its similarity counts the shingles of both."""
+    items = [(1, [f"a{j}" for j in range(59)]), (2, [f"b{j % 7}" for j in range(40)]), (3, [f"c{j}" for j in range(9)]), (4, [f"d{j}" for j in range(4)]), (5, [f"a{j}" for j in range(58)])]
+    cut = [(100 * i + k, w[:len(w) - k]) for i, w in items for k in range(len(w))] + [(900, ["b0", "b1", "b2", "b3", "b4"] * 3), (901, [])]
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in cut], "doc_id long, text string")
+    shingles = lambda w: Counter(tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4)))
+    want = {}
+    for r in docs.collect():
+        w = r.text.split()
+        for item, x in items:
+            for n in {min(len(x), len(w))} - {0}:
+                for a in range(len(w) - n + 1):
+                    o, s = shingles(w[a:a + n]), shingles(x)
+                    both = sum((o & s).values())
+                    sim = both / (sum(o.values()) + sum(s.values()) - both)
+                    if sim >= 0.8:
+                        want[r.doc_id, item] = max((round(sim, 9), n), want.get((r.doc_id, item), (0, n)))
+    got = {(r.doc_id, r.item_id): (round(r.similarity, 9), r.n_words) for r in decontam.contaminated(docs, bench).collect()}
+    assert got == want and got[102, 1] == (round(53 / 55, 9), 57) and (301, 3) in got
+    left = {r.doc_id for r in decontam.without_contaminated(docs, bench).collect()}
+    assert left == {r.doc_id for r in docs.collect()} - {d for d, _ in want}
+
+
 def test_multi_index_finds_all_within_radius():
     rng = np.random.default_rng(4)
     index = decontam.Index([(i, " ".join(f"q{i}_{j}" for j in range(12))) for i in range(200)], 22)
