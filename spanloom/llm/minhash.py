@@ -16,7 +16,7 @@ Only connectedness is wanted, so pairs are not all expanded.  First each list li
 these links are confirmed and merged into components, only members of one list that are still in different components are
 compared (in blocks, see ``possible_partners``), so no link between different texts is lost and no group emits its pairs.
 
-At similarity 0.8 a pair agrees in 38.4 of 48 coordinates on average; the chance that it agrees in fewer than 26 is 1.3e-5 (and 3e-8 at 0.85).
+At similarity 0.8 a pair agrees in 38.4 of 48 coordinates on average; the chance that it agrees in fewer than 22 is 3.4e-8.
 
 Rows: one id with different texts counts as one document that has the links of each.  Null ids take no part in linking, are
 their own group (null component) and are kept.  Repeated rows are one text, each with a row in the result.  An empty table
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.words import NULL_ID, docs_table, mix, restore_id, roll, source, text_pieces, words_of
 from spanloom.session import materialise
 
-COORDINATES, MATCHES = 48, 26
+COORDINATES, MATCHES = 48, 22
 _PIECE_DOCS = 1 << 15
 _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 

@@ -187,6 +187,17 @@ def test_op3_links_across_components(spark, monkeypatch):
     assert {i: top(i) for i in sets} == got.to_dict()
 
 
+def test_op3_pair_with_few_common_coordinates(spark):
+    """A pair of similarity 0.8 whose signatures agree in 24 of 48 coordinates is linked."""
+    i = 321996
+    shared = " ".join(f"{i}s{j}" for j in range(81))
+    rows = [(n, shared + "".join(f" {i}{own}{j}" for j in range(10))) for n, own in enumerate("ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    a, b = ([r.sig for r in minhash.marks(docs, 2).orderBy("doc_id").collect()])
+    assert sum(x == y for x, y in zip(a, b)) == 24
+    assert [r.component_id for r in minhash.groups(docs, k=2, least=80).collect()] == [0, 0]
+
+
 def test_op4_rules(spark, sf_dir):
     listed = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
     out = QUERIES["op4_url_filter"](spark, sf_dir).toPandas().set_index("page_id")
