@@ -40,7 +40,11 @@ _SEEDS = mix(np.arange(1, 1025, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct 48-bit shingles of all texts, sorted within each, and the pointer of each text into them."""
+    """Distinct 48-bit shingles of all texts, sorted within each, and the pointer of each text into them.
+
+    Texts are numbered in 16 bits: at most 65,535 at once.
+    """
+    assert len(offsets) <= 1 << 16
     w = words_of(data, offsets, lower=True)
     win, at = w.windows(k)
     doc = w.doc[at]
@@ -137,7 +141,8 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, least: int) -> DataFra
 
 def _sets(texts: pd.Series, k: int):
     """The shingles of each text, in order."""
-    for _, data, off in text_pieces([pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])]):
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    for _, data, off in text_pieces(whole.slice(lo, _PIECE_DOCS) for lo in range(0, len(texts), _PIECE_DOCS)):
         cell, ptr = shingle_sets(data, off, k)
         yield from (cell[x:y] for x, y in zip(ptr[:-1], ptr[1:]))
 

@@ -198,6 +198,14 @@ def test_op3_pair_with_few_common_coordinates(spark):
     assert [r.component_id for r in minhash.groups(docs, k=2, least=80).collect()] == [0, 0]
 
 
+def test_op3_sets_of_very_many_short_texts():
+    """More texts than 16 bits number: each still has its own set."""
+    got = list(minhash._sets(pd.Series([f"t{i}" for i in range(70_000)]), 2))
+    alone = [next(minhash._sets(pd.Series([f"t{i}"]), 2)) for i in (0, 4_463, 65_535, 65_536, 69_999)]
+    assert len(got) == 70_000 and {len(x) for x in got} == {1}
+    assert [got[i].tolist() for i in (0, 4_463, 65_535, 65_536, 69_999)] == [x.tolist() for x in alone]
+
+
 def test_op4_rules(spark, sf_dir):
     listed = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
     out = QUERIES["op4_url_filter"](spark, sf_dir).toPandas().set_index("page_id")
