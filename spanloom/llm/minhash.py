@@ -15,6 +15,8 @@ and then confirmed on their full sets.
 Only connectedness is wanted, so pairs are not all expanded.  First each list links its members to its smallest one.  After
 these links are confirmed and merged into components, only members of one list that are still in different components are
 compared (in blocks, see ``possible_partners``), so no link between different texts is lost and no group emits its pairs.
+Members that are all in different components meet in every two chunks of the list: this part grows with the square of their number,
+spread over groups of bounded size.
 
 At similarity 0.8 a pair agrees in 38.4 of 48 coordinates on average; the chance that it agrees in fewer than 22 is 3.4e-8.
 
@@ -147,36 +149,66 @@ def _sets(texts: pd.Series, k: int):
         yield from (cell[x:y] for x, y in zip(ptr[:-1], ptr[1:]))
 
 
-def possible_partners(star: DataFrame, reps: DataFrame, least: int, matches: int, chunk: int = 512) -> DataFrame:
-    """``hub, i, j, rep, n, sig, g, star``: texts whose size and signature allow a link with another text of the same hub.
+def agreeing(star: DataFrame, reps: DataFrame, least: int, matches: int) -> DataFrame:
+    """Pairs ``a, b`` of ``star`` whose sizes and signatures allow a link."""
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, y, na, nb = (b.column(b.schema.get_field_index(c)) for c in ("sa", "sb", "na", "nb"))
+                x, y = (v.flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for v in (x, y))
+                na, nb = na.to_numpy(), nb.to_numpy()
+                ok = (100 * np.minimum(na, nb) >= least * np.maximum(na, nb)) & ((x == y).sum(1) >= matches)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    left, right = (reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
+    return star.join(right, "b").join(left, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
+
+
+#: Weight of the rows a group of Python rows holds on average; a row weighs one and one more for each 1024 shingles.
+GROUP_WEIGHT = 4096
+
+
+def possible_partners(star: DataFrame, root: DataFrame, reps: DataFrame, least: int, matches: int, chunk: int = 512) -> DataFrame:
+    """``hub, i, j, c, rep, root, n, sig, g``: texts whose size and signature allow a link with a text of the same hub in another component.
 
     Two texts of one posting list are both partners of the list's smallest text, so the partners of each such hub hold all
-    pairs there are.  A hub's partners are dealt into chunks and every two chunks (i, j) meet in one group; many hubs are
-    small, so a group ``g`` of Python rows holds several.  Texts are returned, never pairs; ``star`` marks those whose
-    signature agrees with the hub's own.
+    pairs there are; the hub's own pairs are decided before.  Hubs whose partners are all in one component are done.  The
+    partners of the others are dealt into chunks ``c`` of bounded weight: a large component has chunks of its own, small ones
+    share.  Every two chunks (i, j) that hold different components meet in one block.  Blocks are dealt to as many groups
+    ``g`` as their rows need, so a group holds a bounded number of rows whatever the hub.  Texts are returned, never pairs.
     """
-    member = materialise(star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).union(star.select("a", "a")).distinct(), "partners")
-    hubs = member.groupBy("hub").agg(F.ceil(F.count("*") / chunk).cast("int").alias("p"))
-    dealt = member.join(hubs, "hub").join(reps.select("rep", "n", "sig"), "rep")
-    own = dealt.withColumn("c", F.pmod(F.xxhash64("rep"), "p").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("p") - 1)))
-    own = own.select("hub", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "rep", "n", "sig")
-    own = own.withColumn("g", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, member.count() // 2048))))
+    weight = 1 + F.col("n") / 1024
+    named = star.select(F.col("a").alias("hub"), F.col("b").alias("rep")).join(root.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "rep", F.coalesce("root", "rep").alias("root"))
+    split = named.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
+    member = materialise(named.join(split, "hub").join(reps.select("rep", "n"), "rep").select("hub", "rep", "root", "n"), "partners")
+    parts = member.groupBy("hub", "root").agg(F.sum(weight).alias("size"))
+    small = parts.where(F.col("size") < chunk).groupBy("hub").agg(F.ceil(F.sum("size") / chunk).alias("p"))
+    large = parts.where(F.col("size") >= chunk).select("hub", "root", F.ceil(F.col("size") / chunk).alias("q"), F.col("root").alias("owner"))
+    own = F.xxhash64("hub", "owner", F.pmod(F.xxhash64("rep"), "q"))
+    shared = F.xxhash64("hub", F.pmod(F.xxhash64("root"), "p"))
+    dealt = member.join(large, ["hub", "root"], "left").join(small, "hub", "left").select("hub", "rep", "root", "n", "owner", F.when(F.col("owner").isNull(), shared).otherwise(own).alias("c"))
+    dealt = materialise(dealt, "dealt")
+    chunks = dealt.groupBy("hub", "c").agg(F.first("owner").alias("owner"), F.sum(weight).alias("size"))
+    x, y = (chunks.select("hub", F.col("c").alias(v), F.col("owner").alias(f"o{v}"), F.col("size").alias(f"w{v}")) for v in "ij")
+    meet = (F.col("i") < F.col("j")) & (F.col("oi").isNull() | F.col("oj").isNull() | (F.col("oi") != F.col("oj"))) | (F.col("i") == F.col("j")) & F.col("oi").isNull()
+    blocks = x.join(y, "hub").where(meet).select("hub", "i", "j", (F.col("wi") + F.when(F.col("i") < F.col("j"), F.col("wj")).otherwise(0)).alias("size"))
+    blocks = materialise(blocks, "blocks")
+    total = blocks.agg(F.coalesce(F.sum("size"), F.lit(0.0))).first()[0]
+    sides = blocks.select("hub", "i", "j", F.col("i").alias("c")).union(blocks.where("i < j").select("hub", "i", "j", "j"))
+    rows = dealt.select("hub", "rep", "root", "n", "c").join(sides, ["hub", "c"]).join(reps.select("rep", "sig"), "rep")
+    rows = rows.select("hub", "i", "j", "c", "rep", "root", "n", "sig", F.pmod(F.xxhash64("hub", "i", "j"), F.lit(max(1, int(total // GROUP_WEIGHT)))).alias("g"))
 
     def hopeful(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["hub", "i", "j"]).reset_index(drop=True)
-        rep, hub, star, use = frame.rep.to_numpy(), frame.hub.to_numpy(), np.zeros(len(frame), bool), [np.empty(0, np.int64)]
-        for a, x, y in _pairs(frame, frame.rep.to_numpy(), least, matches):
-            use.append(a + np.union1d(x, y))
-            with_hub = (rep[a + x] == hub[a]) | (rep[a + y] == hub[a])
-            star[a + x[with_hub]] = star[a + y[with_hub]] = True
-        return frame.assign(star=star).iloc[np.concatenate(use)]
+        use = [np.empty(0, np.int64), *[a + np.union1d(x, y) for a, x, y in _pairs(frame, frame.root.to_numpy(), least, matches)]]
+        return frame.iloc[np.concatenate(use)]
 
-    return own.groupBy("g").applyInPandas(hopeful, "hub long, i int, j int, rep long, n long, sig array<int>, g long, star boolean")
+    return rows.groupBy("g").applyInPandas(hopeful, "hub long, i long, j long, c long, rep long, root long, n long, sig array<int>, g long")
 
 
 def _pairs(frame: pd.DataFrame, root: np.ndarray, least: int, matches: int):
     """For each hub and two chunks: the first row, and the pairs of rows of different ``root`` whose sizes and signatures allow a link."""
-    sig, n = np.array(frame.sig.tolist(), np.int32), frame.n.to_numpy()
+    sig, n, c = np.array(frame.sig.tolist(), np.int32), frame.n.to_numpy(), frame.c.to_numpy()
     key = frame[["hub", "i", "j"]].to_numpy()
     begin = np.flatnonzero(np.append(True, (key[1:] != key[:-1]).any(1)))
     for a, b in zip(begin.tolist(), np.append(begin[1:], len(n)).tolist()):
@@ -184,6 +216,8 @@ def _pairs(frame: pd.DataFrame, root: np.ndarray, least: int, matches: int):
         for lo in range(a, b, 64):
             hi = min(lo + 64, b)
             ok = (root[lo:hi, None] != root[None, a:b]) & (100 * np.minimum(n[lo:hi, None], n[None, a:b]) >= least * np.maximum(n[lo:hi, None], n[None, a:b]))
+            if key[a, 1] != key[a, 2]:  # pairs within a chunk belong to its own block
+                ok &= c[lo:hi, None] != c[None, a:b]
             x, y = np.nonzero(ok)
             x += lo - a
             x, y = x[y > x], y[y > x]
@@ -195,14 +229,11 @@ def _pairs(frame: pd.DataFrame, root: np.ndarray, least: int, matches: int):
             yield a, np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
 
 
-def across(few: DataFrame, root: DataFrame, texts: DataFrame, k: int, least: int, matches: int) -> DataFrame:
+def across(few: DataFrame, texts: DataFrame, k: int, least: int, matches: int) -> DataFrame:
     """Confirmed links ``a, b`` between different components, enough of them to connect all that are linked.
 
     ``few`` comes from ``possible_partners``; a group returns links, never pairs.
     """
-    named = few.join(root.withColumnRenamed("node", "rep"), "rep", "left").select("hub", "i", "j", "rep", "n", "sig", "g", F.coalesce("root", "rep").alias("root"))
-    split = named.groupBy("hub").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("hub")
-
     def link(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["hub", "i", "j"]).reset_index(drop=True)
         rep, ids, sets = frame.rep.to_numpy(), pd.factorize(frame.root)[0], list(_sets(frame.text, k))
@@ -223,7 +254,7 @@ def across(few: DataFrame, root: DataFrame, texts: DataFrame, k: int, least: int
                         links.append((rep[x], rep[y]))
         return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
-    return named.join(split, "hub").join(texts, "rep").groupBy("g").applyInPandas(link, "a long, b long")
+    return few.join(texts, "rep").groupBy("g").applyInPandas(link, "a long, b long")
 
 
 def groups(docs: DataFrame, k: int = 5, least: int = 80, coordinates: int = COORDINATES, matches: int = MATCHES) -> DataFrame:
@@ -237,15 +268,21 @@ def groups(docs: DataFrame, k: int = 5, least: int = 80, coordinates: int = COOR
     reps = materialise(first.select("f1", "f2", "n", F.col("r.doc_id").alias("rep_id"), F.col("r.text_key").alias("rep_key"), F.xxhash64("f1", "f2", "n").alias("rep"), "sig"), "classes")
     posts = materialise(postings(reps, matches), "postings")
     hub = posts.groupBy("key").agg(F.min("rep").alias("a"))
-    star = posts.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct()
-    few = materialise(possible_partners(star, reps, least, matches), "possible")
+    star = materialise(posts.join(hub, "key").where("rep <> a").select("a", F.col("rep").alias("b")).distinct(), "star")
+
+    def read(wanted: DataFrame, *hint: str) -> DataFrame:
+        """Texts of the classes ``wanted``, read again."""
+        rows = wanted.join(reps.select("rep", F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("text_key")), "rep")
+        keyed = docs.withColumn("text_key", F.xxhash64("text")).join(rows.hint(*hint) if hint else rows, ["doc_id", "text_key"])
+        return materialise(keyed.groupBy("doc_id", "text_key").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "texts")
 
     # Only texts with a possible partner are read again.  A merge join at every size: its order serves the grouping after it.
-    wanted = few.select("rep").distinct().join(reps.select("rep", F.col("rep_id").alias("doc_id"), F.col("rep_key").alias("text_key")), "rep")
-    keyed = docs.withColumn("text_key", F.xxhash64("text")).join(wanted.hint("merge"), ["doc_id", "text_key"])
-    texts = materialise(keyed.groupBy("doc_id", "text_key").agg(F.first("rep").alias("rep"), F.first("text").alias("text")).select("rep", "text"), "texts")
-    links = materialise(confirmed(few.where("star and rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct(), texts, k, least), "links-first")
-    more = materialise(across(few, components(links), texts, k, least, matches), "links-second")
+    near = materialise(agreeing(star, reps, least, matches), "agreeing")
+    texts = read(near.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "merge")
+    links = materialise(confirmed(near, texts, k, least), "links-first")
+    few = materialise(possible_partners(star, components(links), reps, least, matches), "possible")
+    rest = materialise(few.select("rep").distinct().join(texts.select("rep"), "rep", "left_anti"), "rest")
+    more = materialise(across(few, texts.unionByName(read(rest)), k, least, matches), "links-second")
     # An id with several texts ties their classes together.
     ids = marked.where((F.col("n") > 0) & (F.col("doc_id") != NULL_ID)).select("doc_id", F.xxhash64("f1", "f2", "n").alias("rep"))
     ties = ids.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("doc_id", "a")

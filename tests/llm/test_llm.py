@@ -13,6 +13,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import rows_of
@@ -206,6 +207,26 @@ def test_op3_sets_of_very_many_short_texts():
     assert [got[i].tolist() for i in (0, 4_463, 65_535, 65_536, 69_999)] == [x.tolist() for x in alone]
 
 
+def test_op3_groups_of_a_hot_hub_are_bounded(spark, monkeypatch):
+    """Partners of one hub: a bounded number of rows a group, every two components in one block, a single stranger costs no square."""
+    monkeypatch.setattr(minhash, "GROUP_WEIGHT", 256)
+    n = 600
+    reps = spark.range(n + 1).select(F.col("id").alias("rep"), F.lit(10).cast("long").alias("n"), F.array_repeat(F.lit(7), 48).alias("sig"))
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("a"), F.col("id").alias("b"))
+    none = spark.createDataFrame([], "node long, root long")
+    got = minhash.possible_partners(star, none, reps, 80, 22, chunk=32).toPandas()
+    assert got.groupby("g").size().max() < 5 * 256 and len(got) > 5 * n
+    met = np.zeros((n + 1, n + 1), int)
+    for (i, j), b in got.groupby(["i", "j"]):
+        r, c = b.rep.to_numpy(), b.c.to_numpy()
+        met[np.ix_(r, r)] += (c[:, None] != c[None, :]) | (i == j)
+    assert (met[1:, 1:] == 1).all()
+    one = spark.range(1, n).select(F.col("id").alias("node"), F.lit(1).cast("long").alias("root"))
+    got = minhash.possible_partners(star, one, reps, 80, 22, chunk=32).toPandas()
+    assert set(got.rep) == set(range(1, n + 1)) and len(got) < 2 * n
+    assert minhash.possible_partners(star, one.union(spark.createDataFrame([(n, 1)], none.schema)), reps, 80, 22, chunk=32).count() == 0
+
+
 def test_op4_rules(spark, sf_dir):
     listed = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
     out = QUERIES["op4_url_filter"](spark, sf_dir).toPandas().set_index("page_id")
