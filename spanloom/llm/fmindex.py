@@ -15,7 +15,8 @@ in one shard, and every segment is searched in one index only; the work grows wi
    Burrows-Wheeler transform, wavelet matrix with packed bits.  The segments are streamed through backward search, all in step;
    at ``window`` words the match is shortened by its last word before it is extended.  What comes out are matching statistics
    capped at ``window`` and, for each window, the suffix interval with its earliest occurrence.
-3. A minimizer with more than ``HOT`` different segments is dealt out window by window, by the hash of the window itself.
+3. A minimizer with more than ``HOT`` different segments is dealt out window by window: an aggregate by the hash of the window,
+   combined before its shuffle, finds the earliest place of each, and all others are removed.  No index holds them.
 
 Defined cases: null text has no words; repeated rows (one id, one text) are one document, with a row each; a null id is the
 largest id; texts shorter than a window lose nothing; an empty table gives an empty result.
@@ -290,13 +291,7 @@ def repeats(loaded: DataFrame, shards: int) -> DataFrame:
             for d, asks in enumerate(rows.column(rows.schema.get_field_index("asks")).to_pylist()):
                 a = np.frombuffer(b"".join(asks), _ASK)
                 whole = a[a["kind"] == INDEX]
-                single = a[a["kind"] == SINGLY]
-                count = single["n"].astype(np.int64) - WINDOW + 1
-                one = np.repeat(single["start"].astype(np.int64), count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count))
-                at = np.concatenate([whole["start"].astype(np.int64), one]) + w.ptr[d]
-                begin.append(at), length.append(np.concatenate([whole["n"].astype(np.int64), np.full(len(one), WINDOW)]))
-                own = _sums(w.hash[w.ptr[d]:w.ptr[d + 1]], one, one + WINDOW) if len(one) else np.empty(0, np.uint64)
-                key.append(np.concatenate([whole["key"], own]))
+                begin.append(whole["start"].astype(np.int64) + w.ptr[d]), length.append(whole["n"].astype(np.int64)), key.append(whole["key"])
             begin, length, key = np.concatenate(begin), np.concatenate(length), np.concatenate(key)
             shard = mix(key + np.uint64(1)) % np.uint64(shards)
             order = np.argsort(shard, kind="stable")
@@ -331,6 +326,38 @@ def repeats(loaded: DataFrame, shards: int) -> DataFrame:
     return sent.groupBy("shard").applyInPandas(search, "doc_id long, text_key long, cut binary")
 
 
+def single_repeats(loaded: DataFrame) -> DataFrame:
+    """``doc_id, text_key, cut``: repeated windows of the minimizers with very many segments (step 3)."""
+    def send(batches):
+        for rows, data, off in text_pieces(batches):
+            w = words_of(data, off)
+            at = [np.empty(0, np.int64)]
+            for d, asks in enumerate(rows.column(rows.schema.get_field_index("asks")).to_pylist()):
+                a = np.frombuffer(b"".join(asks), _ASK)
+                single = a[a["kind"] == SINGLY]
+                count = single["n"].astype(np.int64) - WINDOW + 1
+                at.append(w.ptr[d] + np.repeat(single["start"].astype(np.int64), count) + (np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)))
+            at = np.concatenate(at)
+            doc = w.doc[at]
+            yield pa.RecordBatch.from_arrays([pa.array(ints(rows, "doc_id")[doc]), pa.array(ints(rows, "text_key")[doc]), pa.array(at - w.ptr[doc]), pa.array(_sums(w.hash, at, at + WINDOW).view(np.int64))],
+                                             ["doc_id", "text_key", "start", "window"])
+
+    def pack(batches):
+        for b in batches:
+            cuts = []
+            for starts in b.column(2).to_pylist():
+                cut = np.empty(len(starts), _CUT)
+                cut["start"], cut["n"] = starts, WINDOW
+                cuts.append(cut.tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(cuts, pa.binary())], ["doc_id", "text_key", "cut"])
+
+    need = loaded.where("n_single > 0").select("doc_id", "text_key", "text", "asks")
+    windows = materialise(need.mapInArrow(send, "doc_id long, text_key long, start long, window long"), "windows")
+    first = windows.groupBy("window").agg(F.min(F.struct("doc_id", "start")).alias("first"), F.count("*").alias("times")).where("times > 1").select("window", "first")
+    later = windows.join(first, "window").where(F.struct("doc_id", "start") != F.col("first"))
+    return later.groupBy("doc_id", "text_key").agg(F.collect_set("start").alias("starts")).mapInArrow(pack, "doc_id long, text_key long, cut binary")
+
+
 def _order(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Dense rank of (id, word place); equal places have equal ranks."""
     order = np.lexsort((at, ids))
@@ -354,16 +381,16 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             w = words_of(data, off)
             raw = data.tobytes()
             lines = [b" ".join([raw[s:e] for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]) if u else None for a, b, u in zip(w.ptr[:-1], w.ptr[1:], untouched)]
-            n_index = [int(a["n"][a["kind"] != REMOVE].sum()) for a in asks]
+            n_index, n_single = ([int(a["n"][a["kind"] == kind].sum()) for a in asks] for kind in (INDEX, SINGLY))
             yield pa.RecordBatch.from_arrays([
                 rows.column(0), rows.column(1), pa.array([None if u and not keep_text else t for u, t in zip(untouched, rows.column(2).to_pylist())], pa.string()), rows.column(3),
-                pa.array(np.diff(w.ptr)), pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in lines], pa.string()), pa.array(n_index, pa.int64())],
-                ["doc_id", "text_key", "text", "asks", "n_words", "sha", "n_index"])
+                pa.array(np.diff(w.ptr)), pa.array([None if x is None else hashlib.sha256(x).hexdigest() for x in lines], pa.string()), pa.array(n_index, pa.int64()), pa.array(n_single, pa.int64())],
+                ["doc_id", "text_key", "text", "asks", "n_words", "sha", "n_index", "n_single"])
 
-    ddl = "doc_id long, text_key long, text string, asks array<binary>, n_words long, sha string, n_index long"
+    ddl = "doc_id long, text_key long, text string, asks array<binary>, n_words long, sha string, n_index long, n_single long"
     loaded = materialise(loaded.select("doc_id", "text_key", "text", "asks").mapInArrow(weigh, ddl), "repeats")
     total = loaded.agg(F.coalesce(F.sum("n_index"), F.lit(0))).first()[0]
-    found = repeats(loaded, max(1, -(-total // SHARD_WORDS))).groupBy("doc_id", "text_key").agg(F.collect_list("cut").alias("cuts"))
+    found = repeats(loaded, max(1, -(-total // SHARD_WORDS))).unionByName(single_repeats(loaded)).groupBy("doc_id", "text_key").agg(F.collect_list("cut").alias("cuts"))
     touched = loaded.where("asks is not null").join(found, ["doc_id", "text_key"], "left")
 
     def finish(batches):

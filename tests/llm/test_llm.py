@@ -398,6 +398,17 @@ def test_op10_index_and_single_windows(spark, docs, sf_dir, monkeypatch, hot):
         assert got.n_removed[i] == len(gone) and got.kept_sha256[i] == hashlib.sha256(kept.encode()).hexdigest()
 
 
+def test_op10_hot_windows_stay_out_of_the_index(spark, monkeypatch):
+    """Equal windows of a minimizer with very many segments are combined by their hash; no shard gets them all."""
+    monkeypatch.setattr(fmindex, "HOT", 0)
+    sent = []
+    monkeypatch.setattr(fmindex, "repeats", lambda loaded, shards, f=fmindex.repeats: sent.append(f(loaded, shards).count() + loaded.where("n_index > 0").count()) or f(loaded, shards))
+    text = " ".join(f"p{i}" for i in range(30))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} {text} c{i}") for i in range(40)], "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in fmindex.remove_repeats(docs).collect()}
+    assert got == {i: 30 * (i > 0) for i in range(40)} and sent == [0]
+
+
 def test_fm_index_streams_foreign_text():
     rng = np.random.default_rng(5)
     words, lengths = rng.integers(0, 3, 400).astype(np.uint32), np.array([100, 150, 150])
