@@ -6,8 +6,10 @@ from spanloom.llm.decontam import op9_benchmark_decontamination
 from spanloom.llm.fmindex import op10_substring_dedup
 from spanloom.llm.katz import op2_katz_backoff
 from spanloom.llm.minhash import op3_minhash_near_dedup
+from spanloom.llm.neighbours import op12_rp_forest
 from spanloom.llm.packing import op7_best_fit_packing
 from spanloom.llm.quality import op1_quality_classifier
+from spanloom.llm.repair import op11_structure_repair
 from spanloom.llm.rules import op8_quality_rules
 from spanloom.llm.secrets import ASSIGN, MIN_DISTINCT, op5_secret_scan
 from spanloom.llm.tokencount import op6_token_counts
@@ -15,7 +17,8 @@ from spanloom.llm.urls import op4_url_filter
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_classifier, op2_katz_backoff, op3_minhash_near_dedup, op4_url_filter, op5_secret_scan, op6_token_counts,
-    op7_best_fit_packing, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup)}
+    op7_best_fit_packing, op8_quality_rules, op9_benchmark_decontamination, op10_substring_dedup,
+    op11_structure_repair, op12_rp_forest)}
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
