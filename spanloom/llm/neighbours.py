@@ -29,7 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -156,12 +156,12 @@ def _best(qid, q, takes, ptr, ids, x, k: int):
     return r, ids[c], score
 
 
-def nearest(table: DataFrame, wanted: Column, k: int = 20, trees: int = 4, leaf_rows: int = 64, sample: int = 1 << 15, share: float = 1.0, candidates: int = 5000,
+def nearest(table: DataFrame, wanted: str, k: int = 20, trees: int = 4, leaf_rows: int = 64, sample: int = 1 << 15, share: float = 1.0, candidates: int = 5000,
             cell_rows: int = 1 << 15, cell_queries: int = 1 << 16, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row where ``wanted`` (over ``id``) holds."""
+    """``query_id, rank, vec_id, score``: the ``k`` nearest found of each row where ``wanted``, a condition on ``id``, holds."""
     spark = table.sparkSession
     rows = usable(table, id_col, vec_col)
-    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if(wanted).alias("queries")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
+    sizes = rows.groupBy(F.size("vec").alias("dim")).agg(F.count("*").alias("n"), F.count_if(F.expr(wanted)).alias("queries")).orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
     if not sizes:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     dim, n, n_queries = sizes[0]
@@ -269,4 +269,4 @@ def nearest(table: DataFrame, wanted: Column, k: int = 20, trees: int = 4, leaf_
 
 
 def op12_rp_forest(spark, sf_dir: str) -> DataFrame:
-    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("id") % 20 == 0)
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 20 = 0")

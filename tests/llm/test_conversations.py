@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from spanloom.llm import repair
+from spanloom.llm import repair, trie
 from spanloom.llm.queries import QUERIES
 
 ROWS = "conv_id long, turn long, role string, text string"
@@ -148,3 +148,64 @@ def test_op11_does_not_copy_a_hot_row(spark):
     turns = spark.range(100_000).selectExpr("7L AS conv_id", "1L AS turn", "'user' AS role", "'Hi.' AS text", "1L AS copies")
     (row,) = repair.report(*repair.repair(turns, 1000, 1 << 15)).collect()
     assert (row.duplicate, row.cost, row.audit) == (99_999, 4 * 99_999 + 3, "K" + "D" * 99_999 + "I")
+
+
+def lines(rows, rebuild=True):
+    """Each conversation's (role, text) turns, rebuilt as the contract says."""
+    turns = defaultdict(list)
+    for conv, turn, role, text in rows:
+        if conv is not None:
+            turns[conv].append((turn is not None, turn or 0, role or "", hashlib.md5(f"{len(role or '')}:{role or ''}{text or ''}".encode()).digest(), text or ""))
+    turns = {c: [(x[2], x[4]) for x in sorted(v)] for c, v in turns.items()}
+    if not rebuild:
+        return turns
+    h = {c: zlib.crc32(str(c).encode()) % 9 for c in turns}
+    return {c: turns.get(c - c % 5, [])[:h[c]] + v[h[c]:] for c, v in turns.items()}
+
+
+def nodes_of(turns):
+    members = defaultdict(list)
+    for c, v in turns.items():
+        for d in range(len(v) + 1):
+            members[tuple(v[:d])].append(c)
+    kids = defaultdict(list)
+    for p in members:
+        if p:
+            kids[p[:-1]].append(p)
+    out, below = set(), {}
+    for p in sorted(members, key=len, reverse=True):
+        own = (len(members[p]) - 1) * len(p[-1][1].encode()) if p else 0
+        below[p] = (sum(below[k][0] for k in kids[p]) or 1, own + sum(below[k][1] for k in kids[p]))
+        ends = ",".join(str(c) for c in sorted(members[p]) if len(turns[c]) == len(p))
+        out.add((min(members[p]), len(p), min(members[p[:-1]]) if p else None, len(members[p]), len(kids[p]), *below[p], hashlib.sha256(ends.encode()).hexdigest()))
+    return out
+
+
+def nodes(df):
+    got = [tuple(r) for r in df.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256").collect()]
+    assert len(got) == len(set(got))
+    return set(got)
+
+
+def chatter(seed, n):
+    """Conversations over few different turns, so that many share beginnings or are equal; some are long and alone."""
+    rnd, rows = random.Random(seed), []
+    for conv in range(n):
+        rows += [(conv, t, rnd.choice(["user", "assistant"]) if t > 2 else "user", rnd.choice(["a", "é", "ccc"]) if t > 2 or conv % 3 else "a") for t in range(rnd.randrange(1, 9))]
+        rows += [(conv, 100 + t, "user", "same" if t < 20 else f"{t} {conv % 2}") for t in range(30) if conv % 7 == 0]
+    return rows + [(None, 1, "user", "x"), (10_001, None, None, None), (10_001, None, None, None), (10_001, None, "user", "b")]
+
+
+@pytest.mark.parametrize("most, long", [(1 << 15, 1 << 20), (60, 4), (12, 0)])
+def test_op13_against_all_prefixes(spark, tmp_path, most, long):
+    rows = chatter(most, 120)
+    turns = trie.numbered(spark.createDataFrame(rows, ROWS), long)
+    again, every = trie.rebuilt(turns)
+    assert nodes(trie.prefix_trie(again, every, most)) == nodes_of(lines(rows))
+    if most == 60:
+        assert nodes(trie.prefix_trie(turns, every, most)) == nodes_of(lines(rows, rebuild=False))
+
+
+def test_op13_on_the_table(spark, sf_dir):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
+    assert nodes(QUERIES["op13_prefix_trie"](spark, sf_dir)) == nodes_of(lines(rows))

@@ -54,6 +54,12 @@ def edge_dir(request, tmp_path_factory):
     table(d, "pages", [r for r in [(1, "http://a.com/en/1", "h", 1), (1, "http://a.com/en/1", None, 1), (2, None, None, 1), (None, "", None, 1), (3, "://", "", 1),
                                    (4, "HTTP://B.Example.COM/en/7?x#y", "", 1), (5, "x://org/es/" + "9" * 100_000, "", 1)] if rows], page_id=i, url=s, html=s, host=i)
     table(d, "benchmark", [r for r in [(1, text), (1, text), (2, None), (None, "one"), (3, "")] if rows], item_id=i, text=s)
+    turns = [(1, 0, "system", "Be kind."), (1, 1, "user", "Hi."), (1, 1, "user", "Hi."), (1, None, None, None), (None, 2, "user", ""), (None, None, "assistant", long + "."), (2, 5, "", " \n"), (6, 1, "user", "Hi.")]
+    table(d, "conversations", [(*t, 1, "k", 0) for t in turns if rows], conv_id=i, turn=i, role=s, text=s, i=i, container=s, copies=i)
+    v = pa.list_(pa.float32())
+    vectors = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.5, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]),
+               (8, []), (9, [1.0, 2.0, 3.0]), (None, [1.0, 1.0]), (20, [-1.0, 0.5]), (40, None), (60, [1.0, 0.0])]
+    table(d, "embeddings", [(*x, 1, 2) for x in vectors if rows], vec_id=i, embedding=v, id=i, cell=i)
     return d, rows
 
 
@@ -67,6 +73,16 @@ def test_edges(spark, edge_dir, name):
         assert len(out) == 7 and out.verdict.isin(["allow", "block"]).all() and out.page_id.isna().sum() == 1
     elif name == "op9_benchmark_decontamination":
         assert set(out.doc_id.dropna()) == {1, 6, 7, 9} and out.doc_id.isna().any()
+    elif name == "op11_structure_repair":
+        got = {None if pd.isna(r.conv_id) else int(r.conv_id): r for r in out.itertuples()}
+        assert set(got) == {None, 1, 2, 6} and got[6].audit in ("KI", "D", "")
+    elif name == "op12_rp_forest":
+        got = out.sort_values(["query_id", "rank"]).groupby("query_id").vec_id.apply(list).to_dict()
+        assert got == {0: [1, 60, 2, 20], 20: [2, 0, 1, 60], 60: [0, 1, 2, 20]}
+        assert out[(out.query_id == 20) & (out.vec_id == 2)].score.item() == 0.5
+    elif name == "op13_prefix_trie":
+        root = out[out.depth == 0].iloc[0]
+        assert (root.conv_id, root.n_convs) == (1, 3) and out.parent_conv_id.isna().sum() == 1
     elif name == "op7_best_fit_packing":
         assert (out.groupby("sequence_id").length.sum() <= 1024).all() and (out.piece == 0).sum() == len(rows)
     else:
