@@ -10,8 +10,9 @@ lines of a container are sorted by their turns and swept into nodes, a stack hol
 containers' tops are added up through the heads, one burst after the other from below.
 
 Rounds: one for each burst on the deepest path, over the turns of oversized containers only.  Tasks hold one container of at
-most ``most`` turns; a line's ids are hashed one after the other.  Positions within a conversation come from a window; those of
-conversations of more than ``long`` turns are counted by ranges of turns, so none of them is sorted by one task alone.
+most ``most`` turns.  The ids of a line's members are sorted by ranges and joined to pieces there; only the pieces are hashed one
+after the other, as a digest must be.  Positions within a conversation come from a window; those of conversations of more than
+``long`` turns are counted by ranges of turns, so none of them is sorted by one task alone.
 
 Defined cases: rows without an id belong to no conversation; null role or text is empty; equal turns of a conversation are
 ordered by role and hash of the text; ``c - c % 5`` takes the sign of ``c`` (as SQL does); an empty table gives no nodes.
@@ -75,26 +76,37 @@ def rebuilt(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     return lent.unionByName(own.select("conv_id", "i", "tid", "size")), every
 
 
+def _pieces(batches):
+    """The sorted members of each line, joined in pieces of some thousand ids; rows are ``line, conv_id, part`` in order."""
+    number = 0
+    for rows in batches:
+        for lo in range(0, rows.num_rows, 4000):
+            out = []
+            for (line, part), ids in groupby(zip(*[rows.slice(lo, 4000).column(i).to_pylist() for i in (0, 2, 1)]), key=lambda r: r[:2]):
+                out.append((line, part, number, ",".join(str(r[2]) for r in ids)))
+                number += 1
+            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["line", "part", "number", "ids"])
+
+
 def _ends(batches):
-    """A running hash of the sorted members of each line; rows are ``line, conv_id`` in that order."""
-    at, have, digest, comma, out = None, False, None, "", []
+    """A running hash of each line's pieces, in order."""
+    pieces = (row for rows in batches for row in zip(rows.column(0).to_pylist(), rows.column(3).to_pylist()))
+    out = []
 
     def batch():
         return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.string())], ["end_line", "ends_sha256"])
 
-    for rows in batches:
-        for line, conv in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-            if not have or line != at:
-                if have:
-                    out.append((at, digest.hexdigest()))
-                at, have, digest, comma = line, True, hashlib.sha256(), ""
-            digest.update(f"{comma}{conv}".encode())
+    for line, own in groupby(pieces, key=lambda r: r[0]):
+        digest, comma = hashlib.sha256(), ""
+        for _, ids in own:
+            digest.update(f"{comma}{ids}".encode())
             comma = ","
+        out.append((line, digest.hexdigest()))
         if len(out) >= 4000:
             yield batch()
             out = []
-    if have:
-        out.append((at, digest.hexdigest()))
+    if out:
         yield batch()
 
 
@@ -179,13 +191,15 @@ def prefix_trie(turns: DataFrame, every: DataFrame, most: int = 1 << 15) -> Data
     shape = every.join(turns.groupBy("conv_id").agg(F.count("*").alias("len"), *prints), "conv_id", "left")
     shape = materialise(shape.select("conv_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("len", "p0", "p1")]), "conversation-prints")
     lines = shape.groupBy("len", "p0", "p1").agg(F.min("conv_id").alias("line"), F.count("*").alias("n"))
-    lines = materialise(lines, "lines")
-    of = shape.join(lines.withColumnRenamed("n", "members"), ["len", "p0", "p1"]).select("line", "conv_id")
-    ends = of.repartition("line").sortWithinPartitions("line", "conv_id").mapInArrow(_ends, "end_line long, ends_sha256 string")
+    none, no_key = F.lit(None).cast("long"), F.lit(None).cast("binary")
+    now = lines.withColumns({"container": F.lit(b""), "k": F.lit(0).cast("long"), "parent": none, "above": no_key})
+    now = lines = materialise(now.select("line", "n", "len", "p0", "p1", "container", "k", "parent", "above"), "lines")
+    of = shape.join(lines.select("line", "len", "p0", "p1"), ["len", "p0", "p1"]).select("line", "conv_id").repartitionByRange("line", "conv_id")
+    pieces = of.sortWithinPartitions("line", "conv_id").withColumn("part", F.spark_partition_id()).mapInArrow(_pieces, "line long, part int, number long, ids string")
+    ends = pieces.repartition("line").sortWithinPartitions("line", "part", "number").mapInArrow(_ends, "end_line long, ends_sha256 string")
     turns = materialise(turns.withColumnRenamed("conv_id", "line").join(lines.select("line"), "line", "left_semi"), "turns-of-lines")
 
-    none = F.lit(None).cast("long")
-    now = lines.select("line", "n", "len", F.lit(b"").alias("container"), F.lit(0).cast("long").alias("k"), none.alias("parent"), F.lit(None).cast("binary").alias("above"))
+    now = now.drop("p0", "p1")
     left, bursts = [], []
     while True:
         sizes = now.groupBy("container").agg(F.sum(F.col("len") - F.col("k")).alias("turns"), F.count("*").alias("m"), F.sum("n").alias("members"), F.min("line").alias("first"),
@@ -216,9 +230,9 @@ def prefix_trie(turns: DataFrame, every: DataFrame, most: int = 1 << 15) -> Data
     rest = materialise(rest, "last-containers")
 
     swept_lines = rest.where("NOT chain")
-    about = swept_lines.select("container", "line", F.lit(-1).cast("long").alias("i"), F.lit(None).cast("binary").alias("tid"), none.alias("size"), "n", "k", "parent", "above")
+    about = swept_lines.select("container", "line", F.lit(-1).cast("long").alias("i"), no_key.alias("tid"), none.alias("size"), "n", "k", "parent", "above")
     rows = turns.join(swept_lines.select("container", "line", "k"), "line").where("i >= k")
-    rows = rows.select("container", "line", "i", "tid", "size", none.alias("n"), none.alias("k"), none.alias("parent"), F.lit(None).cast("binary").alias("above"))
+    rows = rows.select("container", "line", "i", "tid", "size", none.alias("n"), none.alias("k"), none.alias("parent"), no_key.alias("above"))
     shards = about.unionByName(rows).repartition("container").sortWithinPartitions("container", "line", "i")
     swept = materialise(shards.mapInArrow(_sweep, _SWEPT), "swept-nodes")
 
