@@ -114,12 +114,47 @@ def ae_trigger(pred: Column, compat: bool = False) -> tuple[Column, Column]:
     return strip(F.regexp_extract(pred, pat, 1)), strip(F.regexp_extract(pred, pat, 2))
 
 
+def one_json(text: Column) -> Column:
+    """The variant of a text that is one JSON value and nothing else; NULL for any other text.
+
+    ``parse_json`` stops after the first value.  Here the text is followed by a mark within a list, so whatever comes behind
+    the value, or closes the list early, leaves a list of another shape.
+    """
+    mark = F.md5(text.cast("binary"))
+    items = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]'))), "$", "array<variant>")
+    return let(items, lambda x: F.when((F.size(x) == 2) & (F.try_variant_get(F.get(x, F.lit(1)), "$", "string") == mark), F.get(x, F.lit(0))))
+
+
+# Strings, brackets, marks and scalars; possessive, as Java matches other repetitions of groups by recursion.
+_JSON_TOKEN = r'(?s)"[^"\\]*+(?:\\.[^"\\]*+)*+"|[{}\[\]:,]|[^\s"{}\[\]:,]++|\S'
+_CUT = "\x01"
+
+
+def json_values(text: Column) -> Column:
+    """The JSON values a text holds one after the other, as texts; NULL when any of them is no JSON or there is none.
+
+    Two values meet where one token ends a value and the next begins one, without a comma or colon between them.  Inside a value
+    that never happens, so a text cut at all such places is well-formed if and only if every piece is.
+    """
+    tokens = F.regexp_extract_all(text, F.lit(_JSON_TOKEN), F.lit(0))
+
+    def glued(ts):
+        def cut(x, i):
+            before = F.get(ts, i - 1)
+            meets = (i > 0) & ~F.right(before, F.lit(1)).isin("{", "[", ":", ",") & ~F.left(x, F.lit(1)).isin("}", "]", ":", ",")
+            return F.when(meets, F.concat(F.lit(_CUT), x)).otherwise(x)
+        return F.split(F.array_join(F.transform(ts, cut), ""), _CUT)
+
+    pieces = let(tokens, lambda ts: F.when(F.size(ts) > 0, glued(ts)))
+    return let(pieces, lambda ps: F.when(~F.contains(text, F.lit(_CUT)) & F.forall(ps, lambda p: one_json(p).isNotNull()), ps))
+
+
 def extract_json(text: Column) -> Column:
-    """The outermost ``{...}`` of a reply, fences dropped; NULL when there is none or it is no JSON."""
+    """The outermost ``{...}`` of a reply, fences dropped; NULL when there is none or it is not one JSON object."""
     t = F.replace(strip(text), F.lit("```json"), F.lit("```"))
     parts = F.split(t, "```")
     body = F.when(F.size(parts) >= 3, strip(F.get(parts, F.lit(1)))).otherwise(strip(text))
-    return let(truthy(F.regexp_extract(body, r"(?s)\{.*\}", 0)), lambda j: F.when(F.try_parse_json(j).isNotNull(), j))
+    return let(truthy(F.regexp_extract(body, r"(?s)\{.*\}", 0)), lambda j: F.when(one_json(j).isNotNull(), j))
 
 
 def ordered_distinct(items: Column) -> Column:

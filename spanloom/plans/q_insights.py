@@ -8,13 +8,14 @@ from spanloom.functions import prompts as P
 from spanloom.functions import text as T
 from spanloom.ontology import starter_ontology
 from spanloom.operators import insights, parse, review, scoring
-from spanloom.plans.derived import corpus, outputs, runs, sentences, shared, table
+from spanloom.plans.derived import LINES, corpus, outputs, runs, sentences, shared, table
 from spanloom.plans.oracle import CTE, lit, rr, sql, strip, values, ws
 from spanloom.plans.q_parse import ARGS, E2E, TRIG, W, fps, rsql, _BOTH, _N, _FPID
 from spanloom.plans.registry import query
-from spanloom.session import fresh_path
+from spanloom.session import fresh_path, materialise
 from spanloom.sources import corpus as src
 from spanloom.sources import documents as docs
+from spanloom.sources import stored
 from spanloom.streaming import jobs
 
 ONTO = starter_ontology()
@@ -270,7 +271,7 @@ def s13(spark, sf):
       SELECT * FROM src QUALIFY row_number() OVER (PARTITION BY src_id, dataset ORDER BY sid DESC) = 1) LEFT JOIN (
     SELECT sid, count(*) FILTER (WHERE mode = 'pipeline') AS a, count(*) FILTER (WHERE mode = 'e2e') AS b, count(*) FILTER (WHERE mode = 'merged') AS c FROM trig GROUP BY sid) USING (sid)""", *NAMES, extra=TRIG))
 def s12(spark, sf):
-    """Every sentence's run is a save under its source document; the last one per data set stays."""
+    """Every sentence's run is a save under its source document, in three rounds by line; the last one per data set stays."""
     r = runs(spark, sf)
 
     def result(col):
@@ -278,11 +279,10 @@ def s12(spark, sf):
 
     saves = r.select(F.col("src_id").cast("string").alias("doc_id"), F.lit("text").alias("source"), "dataset", F.col("sid").alias("save_ord"),
                      F.struct(*[result(m).alias(m) for m in ("pipeline", "e2e", "merged")]).alias("modes"), parse.export_events(F.col("complete_e2e")).alias("complete"))
-    path = fresh_path(spark, "annotated")
-    insights.annotated_documents(saves).write.json(path)
-    from spanloom import schema
-    back = spark.read.schema("doc_id string, source string, events map<string,struct<pipeline:%s,e2e:%s,merged:%s>>" % ((schema.MODE_RESULT,) * 3)).json(path)
-    return back.select("doc_id", F.explode("events").alias("dataset", "x")).select(
+    path, line = fresh_path(spark, "annotated"), F.col("save_ord") % LINES
+    for when in (line == 0, line == 1, line > 1):
+        stored.save_documents(saves.where(when), path, buckets=16)
+    return stored.read(spark, path).select("doc_id", F.explode("events").alias("dataset", "x")).select(
         "doc_id", "dataset", *[F.coalesce(F.size(parse.import_events(F.col(f"x.{m}.events"))), F.lit(0)).cast("long").alias(f"n_{m}") for m in ("pipeline", "e2e", "merged")])
 
 
@@ -448,18 +448,64 @@ def r1(spark, sf):
     return scored.unionByName(spark.read.parquet(rejects).select(*ids, F.lit("rejected").alias("status")), allowMissingColumns=True)
 
 
-@query("r2_stream_upsert", """SELECT result_key, count(*) AS n FROM (SELECT DISTINCT 'u' || user_id || '::' || event_type AS result_key FROM events) GROUP BY ALL""")
+def _stream_in_order(spark, name, df, batch, n):
+    """The rows as ``n`` files that arrive one after the other: those of which ``batch`` gives 0 come first."""
+    path = fresh_path(spark, f"{name}-in")
+    df = materialise(df.withColumn("_batch", batch), f"{name}-rows")
+    for i in range(n):
+        df.where(F.col("_batch") == i).drop("_batch").coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.drop("_batch").schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+@query("r2_stream_upsert", """SELECT result_key, arg_max(value, event_id) AS value, max(event_id) AS ord, min(event_id) AS first_ord FROM (
+    SELECT *, 'u' || user_id || '::' || event_type AS result_key FROM events) GROUP BY ALL""")
 def r2(spark, sf):
+    """Runs arrive in three batches that have nothing to do with their order."""
     d = event_runs(spark, sf).withColumn("result_key", F.concat_ws("::", "doc_id", "dataset"))
     out, ck = fresh_path(spark, "r2-out"), fresh_path(spark, "r2-ck")
-    jobs.upsert_log(_stream(spark, sf, "r2", d), out, ck).awaitTermination()
-    return jobs.current_runs(spark, out).groupBy("result_key").agg(F.count("*").alias("n"))
+    jobs.upsert_state(_stream_in_order(spark, "r2", d, F.pmod(F.col("ord") * 7, F.lit(3)), 3), out, ck, buckets=16).awaitTermination()
+    return stored.read(spark, out).select("result_key", "value", "ord", "first_ord")
+
+
+_DAY = "'u' || user_id || '::' || strftime(ts, '%Y-%m-%d')"
+
 
+@query("r2_stream_first", f"""SELECT result_key, min(m).event_id AS ord, min(m).value AS value FROM (
+    SELECT {_DAY} AS result_key, {{'ts': ts, 'event_id': event_id, 'value': value}} AS m FROM events) GROUP BY ALL""")
+def r2_first(spark, sf):
+    """The first run of each user and day; days arrive in order, a third of all days at a time."""
+    e = table(spark, sf, "events").select("event_id", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"))
+    d = e.select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("::"), F.date_format("ts", "yyyy-MM-dd")).alias("result_key"), F.col("event_id").alias("ord"), "value", "ts")
+    span = e.agg(F.min(F.to_date("ts")).alias("a"), F.max(F.to_date("ts")).alias("b")).first()
+    days = F.datediff(F.to_date("ts"), F.lit(span.a))
+    out, ck = fresh_path(spark, "r2f-out"), fresh_path(spark, "r2f-ck")
+    jobs.first_runs(_stream_in_order(spark, "r2f", d, F.floor(days * 3 / ((span.b - span.a).days + 1)), 3), out, ck).awaitTermination()
+    return spark.read.parquet(out).select("result_key", "ord", "value")
 
-@query("r3_window_counts", """SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM events GROUP BY ALL""")
+
+# Thirds of the time come one after the other, every tenth event two batches late.  A batch leaves out what the batch before it has closed, by the
+# watermark of the batches before that one.
+_ARRIVAL = "least(floor(epoch(ts - lo) * 3 / (epoch(hi - lo) + 1)), 2) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END"
+
+
+@query("r3_window_counts", f"""WITH e AS (SELECT event_id, event_type, ts, date_trunc('hour', ts) AS w, {_ARRIVAL} AS b FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events)),
+  m AS (SELECT b, max(ts) AS hi FROM e GROUP BY b), mark AS (SELECT x.b, max(m.hi) - INTERVAL 2 HOUR AS mark FROM e x JOIN m ON m.b < x.b - 1 GROUP BY x.b),
+  j AS (SELECT e.*, coalesce(w + INTERVAL 1 HOUR <= date_trunc('millisecond', mark), false) AS late FROM e LEFT JOIN mark USING (b)),
+  fin AS (SELECT date_trunc('millisecond', max(ts) - INTERVAL 2 HOUR) AS mark FROM events)
+  SELECT CASE WHEN late THEN 'dropped' WHEN w + INTERVAL 1 HOUR <= fin.mark THEN 'closed' ELSE 'open' END AS state, CASE WHEN NOT late THEN strftime(w, '%Y-%m-%d %H:%M:%S') END AS window_start,
+    CASE WHEN NOT late THEN event_type END AS event_type, count(*) AS n FROM j, fin GROUP BY ALL""")
 def r3(spark, sf):
-    d = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    """Hourly counts under a watermark of two hours; a tenth of the events comes two batches late."""
+    e = table(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "event_id")
+    span = e.agg(F.unix_micros(F.min("ts")).alias("a"), F.unix_micros(F.max("ts")).alias("b")).first()
+    third = F.least(F.floor((F.unix_micros("ts") - span.a) * 3 / (span.b - span.a + 1_000_000)), F.lit(2))
+    arrival = third + F.when(F.col("event_id") % 10 == 0, 2).otherwise(0)
     out, ck = fresh_path(spark, "r3-out"), fresh_path(spark, "r3-ck")
-    # The replayed files are in no order, so the watermark here allows for the whole span of the table.
-    jobs.window_totals(_stream(spark, sf, "r3", d), out, ck, watermark="3650 days").awaitTermination()
-    return jobs.latest_windows(spark, out).select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+    q = jobs.window_counts(_stream_in_order(spark, "r3", e, arrival, 5), out, ck, watermark="2 hours")
+    q.awaitTermination()
+
+    def shown(df, state):
+        return df.select(F.lit(state).alias("state"), F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+
+    late = spark.range(1).select(F.lit("dropped").alias("state"), F.lit(jobs.dropped_rows(spark, q, out, ck)).cast("long").alias("n")).where("n > 0")
+    return shown(spark.read.parquet(out), "closed").unionByName(shown(jobs.open_windows(spark, ck), "open")).unionByName(late, allowMissingColumns=True)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
+from pyspark.sql import Window
 
-from spanloom.functions.text import first_truthy
+from spanloom.functions.text import first_truthy, json_values, one_json
 from spanloom.operators.insights import RECORD_ALIASES
+from spanloom.session import materialise
 
 # Wrapper keys, tried in order, and the keys that make an object one document.
 WRAPPERS = ("documents", "docs", "data", "records", "items")
@@ -29,35 +27,42 @@ def read_uploads(spark: SparkSession, path: str) -> DataFrame:
 def jsonl_uploads(spark: SparkSession, path: str) -> DataFrame:
     """A large JSONL upload, line by line: rows ``upload, pos, doc`` ready for :func:`strict_rows`."""
     return spark.read.text(path).where(F.trim("value") != "").select(
-        F.col("_metadata.file_path").alias("upload"), F.monotonically_increasing_id().alias("pos"), F.try_parse_json("value").alias("doc"))
+        F.col("_metadata.file_path").alias("upload"), F.monotonically_increasing_id().alias("pos"), one_json(F.col("value")).alias("doc"))
+
 
+def value_uploads(spark: SparkSession, path: str) -> DataFrame:
+    """S6 for uploads too large for one cell: rows ``upload, pos, content``, one for each JSON value of a file, read by byte ranges.
 
-@F.pandas_udf(ArrayType(StringType()))
-def decode_values(content: pd.Series) -> pd.Series:
-    """The JSON values of a text, one or several in a row; NULL when it does not parse."""
-    decoder = json.JSONDecoder()
+    A JSON string holds no line break, so brackets outside strings can be counted line by line.  Running sums of them, within a
+    range and over the ranges of a file, say where no value is open; the lines in between are gathered, which is one value or
+    the few of a line, and cut by :func:`json_values`.  A part that is no JSON has NULL for its content.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("upload"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
+    bare = F.regexp_replace("value", r'"[^"\\]*+(?:\\.[^"\\]*+)*+"', "")
+    opened = F.length(bare) - F.length(F.translate(bare, "[{", "")) - F.length(bare) + F.length(F.translate(bare, "]}", ""))
+    lines = materialise(lines.where(F.trim("value") != "").withColumn("opened", opened), "upload-lines")
+    inside = Window.partitionBy("upload", "block").orderBy("line")
+    earlier = Window.partitionBy("upload").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
-    def values(text):
-        out, at = [], 0
-        try:
-            while text is not None:
-                while at < len(text) and text[at].isspace():
-                    at += 1
-                if at >= len(text):
-                    return out or None
-                value, at = decoder.raw_decode(text, at)
-                out.append(json.dumps(value, ensure_ascii=False))
-        except json.JSONDecodeError:
-            return None
+    def running(rows, what, name):
+        """The sum of ``what`` up to each line of a file; a window sees one range, or one row for each range."""
+        ranges = rows.groupBy("upload", "block").agg(F.sum(what).alias("n")).select("upload", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+        return rows.withColumn(name, F.sum(what).over(inside)).join(ranges, ["upload", "block"]).withColumn(name, F.col(name) + F.col("before")).drop("before")
 
-    return content.map(values)
+    ended = running(lines, "opened", "depth").withColumn("ends", (F.col("depth") <= 0).cast("long"))
+    parts = running(ended, "ends", "part").withColumn("part", F.col("part") - F.col("ends"))
+    texts = parts.groupBy("upload", "part").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "line", "value"))), lambda x: x["value"]), "\n").alias("content"))
+    values = texts.withColumn("values", F.coalesce(json_values(F.col("content")), F.array(F.lit(None).cast("string"))))
+    return values.select("upload", "part", F.posexplode("values").alias("at", "content")).select("upload", F.struct("part", "at").alias("pos"), "content")
 
 
 def concatenated(uploads: DataFrame) -> DataFrame:
-    """Several values of one upload count as a list."""
-    return uploads.withColumn("_vs", decode_values("content")).withColumn(
-        "content", F.when(F.size("_vs") == 1, F.get("_vs", F.lit(0))).when(
-            F.size("_vs") > 1, F.concat(F.lit("["), F.array_join("_vs", ","), F.lit("]")))).drop("_vs")
+    """Several values of one upload count as a list; an upload that is no JSON has NULL for its content.
+
+    Only uploads that are not one value are cut into values.
+    """
+    several = json_values(F.col("content"))
+    return uploads.withColumn("content", F.when(one_json(F.col("content")).isNotNull(), F.col("content")).otherwise(F.concat(F.lit("["), F.array_join(several, ","), F.lit("]"))))
 
 
 def _kind(v: Column) -> Column:
@@ -76,22 +81,22 @@ def _text(m: Column, key: str) -> Column:
 def strict(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Documents ``upload, pos, id, text``, and the uploads refused with the reason.
 
-    An upload is an object with a non-empty ``documents`` list, or lines of objects.  Missing ids are
-    made up, ``doc_id`` stands in for ``id``, and one document without text refuses the whole upload.
+    An upload is one object with a non-empty ``documents`` list, or, if it is not one JSON value, lines of one object each.
+    Missing ids are made up, ``doc_id`` stands in for ``id``; one document without text, or anything behind a value, refuses the
+    whole upload.
     """
-    lines = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    # parse_json stops after the first value, so lines are recognised by looking at each of them.
-    whole = uploads.withColumn("_lines", lines).withColumn("_obj", _object(F.try_parse_json("content"))).withColumn(
-        "_jsonl", (F.size("_lines") > 1) & F.forall("_lines", lambda x: F.coalesce(_kind(F.try_parse_json(x)) == "object", F.lit(False))))
-    whole = whole.withColumn(
-        "docs", F.when(F.col("_jsonl"), F.transform("_lines", lambda x: F.try_parse_json(x))).otherwise(
-            F.try_variant_get(F.try_element_at("_obj", F.lit("documents")), "$", _LIST)))
+    lines = F.transform(F.filter(F.split("content", "\n"), lambda x: F.trim(x) != ""), one_json)
+    whole = uploads.withColumn("_one", one_json(F.col("content")))
+    whole = whole.withColumn("_lines", F.when(F.col("_one").isNull(), lines))
+    listed = F.try_variant_get(F.try_element_at(_object(F.col("_one")), F.lit("documents")), "$", _LIST)
+    whole = whole.withColumn("docs", F.when(F.col("_one").isNotNull(), listed).otherwise(F.col("_lines")))
     objs = F.transform("docs", _object)
+    broken = F.col("_one").isNull() & F.exists("_lines", lambda v: v.isNull())
     whole = whole.withColumn("_docs", objs).withColumn(
-        "reason", F.when(F.col("docs").isNull() | (F.size("docs") == 0), "'documents' must be a non-empty list").when(
+        "reason", F.when(broken, "neither one JSON value nor lines of them").when(F.col("docs").isNull() | (F.size("docs") == 0), "'documents' must be a non-empty list").when(
             F.exists("_docs", lambda m: m.isNull() | ~F.map_contains_key(m, F.lit("text"))), "each document must have 'text'"))
     bad = whole.where(F.col("reason").isNotNull()).select("upload", "reason")
-    rows = whole.where(F.col("reason").isNull()).select("upload", F.posexplode("_docs").alias("pos", "m"))
+    rows = _exploded(whole, F.when(F.col("reason").isNull(), F.col("_docs")), "m")
     m = F.col("m")
     good = rows.select(
         "upload", "pos",
@@ -114,6 +119,12 @@ def strict_rows(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good, rows.where(~ok).select("upload", "pos", F.lit("each document must have 'text'").alias("reason"))
 
 
+def _exploded(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """``upload, pos`` and a row per item.  Empty lists are dropped behind the generator: a filter before it would be pushed
+    below the parsing and do that twice."""
+    return rows.select("upload", F.posexplode_outer(items).alias("pos", name)).where("pos IS NOT NULL")
+
+
 def _wrapped(obj: Column, keys) -> Column:
     """The first wrapper key that holds a list."""
     return F.coalesce(*[F.when(_kind(F.try_element_at(obj, F.lit(k))) == "array",
@@ -152,7 +163,7 @@ def lenient(uploads: DataFrame) -> DataFrame:
         F.when(F.col("_items").isNotNull(), F.filter(F.transform("_items", item), lambda m: m.isNotNull()))
         .when(one, F.array("_obj"))
         .when(F.col("_obj").isNotNull(), F.transform(keys, entry)))
-    return parsed.select("upload", F.posexplode(records).alias("pos", "record"))
+    return _exploded(parsed, records, "record")
 
 
 def lenient_rejects(uploads: DataFrame) -> DataFrame:
@@ -178,13 +189,14 @@ def normalised(records: DataFrame, dataset: str = "geneva", model_type: str = "d
 
 
 def fp_items(uploads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Records ``upload, pos, record`` of a list or a wrapped list; anything else is refused."""
-    parsed = uploads.withColumn("v", F.try_parse_json("content")).withColumn("_obj", _object(F.col("v")))
-    items = F.when(_kind(F.col("v")) == "array", F.try_variant_get("v", "$", _LIST)).otherwise(_wrapped(F.col("_obj"), FP_WRAPPERS))
-    parsed = parsed.withColumn("_items", items)
-    good = parsed.where(F.col("_items").isNotNull()).select("upload", F.posexplode("_items").alias("pos", "x"))
-    return (good.select("upload", "pos", _object(F.col("x")).alias("record")),
-            parsed.where(F.col("_items").isNull()).select("upload", F.lit("not a list of records").alias("reason")))
+    """Records ``upload, pos, record`` of a list or a wrapped list; an upload of anything else, or with a member that is no
+    object, is refused as a whole."""
+    parsed = uploads.withColumn("v", one_json(F.col("content"))).withColumn("_obj", _object(F.col("v")))
+    items = F.when(F.col("_obj").isNotNull(), _wrapped(F.col("_obj"), FP_WRAPPERS)).otherwise(F.try_variant_get("v", "$", _LIST))
+    parsed = parsed.withColumn("_items", items).withColumn("_objs", F.transform("_items", _object))
+    reason = F.when(F.col("_items").isNull(), "not a list of records").when(F.exists("_objs", lambda m: m.isNull()), "a record is no object")
+    parsed = parsed.withColumn("reason", reason)
+    return (_exploded(parsed, F.when(F.col("reason").isNull(), F.col("_objs")), "record"), parsed.where("reason IS NOT NULL").select("upload", "reason"))
 
 
 def fp_columns(items: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from spanloom.ontology import starter_ontology
@@ -10,6 +11,7 @@ from spanloom.plans import derived
 from spanloom.session import fresh_path
 from spanloom.sources import corpus as src
 from spanloom.sources import documents as docs
+from spanloom.sources import stored
 from spanloom.streaming import jobs
 
 ONTO = starter_ontology()
@@ -116,25 +118,81 @@ def test_two_stage(spark):
     assert r.event_labels == ["Achieve"] and r.triggers == [["word", "Achieve"]] and r.entities == [] and r.pos == [] and r.dependencies == [] and not r.failed
 
 
+def in_order(spark, df, batches):
+    """A stream that reads one file after the other: the rows of each of the conditions."""
+    path = fresh_path(spark, "in")
+    for where in batches:
+        df.where(where).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path), path
+
+
 def test_stream_equals_batch(spark, sf_dir):
+    """Late and unordered batches give the newest run and the first place of each key, as one batch does."""
     ev = derived.table(spark, sf_dir, "events").select(
-        F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")).alias("result_key"), F.col("event_id").alias("ord"), "value")
-    src_path, out, ck = (fresh_path(spark, n) for n in ("in", "out", "ck"))
-    ev.repartition(3).write.parquet(src_path)
+        F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")).alias("result_key"), F.col("event_id").alias("ord"), "value", F.col("ts").cast("timestamp").alias("ts"),
+        F.array(F.struct("props")).alias("nested"))
+    stream, path = in_order(spark, ev, ["ord % 3 = 2", "ord % 3 = 0", "ord % 3 = 1 AND ord > 500"])
+    out, ck = (fresh_path(spark, n) for n in ("out", "ck"))
+    jobs.upsert_state(stream, out, ck, buckets=8).awaitTermination()
+
+    def batch(rows):
+        g = rows.groupBy("result_key").agg(F.max_by(F.struct("value", "ts", "nested"), "ord").alias("r"), F.max("ord").alias("ord"), F.min("ord").alias("first_ord"))
+        return sorted(g.select("result_key", "ord", "first_ord", "r.*").collect())
+
+    assert sorted(stored.read(spark, out).select("result_key", "ord", "first_ord", "value", "ts", "nested").collect()) == batch(ev.where("ord % 3 <> 1 OR ord > 500"))
+    # A restart goes on from its state: earlier runs that come now move the first places only.
+    ev.where("ord % 3 = 1 AND ord <= 500").coalesce(1).write.mode("append").parquet(path)
+    jobs.upsert_state(stream, out, ck, buckets=8).awaitTermination()
+    assert sorted(stored.read(spark, out).select("result_key", "ord", "first_ord", "value", "ts", "nested").collect()) == batch(ev)
+
+
+def test_first_runs_forget_old_keys(spark):
+    """The first run of each key stays; the state falls when the watermark passes; a key that comes back later is new."""
+    ev = spark.range(600).select(F.format_string("k%d", F.col("id") % 50 + F.floor(F.col("id") / 200) * 50).alias("result_key"), F.col("id").alias("ord"),
+                                 F.timestamp_seconds(1_700_000_000 + F.floor(F.col("id") / 200) * 86_400 + F.col("id") % 200).alias("ts"))
+    back = spark.createDataFrame([("k0", 600)], "result_key string, ord long").withColumn("ts", F.timestamp_seconds(F.lit(1_700_000_000 + 3 * 86_400)))
+    stream, _ = in_order(spark, ev.unionByName(back), ["ord < 200", "ord >= 200 AND ord < 400", "ord >= 400 AND ord < 600", "ord = 600"])
+    out, ck = (fresh_path(spark, n) for n in ("out", "ck"))
+    q = jobs.first_runs(stream, out, ck, within="1 hour")
+    q.awaitTermination()
+    got = sorted((r.result_key, r.ord) for r in spark.read.parquet(out).collect())
+    assert got == sorted([(f"k{i + 50 * d}", i + 200 * d) for d in range(3) for i in range(50)] + [("k0", 600)])
+    held = [p.stateOperators[0].numRowsTotal for p in q.recentProgress if p.stateOperators]
+    assert max(held) <= 100 and held[-1] == 1
+
+
+def test_late_rows_are_counted(spark):
+    """A window that is closed is written once; what comes for it later is counted as dropped, what stays open is in the state."""
+    rows = [(i, "a", 3600 * h + i) for h in range(6) for i in range(10)] + [(100 + i, "a", 60 * i) for i in range(7)]
+    ev = spark.createDataFrame(rows, "n long, event_type string, s long").select("n", "event_type", "s", F.timestamp_seconds("s").alias("ts"))
+    stream, _ = in_order(spark, ev, ["n < 100 AND s < 10800", "n < 100 AND s >= 10800 AND s < 18000", "n >= 100", "n < 100 AND s >= 18000"])
+    out, ck = (fresh_path(spark, n) for n in ("out", "ck"))
+    q = jobs.window_counts(stream, out, ck, watermark="10 minutes")
+    q.awaitTermination()
+    assert jobs.rows_seen(q) == 67 and jobs.dropped_rows(spark, q, out, ck) == 7
+    assert sorted(r.n for r in spark.read.parquet(out).collect()) == [10] * 4 and [r.n for r in jobs.open_windows(spark, ck).collect()] == [10, 10]
+
+
+def test_saves_merge_into_stored_documents(spark):
+    """Three successive saves equal one; files of buckets that are not touched keep their names."""
+    ddl = "doc_id string, source string, dataset string, save_ord int, modes struct<n:int>, complete array<int>"
+    saves = spark.createDataFrame([(f"d{i % 40}", "s", f"g{i % 3}", i, (i,) if i % 2 else None, [i] if i % 5 else []) for i in range(400)], ddl)
+    one, many = fresh_path(spark, "one"), fresh_path(spark, "many")
+    stored.save_documents(saves, one, buckets=16)
+    for low in (0, 150, 300):
+        stored.save_documents(saves.where((F.col("save_ord") >= low) & (F.col("save_ord") < (low + 150))), many, buckets=16)
 
-    def stream():
-        return spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(src_path)
+    def rows(path):
+        return sorted((r.doc_id, {k: v.n for k, v in r.events.items()}, r.complete_e2e) for r in stored.read(spark, path).collect())
 
-    jobs.upsert_log(stream(), out, ck).awaitTermination()
-    state = jobs.current_runs(spark, out)
-    assert state.count() == ev.select("result_key").distinct().count()
-    first = {r.result_key: r.first_ord for r in state.collect()}
-    # A restart finds nothing new and changes nothing; compaction keeps the state.
-    jobs.upsert_log(stream(), out, ck).awaitTermination()
-    small = fresh_path(spark, "compact")
-    jobs.compact(spark, out, small)
-    assert {r.result_key: r.first_ord for r in jobs.current_runs(spark, small).collect()} == first
-    assert jobs.current_runs(spark, out).count() == len(first)
+    assert rows(one) == rows(many) and len(rows(one)) == 36  # every tenth save holds no results
+    before = set(stored.read(spark, many, bucket=True).inputFiles())
+    stored.save_documents(spark.createDataFrame([("d1", "s", "g9", 1, (5,), None)], ddl), many, buckets=16)
+    after = set(spark.read.parquet(many).inputFiles())
+    assert len(before - after) == 1 == len(after - before)
+    assert dict((d, e) for d, e, _ in rows(many))["d1"]["g9"] == 5
+    with pytest.raises(ValueError):
+        stored.save_documents(saves, many, buckets=2)
 
 
 def test_windows_close_once(spark, sf_dir):
@@ -261,3 +319,59 @@ def test_broken_model_is_opened_once(spark, tmp_path):
     rows = scoring.batch_score(df, factory).collect()
     assert {r.error for r in rows if r.model_key == "bad"} == {"OSError: no weights"} and all(r.error is None for r in rows if r.model_key == "good")
     assert open(log).read().split().count("bad") == 1
+
+
+def test_nothing_behind_a_value_is_lost(spark):
+    """Strict uploads refuse whatever follows a value; so do lists of records, and replies that hold two objects."""
+    from spanloom.functions import text as T
+    rows = [("glued", '{"documents": [{"text": "x"}]} {"documents": [{"text": "y"}]}'), ("line", '{"text": "a"} {"text": "b"}\n{"text": "c"}'), ("closed", '{"documents": [{"text": "x"}]}] junk'),
+            ("list", '[{"text": "x"}]'), ("good", ' {"documents": [{"text": "} {"}]}\n'), ("lines", '{"text": "a"}\n\n{"text": "]["}')]
+    good, bad = docs.strict(spark.createDataFrame(rows, "upload string, content string"))
+    assert sorted((r.upload, r.text) for r in good.collect()) == [("good", "} {"), ("lines", "]["), ("lines", "a")]
+    assert sorted(r.upload for r in bad.collect()) == ["closed", "glued", "line", "list"]
+    fps = [("two", '[{"id": 1}] [{"id": 2}]'), ("odd", '[{"id": 1}, 3]'), ("wrapped", '{"items": [{"id": 1}]}'), ("fine", '[{"id": 1}, {"id": 2}]'), ("none", '{"items": 3}')]
+    good, bad = docs.fp_items(spark.createDataFrame(fps, "upload string, content string"))
+    assert sorted((r.upload, r.pos) for r in good.collect()) == [("fine", 0), ("fine", 1), ("wrapped", 0)]
+    assert sorted((r.upload, r.reason) for r in bad.collect()) == [("none", "not a list of records"), ("odd", "a record is no object"), ("two", "not a list of records")]
+    texts = ['{"a":1} and {"b":2}', '{"a": 1}', '{"a":1}] {}', 'x {"a": "} {"} y']
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.extract_json(F.col("t")).alias("j")).orderBy("i").collect()
+    assert [r.j for r in got] == [None, '{"a": 1}', None, '{"a": "} {"}']
+
+
+def test_json_values(spark):
+    """Glued values of every kind, against the standard decoder."""
+    from spanloom.functions import text as T
+    texts = ['{"a": "} {\\" ["}[1, 2]"x" 3 true{}', "", "  ", '{"a": [{"b": 1} {"c": 2}]}', '"a" "b"', "1 2", '{"a" 1}', '"open', '{"a": "\\\\"}{"b": 1}', "[1,,2]", "null\n[]", "{}}", '{"t": "' + "\\n" * 50_000 + '"} {"u": 1}']
+
+    def plain(text):
+        out, at, decoder = [], 0, json.JSONDecoder()
+        try:
+            while True:
+                while at < len(text) and text[at].isspace():
+                    at += 1
+                if at == len(text):
+                    return out or None
+                value, at = decoder.raw_decode(text, at)
+                out.append(value)
+        except ValueError:
+            return None
+
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", T.json_values(F.col("t")).alias("v")).orderBy("i").collect()
+    assert [None if r.v is None else [json.loads(v) for v in r.v] for r in got] == [plain(t) for t in texts]
+
+
+def test_large_uploads_are_read_by_ranges(spark, tmp_path):
+    """Values over many lines, several to a line, glued: the same on one range and on many."""
+    values = [{"id": i, "text": "} ] \" [ {" * (i % 4), "more": [{"n": list(range(i % 7))}]} for i in range(300)]
+    (tmp_path / "a.json").write_text("\n".join(json.dumps(v, indent=2 if i % 3 else None) + (json.dumps([i]) if i % 10 == 0 else "") for i, v in enumerate(values)))
+    (tmp_path / "b.json").write_text('{"x": 1}\n{"y": \n')
+    want = [x for i, v in enumerate(values) for x in ([v, [i]] if i % 10 == 0 else [v])]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("128m", "2k"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = docs.value_uploads(spark, str(tmp_path)).orderBy("upload", "pos").collect()
+            assert [json.loads(r.content) for r in got if r.upload.endswith("a.json")] == want
+            assert [r.content for r in got if r.upload.endswith("b.json")] == ['{"x":1}', None]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
