@@ -8,10 +8,12 @@ from spanloom.functions import prompts as P
 from spanloom.functions import text as T
 from spanloom.ontology import starter_ontology
 from spanloom.operators import insights, parse, review, scoring
+from spanloom.operators.lexicon import Lexicon, learn
 from spanloom.plans.derived import LINES, corpus, outputs, runs, sentences, shared, table
 from spanloom.plans.oracle import CTE, lit, rr, sql, strip, values, ws
 from spanloom.plans.q_parse import ARGS, E2E, TRIG, W, fps, rsql, _BOTH, _N, _FPID
 from spanloom.plans.registry import query
+from spanloom.plans.standins import RuleClient, RuleScorer
 from spanloom.session import fresh_path, materialise
 from spanloom.sources import corpus as src
 from spanloom.sources import documents as docs
@@ -360,14 +362,27 @@ def docs_to_score(spark, sf):
     return corpus(spark, sf).select("dataset", F.when(F.col("src_id") % 3 == 0, "cross-domain").otherwise("domain-specific").alias("model_type"), "doc_id", T.detokenise(F.col("tokens")).alias("source"), "src_id")
 
 
-@query("i1_batch_score", sql(
-    r"SELECT doc_id, regexp_replace(plain, '(\p{L}{9,})', 'trigger> \1>', 'g') AS prediction FROM sent", "sent"))
+_LEX = r"""tw AS (SELECT ev.*, n_args IS NOT NULL AS whole FROM ev LEFT JOIN nargs USING (sid, pos) WHERE valid AND split = 'train'),
+  wn AS (SELECT dataset, txt AS word, etype, count(*) AS n, count(*) FILTER (whole) AS m FROM tw WHERE regexp_full_match(txt, '\p{L}+') GROUP BY ALL),
+  lexw AS (SELECT dataset, word, max({'n': n, 't': etype}) AS x FROM wn GROUP BY ALL), lexe AS (SELECT dataset, word, max({'n': m, 't': etype}) AS x FROM wn WHERE m > 0 GROUP BY ALL),
+  an AS (SELECT a.dataset, a.etype, a.txt AS word, a.role, count(*) AS n FROM arg a JOIN tw USING (sid, pos) WHERE regexp_full_match(a.txt, '\p{L}+') GROUP BY ALL),
+  lexa AS (SELECT dataset, etype, word, max({'n': n, 'r': role}).r AS role FROM an GROUP BY ALL),
+  pieces AS MATERIALIZED (SELECT sid, doc_id, dataset, unnest(ps) AS word, generate_subscripts(ps, 1) AS p FROM (SELECT *, regexp_extract_all(plain, '\p{L}+|[^\p{L}]+') AS ps FROM sent))"""
+
+
+def lexicon(spark, sf):
+    """What the training split of the derived corpus teaches."""
+    return Lexicon(shared(spark, sf, "lexicon", lambda: learn(corpus(spark, sf)).table))
+
+
+@query("i1_batch_score", sql("""SELECT doc_id, string_agg(CASE WHEN x IS NULL THEN word ELSE 'trigger> ' || word || '>' END, '' ORDER BY p) AS prediction
+    FROM pieces LEFT JOIN lexw USING (dataset, word) GROUP BY doc_id""", "sent", "ev", "nargs", "arg", extra=_LEX))
 def i1(spark, sf):
     p = docs_to_score(spark, sf).select("doc_id", F.col("dataset").alias("model_key"), P.identification_prompt(F.col("dataset"), F.col("source")).alias("input"))
-    return scoring.batch_score(p, scoring.RuleScorer).select("doc_id", "prediction")
+    return scoring.batch_score(p, lexicon(spark, sf)).select("doc_id", "prediction")
 
 
-class Fragile(scoring.RuleScorer):
+class Fragile(RuleScorer):
     """Fails on prompts that hold a vertical bar."""
 
     def score(self, texts):
@@ -383,27 +398,42 @@ def i4(spark, sf):
     return good.select(F.lit("ok").alias("status")).unionByName(bad.select(F.col("error").alias("status"))).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@query("i2_sweep", sql("""SELECT e.epoch, dataset, split, count(*) AS n, count(*) AS predicted FROM (SELECT DISTINCT sid, dataset, split FROM sp), (VALUES (1), (2)) e(epoch) GROUP BY ALL""", "sp"))
+@query("i2_sweep", sql("""SELECT e.epoch, doc_id, split, 'Domain: ' || dataset || '. Identify trigger words. ' || plain AS source, prediction FROM (
+      SELECT sid, epoch, string_agg(CASE WHEN x.n >= epoch THEN 'trigger> ' || word || '>' ELSE word END, '' ORDER BY p) AS prediction
+      FROM pieces LEFT JOIN lexw USING (dataset, word), (VALUES (1), (2)) v(epoch) WHERE sid IN (SELECT sid FROM sp) GROUP BY ALL) e JOIN sent USING (sid)""", "sent", "sp", "nargs", "arg", extra=_LEX))
 def i2(spark, sf):
+    """The model of epoch 2 knows words seen twice."""
     from spanloom.plans.q_corpus import expressive
     ti = expressive(spark, sf).where(F.col("task") == "trigger_identification")
-    return scoring.sweep(ti, [1, 2], scoring.RuleScorer).groupBy("epoch", "dataset", "split").agg(
-        F.count("*").alias("n"), F.count_if(F.col("prediction") != "").alias("predicted"))
+    return scoring.sweep(ti, [1, 2], lexicon(spark, sf)).select("epoch", "doc_id", "split", "source", "prediction")
 
 
-# The stand-in model makes every word of nine letters a trigger; the direct form skips the first.
-@query("i3_chain", sql(r"""SELECT doc_id, n AS n_tagged, greatest(n - 1, 0) AS n_e2e, 0 AS n_merged, n AS n_complete_e2e, '' AS failed
-    FROM (SELECT doc_id, len(regexp_extract_all(plain, '\p{L}{9,}')) AS n FROM sent)""", "sent"))
+_EVENTS = """string_agg(word || '=' || x.t || coalesce('(' || args || ')', ''), ' ' ORDER BY p)"""
+
+
+@query("i3_chain", sql(f"""SELECT doc_id, coalesce(a, '') AS pipeline, coalesce(b, '') AS e2e, coalesce(c, '') AS complete_e2e, '' AS failed FROM sent LEFT JOIN (
+      SELECT sid, {_EVENTS} AS a FROM pieces JOIN lexw USING (dataset, word) LEFT JOIN found ON found.s = sid AND found.etype = x.t GROUP BY sid) USING (sid)
+    LEFT JOIN (SELECT sid, {_EVENTS} AS b FROM pieces JOIN lexe USING (dataset, word) LEFT JOIN found ON found.s = sid AND found.etype = x.t GROUP BY sid) USING (sid)
+    LEFT JOIN (SELECT sid, {_EVENTS} AS c FROM pieces JOIN lexe USING (dataset, word) LEFT JOIN found ON found.s = sid AND found.etype = x.t GROUP BY sid) USING (sid)""",
+    "sent", "ev", "nargs", "arg", extra=_LEX + """, found AS (SELECT sid AS s, etype, string_agg(word || '=' || role, ',' ORDER BY p) AS args FROM (
+      SELECT sid, dataset, word, min(p) AS p FROM pieces GROUP BY ALL) JOIN lexa USING (dataset, word) GROUP BY ALL)"""))
 def i3(spark, sf):
-    out = scoring.chain(docs_to_score(spark, sf), ONTO, scoring.RuleScorer)
-    return out.select("doc_id", *[F.size(c).alias(f"n_{c}") for c in ("e2e", "merged", "complete_e2e")], F.size("pipeline").alias("n_tagged"), "failed")
+    """Triggers with types and arguments with roles, of every mode whose triggers do not hang on offsets."""
+    out = scoring.chain(docs_to_score(spark, sf), ONTO, lexicon(spark, sf))
+
+    def shown(events):
+        args = lambda e: F.array_join(F.transform(e["arguments"], lambda a: F.concat(a["text"], F.lit("="), a["role"])), ",")
+        return F.array_join(F.transform(events, lambda e: F.concat(e["trigger"]["text"], F.lit("="), e["trigger"]["type"], F.when(F.size(e["arguments"]) > 0, F.concat(
+            F.lit("("), args(e), F.lit(")"))).otherwise(""))), " ")
+
+    return out.select("doc_id", *[shown(F.col(c)).alias(c) for c in ("pipeline", "e2e", "complete_e2e")], "failed")
 
 
 @query("i5_two_stage", sql(f"""SELECT doc_id, el AS event_labels, replace(replace(string_split(plain, ' ')[1], '\\', ''), '"', '') AS word, false AS failed FROM sent JOIN (
     SELECT dataset, min(event_type) AS el FROM dim_types GROUP BY dataset) USING (dataset)""", "sent", "dim_types"))
 def i5(spark, sf):
     d = docs_to_score(spark, sf).select("doc_id", "dataset", F.col("source").alias("text"))
-    out = scoring.two_stage(d, ONTO, scoring.RuleClient, pos=True)
+    out = scoring.two_stage(d, ONTO, RuleClient, pos=True)
     return out.select("doc_id", F.array_join("event_labels", ",").alias("event_labels"), F.coalesce(F.get(F.get("triggers", F.lit(0)), F.lit(0)), F.lit("")).alias("word"), "failed")
 
 
@@ -422,7 +452,7 @@ def i6(spark, sf):
     records = docs_to_score(spark, sf).withColumn(
         "raw", F.when(s % 4 == 0, F.concat(F.lit('{"parsed_detection": {}, "analyzed_at": "2024-01-01T00:00:00"'), own, F.lit("}"))).otherwise("{}")).withColumn(
         "text", F.when(s % 7 != 0, F.col("source"))).withColumn("dataset", F.when(s % 11 != 0, F.col("dataset")))
-    runs = scoring.infer_runs(records, ONTO, scoring.RuleScorer)
+    runs = scoring.infer_runs(records, ONTO, RuleScorer)
     return runs.select("status", "doc_id", "dataset", "model_type", "result_key", F.when(F.col("status") == "scored", F.size("pipeline")).alias("n_events"),
                        F.when(F.col("status") == "kept", F.date_format("analyzed_at", "yyyy-MM-dd")).alias("day"))
 
@@ -435,16 +465,18 @@ def _stream(spark, sf, name, df):
     return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("r1_stream_score", sql(rf"""SELECT doc_id, dataset, model_type, CASE WHEN src_id % 5 = 0 THEN 'rejected' ELSE 'scored' END AS status,
-      CASE WHEN src_id % 5 <> 0 THEN {_RUN_KEY} END AS result_key, CASE WHEN src_id % 5 <> 0 THEN len(regexp_extract_all(plain, '\p{{L}}{{9,}}')) END AS n_events
-    FROM (SELECT *, plain AS text, CASE WHEN src_id % 3 = 0 THEN 'cross-domain' ELSE 'domain-specific' END AS model_type FROM sent)""", "sent"))
+@query("r1_stream_score", sql(f"""SELECT doc_id, dataset, model_type, CASE WHEN src_id % 5 = 0 THEN 'rejected' ELSE 'scored' END AS status,
+      CASE WHEN src_id % 5 <> 0 THEN {_RUN_KEY} END AS result_key, CASE WHEN src_id % 5 <> 0 THEN coalesce(triggers, '') END AS triggers
+    FROM (SELECT *, plain AS text, CASE WHEN src_id % 3 = 0 THEN 'cross-domain' ELSE 'domain-specific' END AS model_type FROM sent)
+    LEFT JOIN (SELECT sid, string_agg(word || '=' || x.t, ' ' ORDER BY p) AS triggers FROM pieces JOIN lexw USING (dataset, word) GROUP BY sid) USING (sid)""", "sent", "ev", "nargs", "arg", extra=_LEX))
 def r1(spark, sf):
     """Requests under their aliases; every fifth has no text."""
     d = docs_to_score(spark, sf).select(F.col("doc_id").alias("id"), F.when(F.col("src_id") % 5 != 0, F.col("source")).alias("text"), F.col("dataset").alias("domain"), "model_type")
     out, rejects, ck = (fresh_path(spark, n) for n in ("r1-out", "r1-rejects", "r1-ck"))
-    jobs.score_documents(_stream(spark, sf, "r1", d), ONTO, scoring.RuleScorer, out, rejects, ck).awaitTermination()
+    jobs.score_documents(_stream(spark, sf, "r1", d), ONTO, lexicon(spark, sf), out, rejects, ck).awaitTermination()
     ids = ["doc_id", "dataset", "model_type"]
-    scored = spark.read.parquet(out).select(*ids, F.lit("scored").alias("status"), "result_key", F.size("pipeline").alias("n_events"))
+    found = F.array_join(F.transform("pipeline", lambda e: F.concat(e["trigger"]["text"], F.lit("="), e["trigger"]["type"])), " ")
+    scored = spark.read.parquet(out).select(*ids, F.lit("scored").alias("status"), "result_key", found.alias("triggers"))
     return scored.unionByName(spark.read.parquet(rejects).select(*ids, F.lit("rejected").alias("status")), allowMissingColumns=True)
 
 

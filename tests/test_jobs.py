@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spanloom.ontology import starter_ontology
 from spanloom.operators import insights, parse, review, scoring
 from spanloom.plans import derived
+from spanloom.plans.standins import RuleClient, RuleScorer
 from spanloom.session import fresh_path
 from spanloom.sources import corpus as src
 from spanloom.sources import documents as docs
@@ -105,7 +106,7 @@ def test_scoring(spark):
 def test_chain(spark):
     d = spark.createDataFrame([("geneva", "x", "1", "Marseille expects shipments of dehydrated apricots"), ("m2e2", "cross-domain", "2", "no words here")],
                               "dataset string, model_type string, doc_id string, source string")
-    got = {r.doc_id: r for r in scoring.chain(d, ONTO, scoring.RuleScorer).collect()}
+    got = {r.doc_id: r for r in scoring.chain(d, ONTO, RuleScorer).collect()}
     one = got["1"]
     assert [e.trigger.text for e in one.pipeline] == ["Marseille", "shipments", "dehydrated"] and [e.trigger.text for e in one.e2e] == ["shipments", "dehydrated"]
     assert one.merged == [] and one.pipeline[1].arguments[0].text == "Marseille expects" and one.pipeline[1].trigger.start == 18
@@ -114,7 +115,7 @@ def test_chain(spark):
 
 def test_two_stage(spark):
     d = spark.createDataFrame([("1", "geneva", "word two")], "doc_id string, dataset string, text string")
-    r = scoring.two_stage(d, ONTO, scoring.RuleClient, pos=True, dep=True).first()
+    r = scoring.two_stage(d, ONTO, RuleClient, pos=True, dep=True).first()
     assert r.event_labels == ["Achieve"] and r.triggers == [["word", "Achieve"]] and r.entities == [] and r.pos == [] and r.dependencies == [] and not r.failed
 
 
@@ -218,7 +219,7 @@ def test_sinks(spark, tmp_path):
 
 def test_supplied_triggers_are_reused(spark):
     """Arguments for triggers the caller brings: only the argument prompts reach the model."""
-    class Only(scoring.RuleScorer):
+    class Only(RuleScorer):
         def score(self, texts):
             assert all("Extract arguments" in t for t in texts)
             return super().score(texts)
@@ -235,7 +236,7 @@ def test_records_become_runs(spark):
     rows = [("a", None, "", "wonderful day", "{}"), (None, "m2e2", "cross-domain", "", '{"parsed_detection": 1}'), ("c", "rams", "x", "some  text", '{"parsed_detection": {}}'),
             ("d", "rams", "x", "t", '{"event_detection_item": 1, "result_key": "mine", "analyzed_at": "2024-01-02T03:04:05"}'), ("e", "", None, None, None)]
     df = spark.createDataFrame(rows, "doc_id string, dataset string, model_type string, text string, raw string")
-    got = {r.doc_id: r for r in scoring.infer_runs(df, ONTO, scoring.RuleScorer).collect()}
+    got = {r.doc_id: r for r in scoring.infer_runs(df, ONTO, RuleScorer).collect()}
     assert {k: (r.status, r.result_key) for k, r in got.items()} == {
         "a": ("scored", "a::geneva::domain-specific::wonderful day"), "doc-1": ("empty", "doc-1::m2e2::cross-domain::"), "c": ("kept", "c::rams::x::some text"),
         "d": ("kept", "mine"), "e": ("empty", "e::geneva::domain-specific::")}
@@ -246,7 +247,7 @@ def test_records_become_runs(spark):
     batch = spark.sql(f"select 'rams' domain, 'she ran wonderfully' source, '7' id, {one} t_pipeline, cast(null as array<struct<text string, type string, start int, end int>>) t_e2e, "
                       f"{one} t_merged union all select null, 'a wonderful day', '', null, null, null")
     asked = jobs.requests_of(batch)
-    run = {r.doc_id: r for r in scoring.chain(asked.withColumnRenamed("text", "source"), ONTO, scoring.RuleScorer).collect()}
+    run = {r.doc_id: r for r in scoring.chain(asked.withColumnRenamed("text", "source"), ONTO, RuleScorer).collect()}
     assert [e.trigger.text for e in run["7"].pipeline] == ["ran"] == [e.trigger.text for e in run["7"].merged] and run["7"].e2e == [] and run["7"].dataset == "rams"
     assert [e.trigger.text for e in run["api-doc"].pipeline] == ["wonderful"] and run["api-doc"].dataset == "geneva"
 
@@ -264,7 +265,7 @@ def test_scratch_tables_are_removed(spark):
 def test_repeated_ids_stay_apart(spark):
     d = spark.createDataFrame([("geneva", "x", "api-doc", "first wonderful text"), ("geneva", "x", "api-doc", "other terrifying words")],
                               "dataset string, model_type string, doc_id string, source string")
-    got = sorted((r.source, [(e.trigger.text, e.arguments[0].text) for e in r.pipeline]) for r in scoring.chain(d, ONTO, scoring.RuleScorer).collect())
+    got = sorted((r.source, [(e.trigger.text, e.arguments[0].text) for e in r.pipeline]) for r in scoring.chain(d, ONTO, RuleScorer).collect())
     assert got == [("first wonderful text", [("wonderful", "first wonderful")]), ("other terrifying words", [("terrifying", "other terrifying")])]
 
 
@@ -314,7 +315,7 @@ def test_broken_model_is_opened_once(spark, tmp_path):
             f.write(f"{key}\n")
         if key == "bad":
             raise OSError("no weights")
-        return scoring.RuleScorer(key)
+        return RuleScorer(key)
     df = spark.range(200).coalesce(1).select(F.when(F.col("id") % 2 == 0, "bad").otherwise("good").alias("model_key"), F.format_string("Domain: geneva. Identify trigger words. text %d", "id").alias("input"))
     rows = scoring.batch_score(df, factory).collect()
     assert {r.error for r in rows if r.model_key == "bad"} == {"OSError: no weights"} and all(r.error is None for r in rows if r.model_key == "good")
@@ -375,3 +376,30 @@ def test_large_uploads_are_read_by_ranges(spark, tmp_path):
             assert [r.content for r in got if r.upload.endswith("b.json")] == ['{"x":1}', None]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_lexicon(spark):
+    """Labels come from the training split; the direct form knows whole events only, so the modes differ and merge."""
+    from spanloom.operators.lexicon import learn
+    from spanloom.schema import CORPUS
+    words = "Rebels attacked villages yesterday".split()
+
+    def event(kind, args=()):
+        return {"id": None, "event_type": kind, "trigger": {"start": "1", "end": "2"}, "arguments": [{"text": t, "role": r} for t, r in args]}
+
+    rows = [("geneva", "train", words, [event("Attack"), event("Attack"), event("Raid", [("Rebels", "Agent"), ("villages", "Place")])], []),
+            ("geneva", "train", ["Rebels", "marched"], [event("Move")], []), ("geneva", "test", ["they", "slept"], [event("Sleep")], [])]
+    model = learn(spark.createDataFrame(rows, "dataset string, split string, " + CORPUS))
+    asked = ["Domain: geneva. Identify trigger words. They attacked, marched; slept.", "Domain: geneva. Classify trigger types. They trigger> attacked> trigger> slept>",
+             "Domain: geneva. Classify trigger types end-to-end. attacked marched", "domain: geneva. Event trigger and argument extraction. Rebels attacked villages",
+             "Domain: geneva. Extract arguments for a specific event. argument> Agent for trigger> attacked>=Raid: Rebels, Rebels", "", "What?", "Domain: rams. Identify trigger words. attacked"]
+    prompts = spark.createDataFrame([("epoch/2/geneva" if i == 7 else "geneva", i, t) for i, t in enumerate([*asked, asked[0]][1:])], "model_key string, i long, input string")
+    got = {r.i: (r.prediction, r.error) for r in scoring.batch_score(prompts, model).collect()}
+    assert got[0] == ("attacked=Attack", None) and got[1] == ("trigger> attacked>=Raid", None)
+    assert got[2][0] == "trigger>attacked>=Raid | argument>Rebels>=Agent | argument>villages>=Place"
+    assert got[3][0] == "trigger> attacked>=Raid: argument> Rebels>=Agent" and got[4] == ("", None) and got[5][1].startswith("ValueError") and got[6][0] == "attacked"
+    assert got[7][0] == "They trigger> attacked>, marched; slept."
+    d = spark.createDataFrame([("geneva", "x", "1", "Rebels attacked villages")], "dataset string, model_type string, doc_id string, source string")
+    run = scoring.chain(d, ONTO, model).first()
+    assert [[e.trigger.type for e in mode] for mode in (run.pipeline, run.e2e, run.merged, run.complete_e2e)] == [["Attack"], ["Raid"], ["Attack", "Raid"], ["Raid"]]
+    assert [(a.text, a.role, a.start) for a in run.merged[1].arguments] == [("Rebels", "Agent", 0), ("villages", "Place", 16)] and run.failed == ""
