@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.words import docs_table, fold, ints, mix, restore_id, roll, source, text_pieces, words_of
+from spanloom.llm.words import docs_table, fold, ints, mix, one_text, restore_id, roll, source, text_pieces, words_of
 
 _CLASS = np.full(256, 8, np.uint8)  # bits: lower 1, upper 2, digit 4, other ASCII 8, beyond ASCII 16
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 1, 2, 4, 16
@@ -109,14 +109,15 @@ def ftrl_fit(examples: list[tuple[np.ndarray, np.ndarray, float]], cfg: FTRL) ->
 def fit(docs: DataFrame, labels: DataFrame, train_only, max_rows: int = 6000, cfg: FTRL | None = None) -> np.ndarray:
     """Weights from labelled rows of ``docs`` for which the Column ``train_only`` holds.
 
-    ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, label``.  At most ``max_rows`` labelled rows are used.
+    ``docs`` has ``doc_id, text``; ``labels`` has ``doc_id, label``.  At most ``max_rows`` labelled ids are used, each
+    with one text (``one_text``) and its largest label, however often they repeat.
     """
     cfg = cfg or FTRL()
     picked = (labels.where(train_only & F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
     sample = F.broadcast(picked)  # at most max_rows pairs of an id and a label
     shard = F.pmod(F.xxhash64("doc_id"), F.lit(cfg.shards)).cast("int")
-    rows = docs.join(sample, "doc_id").withColumn("shard", shard)
+    rows = one_text(docs.join(sample.select("doc_id"), "doc_id")).join(sample, "doc_id").withColumn("shard", shard)
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.assign(key=mix(frame.doc_id.to_numpy().astype(np.uint64))).sort_values(["key", "text"], na_position="first")

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm import trees
-from spanloom.llm.words import docs_table, mix, restore_id, source, text_pieces, words_of
+from spanloom.llm.words import docs_table, mix, one_text, restore_id, source, text_pieces, words_of
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RATIOS = ["log_words", "mean_length", "symbol_share", "dup_line_share", "repeat_share", "upper_share", "digit_share",
@@ -117,10 +117,10 @@ def measure(docs: DataFrame) -> DataFrame:
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8000, **options) -> trees.Forest:
-    """A forest from at most ``max_rows`` labelled rows, those smallest by a hash of the id."""
+    """A forest from at most ``max_rows`` labelled ids, those smallest by a hash, each with one text (``one_text``)."""
     picked = (labels.where(F.col("label").isNotNull()).groupBy("doc_id").agg(F.max("label").alias("label"))
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows))
-    sample = measure(docs.join(F.broadcast(picked.select("doc_id")), "doc_id"))  # at most max_rows ids
+    sample = measure(one_text(docs.join(F.broadcast(picked.select("doc_id")), "doc_id")))  # at most max_rows ids
     table = sample.join(F.broadcast(picked), "doc_id").select("doc_id", "features", "label").toPandas().sort_values("doc_id")
     x = np.array(table.features.tolist(), float).reshape(len(table), len(RATIOS))
     return trees.train(x, table.label.to_numpy(float), monotone=[MONOTONE.get(f, 0) for f in RATIOS], **options)

@@ -146,6 +146,22 @@ def restore_id(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.nullif(F.col(n), F.lit(NULL_ID)) for n in names or ("doc_id",)})
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each lengthened until ``df`` has no such column (in any case of letters)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def one_text(rows: DataFrame) -> DataFrame:
+    """``doc_id, text``: of each id the text with the smallest hash, so that a bound on ids bounds the rows."""
+    return rows.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+
 def fold(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids give null."""
     return F.crc32(F.nullif(F.col(column), F.lit(NULL_ID)).cast("string").cast("binary")) % modulus
