@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.words import NULL_ID, docs_table, mix, restore_id, roll, source, text_pieces, words_of
+from spanloom.llm.words import NULL_ID, apart, docs_table, mix, restore_id, roll, source, text_pieces, words_of
 from spanloom.session import materialise
 
 COORDINATES, MATCHES = 48, 22
@@ -302,16 +302,21 @@ def groups(docs: DataFrame, k: int = 5, least: int = 80, coordinates: int = COOR
 def one_of_each(docs: DataFrame, k: int = 5, least: int = 80) -> DataFrame:
     """The rows of ``docs`` (with doc_id and text among its columns), one of each group: the smallest id, once if repeated.
 
-    Rows with a null id, and texts without words, all stay.
+    Of rows that repeat an id and its text the one with the smallest hash over all columns stays.  Rows with a null id, and
+    texts without words, all stay.
     """
     plain = source(docs)
     found = groups(plain, k, least).where((F.col("doc_id") == F.col("component_id")) | (F.col("doc_id") == NULL_ID))
-    kept = found.select("doc_id", "text_key", "n_shingles").distinct().select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.col("n_shingles").alias("_n"))
-    row = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "_key": F.xxhash64(docs["text"].cast("string"))})
-    joined = row.join(kept, ["_id", "_key"])
-    single = (F.col("_n") == 0) | (F.col("_id") == NULL_ID)
-    twice = F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_id"))
-    return joined.withColumn("_nth", twice).where(single | (F.col("_nth") == 1)).select(*docs.columns)
+    key, text_key, size, nth, alone = apart(docs, "_id", "_key", "_n", "_nth", "_alone")
+    kept = found.select("doc_id", "text_key", "n_shingles").distinct().select(F.col("doc_id").alias(key), F.col("text_key").alias(text_key), F.col("n_shingles").alias(size))
+    row = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), text_key: F.xxhash64(docs["text"].cast("string"))})
+    single = (F.col(size) == 0) | (F.col(key) == NULL_ID)
+    whole = F.xxhash64(*[docs[f.name] for f in docs.schema if "map<" not in f.dataType.simpleString()])
+    # A row that stays anyway is a group of its own.  As the rank is all that is asked for, Spark keeps one row of a group in
+    # every task before it shuffles them.
+    apiece = row.join(kept, [key, text_key]).withColumn(alone, F.when(single, F.monotonically_increasing_id()))
+    rank = F.row_number().over(Window.partitionBy(key, text_key, alone).orderBy(whole))
+    return apiece.withColumn(nth, rank).where(F.col(nth) == 1).select(*docs.columns)
 
 
 def op3_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

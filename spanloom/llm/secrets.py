@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import let
-from spanloom.llm.words import NULL_ID, docs_table, restore_id, source
+from spanloom.llm.words import NULL_ID, apart, docs_table, restore_id, source
 from spanloom.session import materialise
 
 KINDS = ["assign", "access", "hex", "owned"]
@@ -136,21 +136,22 @@ def masked(docs: DataFrame, example_owners: int = 3, mask: str = "[SECRET]") ->
 
     Widely copied examples stay as they are.  Only rows that may hold a secret are shuffled, to meet their spans.
     """
-    rows = docs.withColumns({"_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), "_key": F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
+    key, text_key, live = apart(docs, "_id", "_key", "_spans")
+    rows = docs.withColumns({key: F.coalesce(docs["doc_id"].cast("long"), F.lit(NULL_ID)), text_key: F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))})
     maybe = F.coalesce(F.rlike("text", F.lit(ASSIGN)) | F.rlike("text", F.lit(OWNED)), F.lit(False))
     found = materialise(candidates(owned_documents(docs.where(maybe))), "secret-candidates")
     places = judged(found, example_owners).where("verdict = 'live'")
-    spans = places.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    spans = places.groupBy(F.col("doc_id").alias(key), F.col("text_key").alias(text_key)).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias(live))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
 
     def cut(acc, s):
         gap = F.when(s["start"] >= acc["at"], F.concat(F.col("text").substr((acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))).otherwise("")
         return F.struct(F.concat(acc["out"], gap).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
-    clean = F.aggregate("_spans", start, cut, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
-    hit = rows.where(maybe).join(spans, ["_id", "_key"], "left")
-    hit = hit.withColumn("text", F.when(F.col("_spans").isNotNull(), clean).otherwise(F.col("text")))
+    clean = F.aggregate(live, start, cut, lambda acc: F.concat(acc["out"], F.col("text").substr((acc["at"] + 1).cast("int"), F.length("text"))))
+    hit = rows.where(maybe).join(spans, [key, text_key], "left")
+    hit = hit.withColumn("text", F.when(F.col(live).isNotNull(), clean).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        hit = hit.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        hit = hit.withColumn("n_chars", F.when(F.col(live).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.where(~maybe).select(*docs.columns).unionByName(hit.select(*docs.columns))
 
 

@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import rows_of
-from spanloom.llm import bpe, decontam, fmindex, katz, minhash, packing, rules, secrets, trees
+from spanloom.llm import bpe, decontam, fmindex, katz, minhash, packing, quality, rules, secrets, trees
 from spanloom.llm.queries import ORACLE, QUERIES
-from spanloom.llm.words import mix, roll, words_of
+from spanloom.llm.words import mix, one_text, roll, words_of
 
 WORD = re.compile(r"[^\x20\x09-\x0d]+")
 
@@ -116,6 +116,37 @@ def test_matches_sql(spark, sf_dir, name):
     assert rows_of(df.columns, df.collect()) == rows_of(cols, cur.fetchall())
 
 
+def test_clashing_names_of_the_stages(spark, edge_dir):
+    """Columns named as the stages would name their own keep their values; of repeats that differ elsewhere one stays, always the same."""
+    d, rows = edge_dir
+    names = ["_id", "_KEY", "_n", "_nth", "_alone", "_spans"]
+    frame = spark.read.parquet(f"{d}/documents.parquet").withColumns({n: F.concat(F.lit(n), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for _, stage in corpus_pipeline.STAGES[1:4]:
+        got = stage(spark, frame, d)
+        assert got.columns == frame.columns
+        assert all(r[n] == f"{n}{'-' if r.doc_id is None else r.doc_id}" for r in got.collect() for n in names)
+    if rows:
+        text = "one two three four five six seven eight"
+        again = spark.createDataFrame([(7, text, str(i)) for i in range(50)] + [(None, text, "x")] * 3 + [(8, "", "y")] * 2, "doc_id long, text string, tag string")
+        kept = [sorted((r.doc_id or 0, r.tag) for r in minhash.one_of_each(again.repartition(n)).collect()) for n in (1, 7)]
+        assert kept[0] == kept[1] and [i for i, _ in kept[0]] == [0, 0, 0, 7, 8, 8]
+
+
+def test_fitting_is_bounded_by_rows(spark):
+    """Repeated rows of a labelled id count once: what reaches the driver or a group is bounded by ids."""
+    docs = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat(F.lit("text "), (F.col("id") % 7).cast("string")).alias("text"))
+    labels = spark.createDataFrame([(5, 1.0), (5, 0.0), (6, 1.0)], "doc_id long, label double")
+    seen = []
+    train = rules.trees.train
+    rules.trees.train = lambda x, y, **o: seen.append((len(x), list(y))) or train(x, y, **o)
+    try:
+        rules.fit(docs, labels, max_rows=10)
+    finally:
+        rules.trees.train = train
+    assert seen == [(1, [1.0])]
+    assert one_text(docs).count() == 1 and np.isfinite(quality.fit(docs, labels, F.lit(True), max_rows=10)).all()
+
+
 def test_words_and_rolling_hash():
     texts = ["", "A b  c", " \x0b x", "é\n", "a"]
     raw = [t.encode() for t in texts]
