@@ -112,9 +112,13 @@ def fp_summary(records: DataFrame) -> DataFrame:
 
 
 def latest_decisions(log: DataFrame) -> DataFrame:
-    """The newest decision per record; a hash aggregate with partial results, not a sort."""
+    """The newest decision per record; a hash aggregate with partial results, not a sort.
+
+    Of decisions of one time the one saved last counts, where the log says when that was.
+    """
     cols = [c for c in log.columns if c != "fp_id"]
-    newest = F.max(F.struct(F.col("timestamp").alias("_t"), *[F.col(c) for c in cols])).alias("_d")
+    order = [F.col(c).alias(f"by {c}") for c in ("timestamp", "saved_at") if c in cols]
+    newest = F.max(F.struct(*order, *[F.col(c) for c in cols])).alias("_d")
     return log.groupBy("fp_id").agg(newest).select("fp_id", *[F.col("_d")[c].alias(c) for c in cols])
 
 

@@ -39,6 +39,15 @@ def test_decisions(spark):
     assert nav == {"a": (0, 0, 1), "b": (1, 0, 2), "c": (2, 1, 2)}
 
 
+def test_decisions_of_one_time(spark):
+    """Of two decisions with one timestamp the one that was saved last is the newest."""
+    rows = [("a", "uncertain", "2024-01-01", "2024-01-03"), ("a", "true_false_positive", "2024-01-01", "2024-01-04"), ("a", "true_positive_missing_gold", "2024-01-01", "2024-01-02")]
+    log = spark.createDataFrame(rows, "fp_id string, decision string, timestamp string, saved_at string")
+    log = log.select("fp_id", "decision", F.col("timestamp").cast("timestamp").alias("timestamp"), F.col("saved_at").cast("timestamp").alias("saved_at"))
+    assert [r.decision for r in review.latest_decisions(log).collect()] == ["true_false_positive"]
+    assert review.latest_decisions(log).columns == log.columns
+
+
 def test_upsert(spark):
     ddl = "result_key string, doc_id string, dataset string, model_type string, source string, value int, ord long"
     old = spark.createDataFrame([("k1", "d", "x", "m", "s", 1, 0), ("k2", "d", "x", "m", "s", 2, 1), (None, "d", "x", "m", "a  b", 3, 2)], ddl)
