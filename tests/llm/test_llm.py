@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from check import rows_of
-from spanloom.llm import bpe, decontam, fmindex, katz, minhash, packing, quality, rules, secrets, trees
+from spanloom.llm import bpe, decontam, fmindex, katz, minhash, packing, quality, rules, secrets, trees, urls
 from spanloom.llm.queries import ORACLE, QUERIES
 from spanloom.llm.words import mix, one_text, roll, words_of
 
@@ -286,6 +286,52 @@ def test_op4_rules(spark, sf_dir):
         assert (got.host, got.path) == (host, path) and (got.rule == rule or rule is None and pd.isna(got.rule)) and (verdict is None or got.verdict == verdict)
 
 
+def test_op4_verdicts(spark, sf_dir):
+    """Scores by walking each tree for each row, verdicts from the threshold, which is met on hosts the trees never saw."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = urls.by_rules(pages).withColumns(urls.bucket_columns())
+    model = urls.fit(found.where("label is not null"))
+    out = QUERIES["op4_url_filter"](spark, sf_dir).toPandas().set_index("page_id")
+    n, hits = model.table[:, :, 0], model.table[:, :, 1]
+    blocks, allows = hits[0].sum(), (n[0] - hits[0]).sum()
+    forest = model.forest
+
+    def leaf(x, f, t, v, at=0):
+        return v[at] if f[at] < 0 else leaf(x, f, t, v, 2 * at + (1 if x[f[at]] <= t[at] else 2))
+    for r in found.toPandas().itertuples():
+        x, seen = urls.lexical(r.url or "", r.host, r.path), []
+        for k, kind in enumerate(urls.KINDS):
+            b = getattr(r, f"b_{kind}")
+            block, allow = hits[k, b] * (blocks + allows) / (2 * max(blocks, 1)), (n[k, b] - hits[k, b]) * (blocks + allows) / (2 * max(allows, 1))
+            x.append((block + 2.5) / (block + allow + 5))
+            seen.append(math.log1p(n[k, b]))
+        x += seen
+        score = 1 / (1 + math.exp(-forest.base - sum(leaf(x, *t) for t in zip(forest.feature, forest.threshold, forest.value))))
+        got = out.loc[r.page_id]
+        assert math.isclose(got.score, score, rel_tol=1e-9)
+        if pd.isna(r.label) and abs(score - model.threshold) > 1e-9:
+            assert got.verdict == ("block" if score >= model.threshold else "allow")
+
+
+def test_op4_held_out_hosts(spark):
+    """What the trees learn holds on hosts they never saw; a URL that fills a third of the rows counts once; of equal rules the first decides."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(4000):
+        bad = i % 8 != 0
+        host = f"h{rng.integers(0, 300)}.{'bad' if bad else 'good'}-site{rng.integers(0, 3)}.org"
+        rows.append((i, f"https://{host}/{'promo' if bad else 'guide'}/{rng.integers(0, 10**6)}" + ("?a=1&b=2" if bad and i % 2 else "")))
+    rows += [(10_000 + i, "https://h1.bad-site0.org/promo/1") for i in range(2000)]
+    rules = [("block", "org", "/promo/"), ("allow", "org", "/guide/"), ("allow", "org", "/promo/")]
+    found = urls.by_rules(spark.createDataFrame(rows, "page_id long, url string"), rules).withColumns(urls.bucket_columns())
+    assert found.where("label = 1").count() == 3500 + 2000 and found.where("label is null").count() == 0
+    model = urls.fit(found, max_rows=1000)
+    assert 0 < model.n_held <= 1000 and model.caught >= urls.RECALL and model.wrong <= 0.02
+    more = [(1, "https://new.bad-site1.org/promo/77?a=1&b=2"), (2, "https://new.good-site1.org/guide/5")]
+    fresh = urls.by_rules(spark.createDataFrame(more, "page_id long, url string"), []).withColumns(urls.bucket_columns())
+    assert (model.score(fresh.toArrow().combine_chunks().to_batches()[0]) >= 0.5).tolist() == [True, False]
+
+
 def test_op5_added_and_masked(spark):
     own, shared = "Zq3vT8mK1pR7xW2nB5cD9", "Ab1Cd2Ef3Gh4Ij5Kl6Mn7"
     rows = [(i, f"é see {shared} and {own if i == 1 else ''} password = abcdef{i} end", "en", f"s{i}") for i in range(5)]
@@ -323,6 +369,16 @@ def test_fast_encoder_equals_tokenizer():
         assert fast(t).tolist() == tok.encode(t, add_special_tokens=False).ids
 
 
+def test_op7_ids_of_the_whole_table():
+    """Both encoders give the same ids for every text of a whole documents table."""
+    tok, fast = bpe.tokenizer(), bpe.fast_encoder()
+    texts = [t or "" for t in pq.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"]).column(0).to_pylist()]
+    for lo in range(0, len(texts), 256):
+        part = texts[lo:lo + 256]
+        for t, own in zip(part, tok.encode_batch_fast(part, add_special_tokens=False)):
+            assert fast(t).tolist() == own.ids
+
+
 def test_op7_round_trip(spark, docs, sf_dir):
     tok = bpe.tokenizer()
     out = QUERIES["op7_best_fit_packing"](spark, sf_dir).toPandas()
