@@ -29,60 +29,78 @@ def _keys(items: DataFrame) -> list[str]:
     return [c for c in ("dataset", "split", "doc_id") if c in items.columns]
 
 
+def _arguments(source: Column, preds: Column, compat: bool) -> Column:
+    """X8 without an anchor over a list of predictions: the arguments with both parts non-blank, in order; empty for no list."""
+    def one(p, i):
+        return F.transform(serving_arguments(source, p, compat=compat), lambda a, j: F.struct(
+            i.alias("pred_pos"), j.alias("arg_pos"), strip(a["text"]).alias("text"), strip(a["role"]).alias("role"),
+            a["start"].alias("start"), a["end"].alias("end")))
+    lists = F.filter(F.transform(preds, one), lambda x: x.isNotNull())
+    return F.coalesce(F.filter(F.flatten(lists), lambda a: (a["text"] != "") & (a["role"] != "")), F.array())
+
+
+def _pair(a: Column) -> Column:
+    return F.struct(a["text"].alias("text"), a["role"].alias("role"))
+
+
+def _pairs(items: DataFrame, preds: str, compat: bool) -> Column:
+    return F.array_distinct(F.transform(_arguments(items["source"], items[preds], compat), _pair))
+
+
+def _exploded(rows: DataFrame, found: Column, preds: str) -> DataFrame:
+    keys = _keys(rows)
+    return rows.select(*keys, preds, F.explode(found).alias("a")).select(
+        *keys, "a.pred_pos", "a.arg_pos", F.get(preds, F.col("a.pred_pos")).alias("pred"), "a.text", "a.role", "a.start", "a.end")
+
+
 def predicted_arguments(items: DataFrame, preds: str, compat: bool = False) -> DataFrame:
-    """X8 without an anchor over a list of predictions: one row per argument with both parts non-blank."""
-    keys = _keys(items)
-    return (
-        items.select(*keys, "source", F.posexplode(preds).alias("pred_pos", "pred"))
-        .select(*keys, "pred_pos", "pred", F.posexplode(serving_arguments(F.col("source"), F.col("pred"), compat=compat)).alias("arg_pos", "a"))
-        .select(*keys, "pred_pos", "arg_pos", "pred", strip(F.col("a.text")).alias("text"),
-                strip(F.col("a.role")).alias("role"), "a.start", "a.end")
-        .where((F.col("text") != "") & (F.col("role") != ""))
-    )
+    """One row per argument of a list of predictions."""
+    return _exploded(items, _arguments(F.col("source"), F.col(preds), compat), preds)
 
 
 def reference_set(items: DataFrame, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
-    """A13."""
-    return predicted_arguments(items, refs, compat).select(*_keys(items), "text", "role").distinct()
+    """A document's pairs, distinct in its row."""
+    return items.select(*_keys(items), F.explode(_pairs(items, refs, compat)).alias("a")).select(*_keys(items), "a.text", "a.role")
+
+
+def _unmatched(items: DataFrame, preds: str, refs: str, compat: bool) -> DataFrame:
+    """Adds ``_wrong``: predicted arguments whose pair is no reference of the row.
+
+    References and predictions of a document sit in its row, so matching happens there: no join, no shuffle.
+    """
+    known = items.withColumn("_known", _pairs(items, refs, compat))
+    return known.withColumn("_wrong", F.filter(
+        _arguments(F.col("source"), F.col(preds), compat), lambda a: ~F.array_contains(F.col("_known"), _pair(a)))).drop("_known")
 
 
 def false_positives(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
     """J9 as a table job: predicted (text, role) pairs absent from the document's references."""
-    pred = predicted_arguments(items, preds, compat)
-    return pred.join(reference_set(items, refs, compat), [*_keys(items), "text", "role"], "left_anti")
+    return _exploded(_unmatched(items, preds, refs, compat), F.col("_wrong"), preds)
 
 
-def fp_records(items: DataFrame, preds: str, task: str, model_name: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
-    """E1 + W4: one review record per false positive.
+def fp_records(items: DataFrame, preds: str, task: str, model_name: str, refs: str = "ae_refs", compat: bool = False,
+               by_split: bool = False) -> DataFrame:
+    """E1 + W4: one review record per false positive; a document's counter is its position in the surviving list.
 
-    References and predictions of a document sit in its row, so matching and numbering happen there:
-    no join, no shuffle, and a document's counter is simply its position in the surviving list.
+    ``parsed_prediction`` is the one event a reviewer is shown (see :func:`spanloom.operators.parse.review_preview`).
+    ``by_split`` puts the split into ``fp_id``, which tells equal document ids of two splits apart.
     """
-    src = F.col("source")
-
-    def flat(col):
-        return F.flatten(F.transform(col, lambda p, i: F.transform(
-            serving_arguments(src, p, compat=compat), lambda a: F.struct(
-                i.alias("pred_pos"), strip(a["text"]).alias("text"), strip(a["role"]).alias("role"),
-                a["start"].alias("start"), a["end"].alias("end")))))
-
-    def key(a):
-        return F.struct(a["text"].alias("text"), a["role"].alias("role"))
-
-    known = F.array_distinct(F.transform(flat(F.col(refs)), key))
-    wrong = F.filter(flat(F.col(preds)), lambda a: (a["text"] != "") & (a["role"] != "") & ~F.array_contains(F.col("_known"), key(a)))
-    rows = items.withColumn("_known", known).select(
-        "dataset", "doc_id", "source", F.col(refs).alias("reference_candidates"), F.col(preds).alias("_preds"),
-        F.posexplode(wrong).alias("local_idx", "a"))
+    ids = ["dataset", "split"] if by_split else ["dataset"]
+    rows = _unmatched(items, preds, refs, compat).select(
+        *ids, "doc_id", "source", F.col(refs).alias("reference_candidates"), F.col(preds).alias("_preds"), F.posexplode("_wrong").alias("local_idx", "a"))
     pred = F.get("_preds", F.col("a.pred_pos"))
     text, etype = ae_trigger(pred, compat)
+    nowhere = [F.lit(None).cast("int").alias(n) for n in ("start", "end")]
+    event = F.struct(
+        F.struct(text.alias("text"), etype.alias("type"), *nowhere).alias("trigger"),
+        F.array(F.struct(*[F.col(f"a.{n}") for n in ("text", "role", "start", "end")])).alias("arguments"))
     return rows.select(
-        F.concat_ws("-", "dataset", F.lit(task), "doc_id", F.col("local_idx").cast("string")).alias("fp_id"),
-        "dataset", F.lit(model_name).alias("model_name"), F.lit(task).alias("task"), "doc_id", "source",
+        F.concat_ws("-", *ids, F.lit(task), "doc_id", F.col("local_idx").cast("string")).alias("fp_id"),
+        *ids, F.lit(model_name).alias("model_name"), F.lit(task).alias("task"), "doc_id", "source",
         text.alias("trigger_text"), etype.alias("trigger_type"),
         F.col("a.text").alias("argument_text"), F.col("a.role").alias("argument_role"),
         F.col("a.start").alias("argument_start"), F.col("a.end").alias("argument_end"),
-        pred.alias("prediction_raw"), "reference_candidates", "local_idx")
+        pred.alias("prediction_raw"), "reference_candidates", F.array(event).alias("parsed_prediction"), "local_idx")
 
 
 def normalise_records(raw: DataFrame, idx: str = "idx") -> DataFrame:
@@ -145,19 +163,17 @@ def navigation(records: DataFrame, group: list[str], key: str) -> DataFrame:
 
 
 def match_counts(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
-    """True and false positives and misses per data set under E1's matching rule."""
-    keys = [*_keys(items), "text", "role"]
-    pred = predicted_arguments(items, preds, compat).select(*keys, F.lit(1).alias("p"), F.lit(0).alias("r"))
-    ref = predicted_arguments(items, refs, compat).select(*keys, F.lit(0).alias("p"), F.lit(1).alias("r"))
-    both = pred.unionByName(ref).groupBy(*keys).agg(F.max("p").alias("p"), F.max("r").alias("r"))
-    return both.groupBy("dataset").agg(
-        F.sum(F.col("p") * F.col("r")).alias("tp"), F.sum(F.col("p") * (1 - F.col("r"))).alias("fp"),
-        F.sum((1 - F.col("p")) * F.col("r")).alias("fn"))
+    """True and false positives and misses per data set under E1's matching rule; only counts are shuffled."""
+    rows = items.select("dataset", _pairs(items, preds, compat).alias("p"), _pairs(items, refs, compat).alias("r"))
+    rows = rows.where((F.size("p") > 0) | (F.size("r") > 0)).withColumn("both", F.size(F.array_intersect("p", "r")))
+    return rows.groupBy("dataset").agg(
+        F.sum("both").alias("tp"), F.sum(F.size("p") - F.col("both")).alias("fp"), F.sum(F.size("r") - F.col("both")).alias("fn"))
 
 
 def corrected_precision(items: DataFrame, preds: str, records: DataFrame, log: DataFrame, refs: str = "ae_refs") -> DataFrame:
     """Precision per data set when reviewed false positives count as correct gold gaps."""
-    total = predicted_arguments(items, preds).groupBy("dataset").agg(F.count("*").alias("predicted"))
+    found = items.select("dataset", F.size(_arguments(F.col("source"), F.col(preds), False)).alias("n"))
+    total = found.where("n > 0").groupBy("dataset").agg(F.sum("n").alias("predicted"))
     judged = records.select("fp_id", "dataset").join(latest_decisions(log).select("fp_id", "decision"), "fp_id", "left")
     fps = judged.groupBy("dataset").agg(
         F.count("*").alias("fps"), F.count_if(F.col("decision") == "true_positive_missing_gold").alias("missing_gold"),

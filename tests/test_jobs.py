@@ -27,6 +27,35 @@ def test_false_positive_forms_agree(spark, sf_dir):
     assert a.join(review.reference_set(o), ["doc_id", "text", "role"], "left_semi").count() == 0
 
 
+def test_review_in_the_row(spark, sf_dir):
+    """Lists with gaps lose only the gaps, equal ids of two splits stay apart, no text is shuffled, a stored parse is shown first."""
+    text = "The army attacked the town today ."
+    wrong, right = "trigger> attacked >= Attack: argument> army >= Attacker", "trigger> attacked >= Attack: argument> town >= Target"
+    items = spark.createDataFrame(
+        [("d", "train", "1", text, [wrong, None, right], [right]), ("d", "dev", "1", text, [right, wrong], [wrong]), ("d", "dev", "2", text, None, [right]), ("e", "dev", "3", text, [wrong], None)],
+        "dataset string, split string, doc_id string, source string, p array<string>, ae_refs array<string>")
+    fps = review.false_positives(items, "p")
+    pairs = {(r.split, r.doc_id, r.text, r.role) for r in review.predicted_arguments(items, "p").collect()}
+    known = {(r.split, r.doc_id, r.text, r.role) for r in review.reference_set(items).collect()}
+    assert len(pairs) == 5 and len(known) == 3
+    assert {(r.split, r.doc_id, r.text, r.role) for r in fps.collect()} == pairs - known
+    assert "Exchange" not in fps._jdf.queryExecution().executedPlan().toString()
+    got = {r.dataset: (r.tp, r.fp, r.fn) for r in review.match_counts(items, "p").collect()}
+    same = lambda s, ds: sum(1 for x in s if (x[1] == "3") == (ds == "e"))
+    assert got == {ds: (same(pairs & known, ds), same(pairs - known, ds), same(known - pairs, ds)) for ds in "de"}
+    plain, apart = (review.fp_records(items, "p", "t", "m", by_split=b).collect() for b in (False, True))
+    assert len({r.fp_id for r in plain}) == 2 and {r.fp_id for r in apart} == {"d-train-t-1-0", "d-dev-t-1-0", "e-dev-t-3-0"}
+    for r in apart:
+        assert [(e.trigger.text, e.trigger.type, e.trigger.start, [(a.text, a.role, a.start) for a in e.arguments]) for e in r.parsed_prediction] == [
+            (r.trigger_text, r.trigger_type, None, [(r.argument_text, r.argument_role, r.argument_start)])]
+    shown = parse.detect(derived.outputs(spark, sf_dir).limit(2))
+    event = review.fp_records(items, "p", "t", "m").where("dataset = 'e'").select("parsed_prediction")
+    both = shown.join(event).unionByName(shown, allowMissingColumns=True)
+    out = parse.review_preview(both).select("doc_id", "parsed_prediction", "preview").collect()
+    live = {r.doc_id: r.preview for r in parse.review_preview(shown).collect()}
+    assert len(out) == 4 and all(r.preview == (live[r.doc_id] if r.parsed_prediction is None else r.parsed_prediction) for r in out)
+
+
 def test_decisions(spark):
     log = spark.createDataFrame(
         [("a", "uncertain", "2024-01-01"), ("a", "true_false_positive", "2024-01-02"), ("b", "uncertain", "2024-01-01")], "fp_id string, decision string, t string"
