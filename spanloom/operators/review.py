@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import ae_trigger, first_truthy, strip
+from spanloom.functions.text import ae_trigger, first_truthy, let, strip
 from spanloom.operators.assemble import row_index
 from spanloom.operators.parse import serving_arguments
 
@@ -68,9 +68,8 @@ def _unmatched(items: DataFrame, preds: str, refs: str, compat: bool) -> DataFra
 
     References and predictions of a document sit in its row, so matching happens there: no join, no shuffle.
     """
-    known = items.withColumn("_known", _pairs(items, refs, compat))
-    return known.withColumn("_wrong", F.filter(
-        _arguments(F.col("source"), F.col(preds), compat), lambda a: ~F.array_contains(F.col("_known"), _pair(a)))).drop("_known")
+    found = _arguments(F.col("source"), F.col(preds), compat)
+    return items.withColumn("_wrong", let(_pairs(items, refs, compat), lambda known: F.filter(found, lambda a: ~F.array_contains(known, _pair(a)))))
 
 
 def false_positives(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
