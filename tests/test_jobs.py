@@ -3,6 +3,8 @@
 import json
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from spanloom.ontology import starter_ontology
@@ -56,6 +58,43 @@ def test_review_in_the_row(spark, sf_dir):
     assert len(out) == 4 and all(r.preview == (live[r.doc_id] if r.parsed_prediction is None else r.parsed_prediction) for r in out)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 60)), st.one_of(st.none(), st.integers(1, 7)), st.integers(1, 200))
+def test_length_batches(lengths, batch, budget):
+    got = scoring.length_batches(lengths, batch, budget)
+    assert sorted(i for b in got for i in b) == list(range(len(lengths)))
+    assert all(len(b) == 1 or len(b) * max(lengths[i] for i in b) <= budget for b in got)
+    assert all(len(b) <= (batch or len(b)) for b in got)
+    flat = [(lengths[i], i) for b in got for i in b]
+    assert flat == sorted(flat)
+
+
+def test_scoring_by_length(spark):
+    """Little is padded, the budget holds, every prompt keeps its own prediction in the order of the rows."""
+    class Padding:
+        """Tells each prompt's own words and the words its batch is padded to."""
+
+        def __init__(self, key):
+            pass
+
+        def score(self, texts):
+            size = [min(len(t.split()), 512) for t in texts]
+            return [f"{t[:6]} {n} {max(size)} {len(texts)}" for t, n in zip(texts, size)]
+
+    words = [1 + (i * 7919) % 600 for i in range(2000)]
+    prompts = spark.createDataFrame([(i, "m", f"{i:06d}" + " w" * (n - 1)) for i, n in enumerate(words)], "id long, model_key string, input string").coalesce(1)
+    rows = scoring.batch_score(prompts, Padding, budget=4096).collect()
+    assert [r.id for r in rows] == list(range(2000)) and all(r.error is None for r in rows)
+    got = [r.prediction.split() for r in rows]
+    assert all(g[0] == f"{i:06d}" and int(g[1]) == min(words[i], 512) for i, g in enumerate(got))
+    assert all(int(g[2]) * int(g[3]) <= 4096 for g in got)
+    padded = sum(int(g[2]) for g in got)
+    assert 1 - sum(int(g[1]) for g in got) / padded < 0.05
+    assert max(int(g[3]) for g in got) > 16  # short prompts fill a batch by tokens, not by rows
+    sixteen = [r.prediction.split() for r in scoring.batch_score(prompts, Padding).collect()]
+    assert max(int(g[3]) for g in sixteen) == 16 and [g[:2] for g in sixteen] == [g[:2] for g in got]
+
+
 def test_decisions(spark):
     log = spark.createDataFrame(
         [("a", "uncertain", "2024-01-01"), ("a", "true_false_positive", "2024-01-02"), ("b", "uncertain", "2024-01-01")], "fp_id string, decision string, t string"
