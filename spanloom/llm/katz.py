@@ -1,21 +1,27 @@
-"""Katz backoff language model over word pairs, counted and evaluated in hash partitions.
+"""Katz backoff language model over runs of up to three words, counted into stored tables and evaluated recursively.
 
-Tokens of a text are its lower-cased words and one end; the end also stands before the first word.  With c the training counts,
+Tokens of a text are its lower-cased words and one end; ends also stand before the first word.  With c the training counts, h a
+history of n - 1 tokens and h' the history without its oldest token,
 
-    P(w | v) = d(c(v,w)) c(v,w) / c(v)            if the pair was seen
-             = a(v) P(w)                          otherwise, and likewise P(w) = P(unknown) for unseen words,
+    P(w | h) = d_n(c(h w)) c(h w) / c(h)      if the run was seen
+             = a(h) P(w | h')                 otherwise; without a history, P(w) = d_1(c(w)) c(w) / N, or P(unknown) if unseen,
 
-d(r) is the Good-Turing discount for r up to ``K`` (1 beyond) and a(v) makes the probabilities after v sum to 1 exactly, over
-all known words, the end and one unknown word.  Where counts of counts give no discount between 0 and 1, d(r) = 1 - D / r with
-D = n1 / (n1 + 2 n2).  A context whose pairs leave nothing to the unseen counts as seen once more.
+d_n(r) is the Good-Turing discount of runs of n for r up to ``K`` (1 beyond) and a(h) makes the probabilities after h sum to 1
+exactly, over all known words, the end and one unknown word; an unseen history has a(h) = 1.  Where counts of counts give no
+discount between 0 and 1, d(r) = 1 - D / r with D = n1 / (n1 + 2 n2).  A history whose runs leave nothing to the unseen counts as
+seen once more.
 
 How it runs: texts are coded into blocks of about ``BLOCK_TOKENS`` tokens, each with its own vocabulary of word hashes (a
-table in the shared folder).  A block asks every partition of words for its words' counts, then every partition of pairs for
-its pairs' counts and its contexts' sums, and scores its tokens from the answers: nothing is broadcast, each distinct word or
-pair of a block travels once, and both tables are partitioned by hash (pairs by their context; the pairs of a context with more
-than a share of all tokens by the pair).  Within its context a pair's word is
-known by 40 bits, and a context's sum has 32 fraction bits.  Every partition answers every block, so a block can add up the corpus-wide counts of
-counts itself.
+table in the shared folder).  There is a round for each length of run.  In it a block sends its distinct runs to the partitions
+of their histories, and only to those, so there are never more messages than runs.  A partition adds up the counts, writes
+them to the stored table of that length (``kind`` = -n, one row a partition: histories, next words, counts), and answers each
+block with its runs' totals and its histories' sums.  The first round also gives every word a number, small for frequent words.
+The runs of a hot history, one with more than a quarter of a partition's tokens, are dealt one by one; its sums are then added up
+by a grouping of their own and joined to the blocks that have it.  In the last step a block evaluates its tokens, length after length, from the answers.  Nothing is
+broadcast but the counts of counts, K + 3 numbers a length.  Partitions are as many as blocks, so a task holds about as much at
+any size of the input.
+
+Histories and runs are told apart by 64-bit hashes of their words' numbers, words by 64-bit hashes.
 
 Defined cases: null text is empty (one token, the end); null ids are never held out and are learned from; repeated rows count
 and are scored each; without training rows every token is unknown and has probability 1; an empty table gives an empty result.
@@ -33,11 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.words import docs_table, fold, ints, mix, restore_id, source, text_pieces, words_of
-from spanloom.session import materialise
+from spanloom.session import fresh_path, materialise
 
-BLOCK_TOKENS = 3_000_000
+BLOCK_TOKENS = 1_500_000
+ORDER = 3
 K = 5
+HOT = 1000  # kinds of rows about hot histories
 END = np.uint64(0xE0D)  # not a value that ``mix`` gives a likely word
+_COLUMNS = ["block", "part", "kind", "a", "b", "c", "stats"]
 _ROW = "block long, part long, kind int, a binary, b binary, c binary, stats array<double>"
 
 
@@ -51,11 +60,6 @@ def _unzip(b: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(b), np.uint8).reshape(size, -1).T).view(kind).ravel()
 
 
-def _round(x: np.ndarray) -> np.ndarray:
-    """Doubles with the last 20 of 52 fraction bits cleared, which then compress."""
-    return (x.astype("<f8").view("<u8") & np.uint64(0xFFFFFFFFFFF00000)).view("<f8")
-
-
 def _join(*parts: bytes) -> bytes:
     return b"".join([np.array([len(parts), *map(len, parts)], "<i8").tobytes(), *parts])
 
@@ -67,7 +71,7 @@ def _split(b: bytes) -> list[bytes]:
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
-    """d(0..K) from counts of counts ``n[1..K+1]`` (``n[0]`` unused); d(0) is unused."""
+    """d(0..K) from counts of counts ``n[1..K+1]`` (``n[0]`` unused); d(0) is 1, the discount of counts beyond K."""
     d = np.ones(K + 1)
     n1 = n[1]
     plain = n1 / (n1 + 2 * n[2]) if n1 > 0 and n[2] > 0 else 0.5
@@ -82,49 +86,69 @@ def counts_of(c: np.ndarray) -> np.ndarray:
     return np.bincount(c[(c > 0) & (c <= K + 1)].astype(np.int64), minlength=K + 2).astype(float)
 
 
-class Unigrams:
-    """P(w) by the count of w."""
+def kept(d: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """What the discount leaves of each count."""
+    return d[np.where(c <= K, c, 0).astype(np.int64)] * c
+
 
-    def __init__(self, tokens: float, n: np.ndarray):
-        self.d = discounts(n)
-        left = float(((1 - self.d[1:]) * np.arange(1, K + 1) * n[1:K + 1]).sum())
-        self.total = tokens if left > 0 else tokens + 1
-        self.unknown = (left if left > 0 else 1.0) / self.total if tokens else 1.0
+def left_over(d: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """What the discounts take, from how many runs have count 1..K (the last axis)."""
+    return few @ ((1 - d[1:]) * np.arange(1, K + 1))
 
-    def p(self, c: np.ndarray) -> np.ndarray:
-        c = c.astype(float)
-        return np.where(c > 0, self.d[np.where((c > 0) & (c <= K), c, 0).astype(np.int64)] * np.where(c <= K, 1, 1 / self.d[0]) * c / max(self.total, 1), self.unknown)
+
+def named(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each history, given by its words' numbers."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = mix(h + c + np.uint64(5))
+    return h
 
 
 class Block:
-    """The tokens of some documents as numbers of the block's own vocabulary."""
+    """The tokens of some documents as numbers of the block's own vocabulary, frequent words first."""
 
     def __init__(self, row):
         self.ids, self.held, self.size = _unzip(row.ids, "<i8"), _unzip(row.held, "<u1"), _unzip(row.size, "<u4").astype(np.int64)
-        self.vocab, self.code = _unzip(row.vocab, "<u8"), _unzip(row.code, "<u4")
+        self.vocab, self.code = _unzip(row.vocab, "<u8"), _unzip(row.code, "<u4").astype(np.int64)
+        self.first = np.cumsum(self.size) - self.size
         self.learned = np.repeat(self.held == 0, self.size)
-        self.end = int(np.searchsorted(self.vocab, END))
-
-    def word_counts(self) -> np.ndarray:
-        return np.bincount(self.code[self.learned], minlength=len(self.vocab))
+        self.end = int(np.flatnonzero(self.vocab == END)[0])
+        # By length of run (index 0 is length 1): last words, histories, runs without the oldest token, each token's run, counts.
+        self.w, self.history, self.low, self.run_of = [np.arange(len(self.vocab))], [None], [None], [self.code]
+        self.seen = [np.bincount(self.code[self.learned], minlength=len(self.vocab))]
+
+    def lengthen(self, order: int) -> None:
+        """Distinct runs up to ``order``.  A history is a run one shorter, or (the number behind the last of them) the start."""
+        while len(self.w) < order:
+            before = np.empty_like(self.code)
+            before[1:] = self.run_of[-1][:-1]
+            before[self.first] = len(self.w[-1])
+            key, at, of = np.unique(before << 32 | self.code, return_index=True, return_inverse=True)
+            self.low.append(self.run_of[-1][at])
+            self.w.append(key & 0xFFFFFFFF)
+            self.history.append(key >> 32)
+            self.run_of.append(of)
+            self.seen.append(np.bincount(of[self.learned], minlength=len(key)))
+
+    def histories(self, n: int, number: np.ndarray) -> list[np.ndarray]:
+        """The words' numbers of all histories of runs of ``n``; the start is zeros."""
+        zero = np.zeros(1, np.uint64)
+        out = [np.append(number, zero)]
+        for m in range(1, n - 1):
+            out = [np.append(c[self.history[m]], zero) for c in out] + [np.append(number[self.w[m]], zero)]
+        return out
+
+    def shorter(self, n: int) -> np.ndarray:
+        """For each history of runs of ``n``, the one without its oldest token; the start stays the start."""
+        return np.append(self.low[n - 2], len(self.w[n - 3]))
 
     def word_part(self, parts: int) -> np.ndarray:
         return (mix(self.vocab + np.uint64(3)) % np.uint64(parts)).astype(np.int64)
 
-    def pairs(self) -> None:
-        """Distinct pairs in order of context: ``v, w`` codes, training count, and each token's pair."""
-        before = np.empty_like(self.code)
-        before[1:] = self.code[:-1]
-        before[np.cumsum(self.size) - self.size] = self.end
-        key, self.pair_of = np.unique(before.astype(np.uint64) << np.uint64(32) | self.code, return_inverse=True)
-        self.v, self.w = (key >> np.uint64(32)).astype(np.int64), (key & np.uint64(0xFFFFFFFF)).astype(np.int64)
-        self.seen = np.bincount(self.pair_of[self.learned], minlength=len(key))
-
-    def pair_part(self, parts: int, known: np.ndarray, tokens: float) -> np.ndarray:
-        """A context goes to one partition, unless it has more than a quarter of a partition's tokens."""
-        hot = known[self.v] * 4.0 * parts > tokens
-        v = mix(self.vocab + np.uint64(5))[self.v]
-        return (np.where(hot, mix(v + mix(self.vocab)[self.w]), v) % np.uint64(parts)).astype(np.int64)
+    def part(self, n: int, parts: int, name: np.ndarray, number: np.ndarray, hot: np.ndarray) -> np.ndarray:
+        """A history's runs go to one partition, those of a hot one are dealt one by one."""
+        h = name[self.history[n - 1]]
+        return (np.where(hot[self.history[n - 1]], mix(h + mix(number[self.w[n - 1]])), h) % np.uint64(parts)).astype(np.int64)
 
 
 def encode(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -134,11 +158,12 @@ def encode(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
         def flush():
             ids, out, size, h = (np.concatenate(x) for x in zip(*held))
-            vocab, code = np.unique(h, return_inverse=True)
-            if END not in vocab:
-                raise AssertionError("every document has an end")
+            vocab, code, often = np.unique(h, return_inverse=True, return_counts=True)
+            order = np.argsort(-often, kind="stable")
+            rank = np.empty(len(order), "<u4")
+            rank[order] = np.arange(len(order))
             held.clear()
-            cols = (_zip(ids.astype("<i8")), _zip(out.astype("<u1")), _zip(size.astype("<u4")), _zip(vocab), _zip(code.astype("<u4")))
+            cols = (_zip(ids.astype("<i8")), _zip(out.astype("<u1")), _zip(size.astype("<u4")), _zip(vocab[order]), _zip(rank[code]))
             return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), *[pa.array([c]) for c in cols]], ["block", "ids", "held", "size", "vocab", "code"])
 
         tokens = 0
@@ -155,135 +180,205 @@ def encode(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
 
 
 def _rows(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=["block", "part", "kind", "a", "b", "c", "stats"])
+    return pd.DataFrame(rows, columns=_COLUMNS)
+
 
+def _dealt(part: np.ndarray, parts: int):
+    """``(partition, indexes)`` for each partition that has any, in their given order."""
+    order = np.argsort(part, kind="stable")
+    edge = np.searchsorted(part[order], np.arange(parts + 1))
+    for p in np.flatnonzero(np.diff(edge)).tolist():
+        yield p, order[edge[p]:edge[p + 1]]
 
-def word_questions(blocks: DataFrame, parts: int) -> DataFrame:
+
+def word_questions(parts: int):
     def run(frames):
         for frame in frames:
             for row in frame.itertuples():
                 b = Block(row)
-                part, count = b.word_part(parts), b.word_counts()
-                order = np.argsort(part, kind="stable")
-                edge = np.searchsorted(part[order], np.arange(parts + 1))
-                for p in range(parts):
-                    at = order[edge[p]:edge[p + 1]]
-                    yield _rows([(row.block, p, 0, _zip(b.vocab[at]), _zip(count[at].astype("<u4")), b"", [])])
-    return blocks.mapInPandas(run, _ROW)
-
-
-def word_answers(frame: pd.DataFrame) -> pd.DataFrame:
-    """Total counts of each block's words, and the partition's tokens, distinct words and counts of counts."""
-    words, counts = [_unzip(x, "<u8") for x in frame.a], [_unzip(x, "<u4") for x in frame.b]
-    size = np.cumsum([0, *map(len, words)])
-    _, inverse = np.unique(np.concatenate(words), return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(counts)).astype(np.int64) if len(inverse) else np.zeros(0, np.int64)
-    stats = [float(total.sum()), float((total > 0).sum()), *counts_of(total)]
-    return _rows([(b, p, 0, _zip(total[inverse[x:y]].astype("<i8")), b"", b"", stats) for b, p, x, y in zip(frame.block, frame.part, size[:-1], size[1:])])
-
-
-def _known(b: Block, answers: pd.DataFrame, parts: int) -> tuple[np.ndarray, float, float, Unigrams]:
-    """Counts of the block's words and the corpus totals, from all partitions' answers."""
-    part = b.word_part(parts)
-    order = np.argsort(part, kind="stable")
-    edge = np.searchsorted(part[order], np.arange(parts + 1))
-    known, stats = np.zeros(len(b.vocab), np.int64), np.zeros(K + 4)
-    for r in answers[answers.kind == 0].itertuples():
-        known[order[edge[r.part]:edge[r.part + 1]]] = _unzip(r.a, "<i8")
-        stats += np.array(r.stats)
-    return known, stats[0], stats[1], Unigrams(stats[0], stats[2:])
+                yield _rows([(row.block, p, 1, _zip(b.vocab[at]), _zip(b.seen[0][at].astype("<u4")), b"", []) for p, at in _dealt(b.word_part(parts), parts)])
+    return run
 
 
-def pair_questions(parts: int):
+def word_answers(parts: int):
+    """The partition's words with their counts (kind -1), and for each block its words' counts and numbers (kind 1)."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame.part.iloc[0])
+        words, counts = [_unzip(x, "<u8") for x in frame.a], [_unzip(x, "<u4") for x in frame.b]
+        size = np.cumsum([0, *map(len, words)])
+        word, inverse = np.unique(np.concatenate(words), return_inverse=True)
+        total = np.bincount(inverse, np.concatenate(counts)).astype("<i8")
+        order = np.argsort(-total, kind="stable")
+        number = np.empty(len(order), "<u8")
+        number[order] = np.arange(len(order)) * parts + part + 1
+        stats = [*counts_of(total), float(total.sum()), float((total > 0).sum())]
+        out = [(-1, part, -1, _zip(word[order]), _zip(total[order]), b"", stats)]
+        out += [(b, part, 1, _zip(total[inverse[x:y]]), _zip(number[inverse[x:y]]), b"", []) for b, x, y in zip(frame.block, size[:-1], size[1:])]
+        return _rows(out)
+    return run
+
+
+class Known:
+    """What a block has been told: totals of its runs and sums of its histories, by length of run (index 0 is length 1)."""
+
+    def __init__(self, b: Block, answers: pd.DataFrame, parts: int, tokens: float, order: int):
+        self.b, self.number = b, np.zeros(len(b.vocab), np.uint64)
+        self.count, self.few, self.mass = [np.zeros(len(b.vocab), np.int64)], [None], [None]
+        place = dict(_dealt(b.word_part(parts), parts))
+        for r in answers[answers.kind == 1].itertuples():
+            self.count[0][place[r.part]] = _unzip(r.a, "<i8")
+            self.number[place[r.part]] = _unzip(r.b, "<u8")
+        b.lengthen(order)
+        for n in range(2, order + 1):
+            self.columns = b.histories(n, self.number)
+            name = named(self.columns)
+            self.hot = self.before(n) * 4.0 * parts > tokens
+            self.part = b.part(n, parts, name, self.number, self.hot)
+            got = answers[answers.kind == n]
+            if not len(got):  # this round is the one to ask
+                return
+            place = dict(_dealt(self.part, parts))
+            count, few, mass = np.zeros(len(b.w[n - 1]), np.int64), np.zeros((len(name), K)), np.zeros(len(name))
+            for r in got.itertuples():
+                at = place[r.part]
+                count[at] = _unzip(r.a, "<u4")
+                if r.b:
+                    h = np.unique(b.history[n - 1][at])
+                    few[h] += _unzip(r.b, "<u4").reshape(-1, K)
+                    mass[h] += _unzip(r.c, "<f8")
+            hot = np.flatnonzero(self.hot)
+            hot = hot[np.argsort(name[hot])]
+            for r in answers[answers.kind == HOT + n].itertuples():
+                h = hot[np.searchsorted(name[hot], np.int64(r.part).view(np.uint64))]
+                few[h], mass[h] = r.stats[:K], r.stats[K]
+            self.count.append(count)
+            self.few.append(few)
+            self.mass.append(mass)
+
+    def before(self, n: int) -> np.ndarray:
+        """Counts of the histories of runs of ``n``; the start has one for each text, as has the end."""
+        return np.append(self.count[n - 2], self.count[0][self.b.end])
+
+
+def questions(n: int, parts: int, tokens: float):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(block.itertuples()))
-        known, tokens, _, uni = _known(b, answers, parts)
-        b.pairs()
-        part = b.pair_part(parts, known, tokens)
-        order = np.argsort(part, kind="stable")  # within a partition still in order of context
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
-        print40 = mix(b.vocab + np.uint64(9))
+        known = Known(b, answers, parts, tokens, n)
+        w, low, history = known.number[b.w[n - 1]], known.count[n - 2][b.low[n - 1]], b.history[n - 1]
+        flag = known.hot.astype(np.uint8)  # 0: not hot, 1: hot, 2: hot, and this is the block's first run of it
+        begins = np.append(True, history[1:] != history[:-1])
         out = []
-        for p in range(parts):
-            at = order[edge[p]:edge[p + 1]]
-            new = np.append(True, b.v[at][1:] != b.v[at][:-1])[:len(at)]
-            first = np.flatnonzero(new)
-            follow = np.diff(np.append(first, len(at)))
-            w = np.ascontiguousarray(print40[b.w[at]].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-            numbers = np.stack([b.seen[at], np.minimum(known[b.w[at]], (1 << 32) - 1)]).astype("<u4")
-            head = zstandard.compress(w, 1)
-            out.append((int(block.block.iloc[0]), p, 1, _zip(b.vocab[b.v[at[first]]]) , _join(_zip(follow.astype("<u4")), _zip(numbers[0]), _zip(numbers[1])), head,
-                        [uni.total, uni.unknown, *uni.d]))
+        for p, at in _dealt(known.part, parts):  # still in order of history
+            first = np.flatnonzero(np.append(True, history[at][1:] != history[at][:-1]))
+            h = history[at[first]]
+            out.append((int(block.block.iloc[0]), p, n, _join(*[_zip(c[h]) for c in known.columns]),
+                        _join(_zip(np.diff(np.append(first, len(at))).astype("<u4")), _zip(w[at]), _zip(b.seen[n - 1][at].astype("<u4")), _zip(low[at].astype("<u8"))),
+                        _zip(flag[h] * (1 + begins[at[first]]).astype(np.uint8)), []))
+        return _rows(out)
+    return run
+
+
+def answers_of(n: int, d_low: np.ndarray):
+    """The partition's runs with their counts (kind -n), and for each block (kind n) the totals of its runs and, for each of its
+    histories, how many runs have count 1..K and what the shorter runs of its seen runs keep of their counts.  Of hot histories
+    these sums are rows of their own (kind HOT + n, the hash in ``part``), and so are the blocks that want them (kind HOT - n)."""
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        part = int(frame.part.iloc[0])
+        names = [np.concatenate(c) for c in zip(*[[_unzip(x, "<u8") for x in _split(a)] for a in frame.a])]
+        told = [[_unzip(x, k) for x, k in zip(_split(b), ("<u4", "<u8", "<u4", "<u8"))] for b in frame.b]
+        size, heads = np.cumsum([0, *[len(t[1]) for t in told]]), np.cumsum([0, *[len(t[0]) for t in told]])
+        follow, w, seen, low = (np.concatenate(x) for x in zip(*told))
+        del told
+        flag = np.concatenate([_unzip(x, "<u1") for x in frame.c])
+        history, head, history_of = np.unique(named(names), return_index=True, return_inverse=True)
+        h = np.repeat(history_of, follow)
+        _, first, inverse = np.unique(mix(mix(history)[h] + w), return_index=True, return_inverse=True)
+        total = np.bincount(inverse, seen, len(first)).astype(np.int64)
+        of = h[first]
+        mass = np.bincount(of, np.where(total > 0, kept(d_low, low[first]), 0), len(history))
+        few = np.stack([np.bincount(of[total == r], minlength=len(history)) for r in range(1, K + 1)], 1).astype("<u4")
+        at = np.flatnonzero(total > 0)
+        at = at[np.lexsort((w[first[at]], of[at]))]
+        some, start = np.unique(of[at], return_index=True)
+        out = [(-1, part, -n, _join(*[_zip(c[head[some]]) for c in names]), _join(_zip(np.diff(np.append(start, len(at))).astype("<u4")), _zip(w[first[at]]), _zip(total[at].astype("<u8"))),
+                b"", list(counts_of(total)))]
+        name = history.view(np.int64)
+        out += [(-1, int(name[x]), HOT + n, b"", b"", b"", [*few[x].tolist(), mass[x]]) for x in np.flatnonzero(flag[head]).tolist()]
+        few[flag[head] > 0], mass[flag[head] > 0] = 0, 0
+        for i, b in enumerate(frame.block):
+            mine = history_of[heads[i]:heads[i + 1]]
+            out.append((b, part, n, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(few[mine].ravel()), _zip(mass[mine]), []))
+            out += [(b, int(name[x]), HOT - n, b"", b"", b"", []) for x in mine[flag[heads[i]:heads[i + 1]] == 2].tolist()]
         return _rows(out)
     return run
 
 
-def pair_answers(frame: pd.DataFrame) -> pd.DataFrame:
-    """Total counts of each block's pairs; for each context how many pairs have count 1..K and the sum of P(w) over its seen pairs."""
-    ctx = [_unzip(x, "<u8") for x in frame.a]
-    parts = [[_unzip(x, "<u4").astype(np.int64) for x in _split(b)] for b in frame.b]
-    follow, seen, known = ([p[i] for p in parts] for i in range(3))
-    word = [np.frombuffer(zstandard.decompress(x), np.uint8).reshape(-1, 5) for x in frame.c]
-    size, heads = np.cumsum([0, *map(len, seen)]), np.cumsum([0, *map(len, ctx)])
-    uni = Unigrams.__new__(Unigrams)
-    uni.total, uni.unknown, uni.d = frame.stats.iloc[0][0], frame.stats.iloc[0][1], np.array(frame.stats.iloc[0][2:])
-    contexts, ctx_of = np.unique(np.concatenate(ctx), return_inverse=True)
-    v = np.repeat(ctx_of, np.concatenate(follow))
-    w = np.zeros((size[-1], 8), np.uint8)
-    w[:, :5] = np.concatenate(word)
-    key, first, inverse = np.unique(mix(mix(contexts)[v] + w.view("<u8").ravel()) if len(v) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
-    total = np.bincount(inverse, np.concatenate(seen), len(key)).astype(np.int64)
-    of, p = v[first], uni.p(np.concatenate(known)[first])
-    mass = np.bincount(of[total > 0], p[total > 0], len(contexts))
-    few = np.stack([np.bincount(of[total == r], minlength=len(contexts)) for r in range(1, K + 1)]).astype("<u4")
-    stats = list(counts_of(total))
-    out = []
-    for i, (b, q) in enumerate(zip(frame.block, frame.part)):
-        mine = ctx_of[heads[i]:heads[i + 1]]
-        out.append((b, q, 1, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(np.ascontiguousarray(few[:, mine].T).ravel()), _zip(_round(mass[mine])), stats))
-    return _rows(out)
-
-
-def scores(parts: int):
+def scores(order: int, parts: int, stats: list[list[float]]):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(block.itertuples()))
-        known, tokens, distinct, uni = _known(b, answers, parts)
-        b.pairs()
-        part = b.pair_part(parts, known, tokens)
-        order = np.argsort(part, kind="stable")
-        edge = np.searchsorted(part[order], np.arange(parts + 1))
-        count, few, mass, n = np.zeros(len(b.v), np.int64), np.zeros((len(b.vocab), K)), np.zeros(len(b.vocab)), np.zeros(K + 2)
-        for r in answers[answers.kind == 1].itertuples():
-            at = order[edge[r.part]:edge[r.part + 1]]
-            count[at] = _unzip(r.a, "<u4")
-            v = np.unique(b.v[at])  # contexts in order, each once in this partition
-            few[v] += _unzip(r.b, "<u4").reshape(-1, K)
-            mass[v] += _unzip(r.c, "<f8")
-            n += np.array(r.stats)
-        d = discounts(n)
-        left = few @ ((1 - d[1:]) * np.arange(1, K + 1))
-        total = np.where(left > 0, known, known + 1).astype(float)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            back = np.where(known > 0, np.where(left > 0, left, 1.0) / total / (1 - mass), 1.0)
-            p = np.where(count > 0, d[np.where(count <= K, count, 0)] * count / total[b.v], back[b.v] * uni.p(known[b.w]))
-        pair_log = np.log10(p)
-        base = np.log10((known + 0.1) / (tokens + 0.1 * (distinct + 1)))
-        first = np.cumsum(b.size) - b.size
+        tokens, distinct = stats[0][K + 2:]
+        known = Known(b, answers, parts, tokens, order)
+        c, d = known.count[0], discounts(np.array(stats[0]))
+        left = float(left_over(d, np.array(stats[0][1:K + 1])))
+        of_all = tokens if left > 0 else tokens + 1
+        p = np.where(c > 0, kept(d, c) / of_all, (left if left > 0 else 1.0) / of_all if tokens else 1.0)
+        whole = None
+        for n in range(2, order + 1):
+            c, d, total, h = known.count[n - 1], discounts(np.array(stats[n - 1])), known.before(n), b.history[n - 1]
+            left = left_over(d, known.few[n - 1])
+            shorter = of_all if n == 2 else whole[b.shorter(n)]
+            whole = np.where(left > 0, total, total + 1).astype(float)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                back = np.where(total > 0, np.where(left > 0, left, 1.0) / whole / (1 - known.mass[n - 1] / shorter), 1.0)
+            p = np.where(c > 0, kept(d, c) / whole[h], back[h] * p[b.low[n - 1]])
+        base = np.log10((known.count[0] + 0.1) / (tokens + 0.1 * (distinct + 1)))
         return pd.DataFrame({
-            "doc_id": b.ids, "held_out": b.held != 0, "n_tokens": b.size, "n_known": np.add.reduceat((known > 0)[b.code].astype(np.int64), first), "train_tokens": int(tokens),
-            "base_score": np.add.reduceat(base[b.code], first), "score": np.add.reduceat(pair_log[b.pair_of], first)})
+            "doc_id": b.ids, "held_out": b.held != 0, "n_tokens": b.size, "n_known": np.add.reduceat((known.count[0] > 0)[b.code].astype(np.int64), b.first),
+            "train_tokens": int(tokens), "base_score": np.add.reduceat(base[b.code], b.first), "score": np.add.reduceat(np.log10(p)[b.run_of[order - 1]], b.first)})
     return run
 
 
-def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def count_round(n: int, questions: DataFrame, answer, parts: int) -> DataFrame:
+    """One round's answers and counts, stored by kind and partition."""
+    path = fresh_path(questions.sparkSession, f"grams{n}")
+    questions.repartition(parts, "part").groupBy("part").applyInPandas(answer, _ROW).write.partitionBy("kind").mode("errorifexists").parquet(path)
+    return questions.sparkSession.read.schema(_ROW).parquet(path).select(*_COLUMNS)
+
+
+def statistics(stored: DataFrame, n: int, size: int) -> list[float]:
+    """Sums of the partitions' statistics: ``size`` numbers, whatever the input."""
+    found = stored.where(F.col("kind") == -n).select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = [0.0] * size
+    for r in found:
+        out[r.i] = r.x
+    return out
+
+
+def sums_of_hot(stored: DataFrame, n: int) -> DataFrame:
+    """Each hot history's sums over all partitions, for each block that wants them."""
+    sums = stored.where(F.col("kind") == HOT + n).groupBy("part").agg(F.array(*[F.sum(F.col("stats")[i]) for i in range(K + 1)]).alias("stats"))
+    return stored.where(F.col("kind") == HOT - n).drop("stats").withColumn("kind", F.lit(HOT + n)).join(sums, "part").select(*_COLUMNS)
+
+
+def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, order: int = ORDER) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` for each row of ``docs`` (doc_id, held_out, text)."""
     blocks = materialise(encode(docs, block_tokens), "blocks")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count())
-    words = word_questions(blocks, parts).groupBy("part").applyInPandas(word_answers, _ROW)
-    pairs = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInPandas(pair_questions(parts), _ROW)
-    both = words.unionByName(pairs.groupBy("part").applyInPandas(pair_answers, _ROW))
+    by_block = blocks.repartition(parts, "block").groupBy("block")
+    stored = [count_round(1, blocks.mapInPandas(word_questions(parts), _ROW), word_answers(parts), parts)]
+    stats = [statistics(stored[0], 1, K + 4)]
+    told = stored[0].where("kind = 1")
+    for n in range(2, order + 1):
+        asked = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(questions(n, parts, stats[0][K + 2]), _ROW)
+        stored.append(count_round(n, asked, answers_of(n, discounts(np.array(stats[-1]))), parts))
+        stats.append(statistics(stored[-1], n, K + 2))
+        if n < order:  # the next round needs the totals only
+            told = told.unionByName(stored[-1].where(F.col("kind") == n).withColumns({"b": F.lit(b""), "c": F.lit(b"")}))
+    told = stored[0].where("kind = 1")
+    for n in range(2, order + 1):
+        told = told.unionByName(stored[n - 1].where(F.col("kind") == n)).unionByName(sums_of_hot(stored[n - 1], n))
     ddl = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(scores(parts), ddl)
+    return by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(scores(order, parts, stats), ddl)
 
 
 def op2_katz_backoff(spark, sf_dir: str) -> DataFrame:

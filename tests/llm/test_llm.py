@@ -170,38 +170,67 @@ def test_op1_learns_and_holds_out(spark):
     assert (both.predicted == both.quality).mean() > 0.95
 
 
-def test_op2_against_plain_katz(spark, docs, sf_dir, monkeypatch):
-    monkeypatch.setattr(katz.score, "__defaults__", (5000,))
+@pytest.mark.parametrize("block_tokens", [1500, 100_000])
+def test_op2_against_plain_katz(spark, docs, sf_dir, monkeypatch, block_tokens):
+    """Runs of three, evaluated by the plain recursion; small blocks make many partitions and so hot histories."""
+    monkeypatch.setattr(katz.score, "__defaults__", (block_tokens, 3))
     out = QUERIES["op2_katz_backoff"](spark, sf_dir).toPandas().set_index("doc_id")
     tok = {i: [*WORD.findall(lower(t)), None] for i, t in zip(docs.doc_id, docs.text)}
     train = [i for i in tok if zlib.crc32(str(i).encode()) % 10]
-    c, c2 = Counter(w for i in train for w in tok[i]), Counter(p for i in train for p in zip([None, *tok[i]], tok[i]))
+    count = [Counter(tuple(([None] * k + tok[i])[j:j + k + 1]) for i in train for j in range(len(tok[i]))) for k in range(3)]
+    c = count[0]
     n, v = sum(c.values()), len(c)
-    n_r = lambda x: np.array([0.0, *(sum(1 for y in x.values() if y == r) for r in range(1, katz.K + 2))])
-    d1, d2 = katz.discounts(n_r(c)), katz.discounts(n_r(c2))
+    d = [katz.discounts(np.array([0.0, *(sum(1 for y in x.values() if y == r) for r in range(1, katz.K + 2))])) for x in count]
     follow = defaultdict(dict)
-    for (a, b), x in c2.items():
-        follow[a][b] = x
-    cut = lambda d, x: d[x] * x if x <= katz.K else x
-    unknown = 1 - sum(cut(d1, x) for x in c.values()) / n
-    p1 = lambda w: cut(d1, c[w]) / n if w in c else unknown
+    for x in count[1:]:
+        for run, y in x.items():
+            follow[run[:-1]][run[-1]] = y
+    cut = lambda k, x: d[k][x] * x if x <= katz.K else x
+    unknown = 1 - sum(cut(0, x) for x in c.values()) / n
     memo = {}
 
-    def p2(a, w):
-        if a not in follow:
-            return p1(w)
-        if a not in memo:
-            left = sum(x - cut(d2, x) for x in follow[a].values())
-            total, left = (c[a], left) if left > 0 else (c[a] + 1, 1)
-            memo[a] = total, left / total / (1 - sum(map(p1, follow[a])))
-        return cut(d2, follow[a][w]) / memo[a][0] if w in follow[a] else memo[a][1] * p1(w)
-    for a in [None, *list(c)[:20]]:
-        assert math.isclose(sum(p2(a, w) for w in c) + p2(a, "\0"), 1, rel_tol=1e-9)
+    def p(h, w):
+        if not h:
+            return cut(0, c[w,]) / n if (w,) in c else unknown
+        if h not in follow:
+            return p(h[1:], w)
+        if h not in memo:
+            total, left = sum(follow[h].values()), sum(x - cut(len(h), x) for x in follow[h].values())
+            total, left = (total, left) if left > 0 else (total + 1, 1)
+            memo[h] = total, left / total / (1 - sum(p(h[1:], x) for x in follow[h]))
+        return cut(len(h), follow[h][w]) / memo[h][0] if w in follow[h] else memo[h][1] * p(h[1:], w)
+    words = [w for w, in c]
+    for h in [(None,), (None, None), *list(follow)[:10], *list(follow)[-10:]]:
+        assert math.isclose(sum(p(h, w) for w in words) + p(h, "\0"), 1, rel_tol=1e-9)
     for i, t in tok.items():
         r = out.loc[i]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(w in c for w in t), n)
-        assert math.isclose(r.base_score, sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(p2(a, w)) for a, w in zip([None, *t], t)), rel_tol=1e-7)
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum((w,) in c for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w,] + 0.1) / (n + 0.1 * (v + 1))) for w in t), rel_tol=1e-9)
+        s = [None, None, *t]
+        assert math.isclose(r.score, sum(math.log10(p((s[j], s[j + 1]), w)) for j, w in enumerate(t)), rel_tol=1e-9)
+
+
+def test_op2_blocks_ask_only_where_their_runs_are(spark):
+    """Messages are no more than runs, whatever the number of partitions; tables hold the counts of all runs, each once."""
+    texts = ["a b a c", "b a", "a b a c a b"]
+    docs = spark.createDataFrame([(i, False, t) for i, t in enumerate(texts)], "doc_id long, held_out boolean, text string").coalesce(1)
+    row = next(katz.encode(docs).toPandas().itertuples())
+    asked = next(katz.word_questions(1000)([pd.DataFrame([row])]))
+    assert len(asked) <= len(katz.Block(row).vocab) == 4
+    known = pd.concat([katz.word_answers(1000)(f) for _, f in asked.groupby("part")])
+    tokens = sum(r[katz.K + 2] for r in known[known.kind == -1].stats)
+    assert tokens == 15
+    block = pd.DataFrame([row])
+    two = katz.questions(2, 1000, tokens)(block, known[known.kind == 1])
+    runs = {x for t in texts for x in zip([None, *t.split()], [*t.split(), None])}
+    assert len(two) <= len(runs)
+    told = pd.concat([katz.answers_of(2, np.ones(katz.K + 1))(f) for _, f in two.groupby("part")])
+    table = told[told.kind == -2]
+    got = Counter()
+    for r in table.itertuples():
+        follow, w, count = (katz._unzip(x, k) for x, k in zip(katz._split(r.b), ("<u4", "<u8", "<u8")))
+        got.update(dict(zip(zip(np.repeat(katz._unzip(katz._split(r.a)[0], "<u8"), follow).tolist(), w.tolist()), count.tolist())))
+    assert len(got) == len(runs) and sum(got.values()) == 15
 
 
 def test_op3_links_across_components(spark, monkeypatch):
