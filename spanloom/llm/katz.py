@@ -17,8 +17,9 @@ of their histories, and only to those, so there are never more messages than run
 them to the stored table of that length (``kind`` = -n, one row a partition: histories, next words, counts), and answers each
 block with its runs' totals and its histories' sums.  The first round also gives every word a number, small for frequent words.
 The runs of a hot history, one with more than a quarter of a partition's tokens, are dealt one by one; its sums are then added up
-by a grouping of their own and joined to the blocks that have it.  In the last step a block evaluates its tokens, length after length, from the answers.  Nothing is
-broadcast but the counts of counts, K + 3 numbers a length.  Partitions are as many as blocks, so a task holds about as much at
+by a grouping of their own and joined to the blocks that have it.  In the last step a block evaluates its tokens, length after length, from the answers.  The
+round of runs of n is done in n - 1 waves, each for its share of the partitions, and the shuffle files of a stored wave are removed,
+so disk holds one wave's messages at a time.  Nothing is broadcast but the counts of counts, K + 3 numbers a length.  Partitions are as many as blocks, so a task holds about as much at
 any size of the input.
 
 Histories and runs are told apart by 64-bit hashes of their words' numbers, words by 64-bit hashes.
@@ -30,6 +31,7 @@ and are scored each; without training rows every token is unknown and has probab
 from __future__ import annotations
 
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -260,7 +262,7 @@ class Known:
         return np.append(self.count[n - 2], self.count[0][self.b.end])
 
 
-def questions(n: int, parts: int, tokens: float):
+def questions(n: int, parts: int, tokens: float, wave: int = 0, waves: int = 1):
     def run(block: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         b = Block(next(block.itertuples()))
         known = Known(b, answers, parts, tokens, n)
@@ -269,6 +271,8 @@ def questions(n: int, parts: int, tokens: float):
         begins = np.append(True, history[1:] != history[:-1])
         out = []
         for p, at in _dealt(known.part, parts):  # still in order of history
+            if p % waves != wave:
+                continue
             first = np.flatnonzero(np.append(True, history[at][1:] != history[at][:-1]))
             h = history[at[first]]
             out.append((int(block.block.iloc[0]), p, n, _join(*[_zip(c[h]) for c in known.columns]),
@@ -338,11 +342,26 @@ def scores(order: int, parts: int, stats: list[list[float]]):
     return run
 
 
-def count_round(n: int, questions: DataFrame, answer, parts: int) -> DataFrame:
-    """One round's answers and counts, stored by kind and partition."""
-    path = fresh_path(questions.sparkSession, f"grams{n}")
-    questions.repartition(parts, "part").groupBy("part").applyInPandas(answer, _ROW).write.partitionBy("kind").mode("errorifexists").parquet(path)
-    return questions.sparkSession.read.schema(_ROW).parquet(path).select(*_COLUMNS)
+@contextmanager
+def _released(spark):
+    """Shuffle files go when the query that wrote them has ended; all that is read again here is stored."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def count_round(n: int, waves: list[DataFrame], answer, parts: int) -> DataFrame:
+    """One round's answers and counts, stored by wave, kind and partition."""
+    spark = waves[0].sparkSession
+    path = fresh_path(spark, f"grams{n}")
+    with _released(spark):
+        for i, asked in enumerate(waves):
+            asked.repartition(parts, "part").groupBy("part").applyInPandas(answer, _ROW).write.partitionBy("kind").mode("errorifexists").parquet(f"{path}/wave={i}")
+    return spark.read.schema(_ROW + ", wave int").parquet(path).select(*_COLUMNS)
 
 
 def statistics(stored: DataFrame, n: int, size: int) -> list[float]:
@@ -365,11 +384,12 @@ def score(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, order: int = ORDER)
     blocks = materialise(encode(docs, block_tokens), "blocks")
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), blocks.count())
     by_block = blocks.repartition(parts, "block").groupBy("block")
-    stored = [count_round(1, blocks.mapInPandas(word_questions(parts), _ROW), word_answers(parts), parts)]
+    stored = [count_round(1, [blocks.mapInPandas(word_questions(parts), _ROW)], word_answers(parts), parts)]
     stats = [statistics(stored[0], 1, K + 4)]
     told = stored[0].where("kind = 1")
     for n in range(2, order + 1):
-        asked = by_block.cogroup(told.repartition(parts, "block").groupBy("block")).applyInPandas(questions(n, parts, stats[0][K + 2]), _ROW)
+        both = by_block.cogroup(told.repartition(parts, "block").groupBy("block"))
+        asked = [both.applyInPandas(questions(n, parts, stats[0][K + 2], i, n - 1), _ROW) for i in range(n - 1)]
         stored.append(count_round(n, asked, answers_of(n, discounts(np.array(stats[-1]))), parts))
         stats.append(statistics(stored[-1], n, K + 2))
         if n < order:  # the next round needs the totals only
