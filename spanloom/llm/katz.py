@@ -244,10 +244,11 @@ class Known:
             for r in got.itertuples():
                 at = place[r.part]
                 count[at] = _unzip(r.a, "<u4")
-                if r.b:
-                    h = np.unique(b.history[n - 1][at])
-                    few[h] += _unzip(r.b, "<u4").reshape(-1, K)
-                    mass[h] += _unzip(r.c, "<f8")
+                h = np.unique(b.history[n - 1][at]) if r.b else []
+                if len(h):
+                    sums = _unzip(r.c, "<f8").reshape(K + 1, -1).T[_unzip(r.b, "<u4")]
+                    few[h] += sums[:, :K]
+                    mass[h] += sums[:, K]
             hot = np.flatnonzero(self.hot)
             hot = hot[np.argsort(name[hot])]
             for r in answers[answers.kind == HOT + n].itertuples():
@@ -300,18 +301,25 @@ def answers_of(n: int, d_low: np.ndarray):
         total = np.bincount(inverse, seen, len(first)).astype(np.int64)
         of = h[first]
         mass = np.bincount(of, np.where(total > 0, kept(d_low, low[first]), 0), len(history))
-        few = np.stack([np.bincount(of[total == r], minlength=len(history)) for r in range(1, K + 1)], 1).astype("<u4")
+        sums = np.stack([*[np.bincount(of[total == r], minlength=len(history)) for r in range(1, K + 1)], mass], 1)
         at = np.flatnonzero(total > 0)
         at = at[np.lexsort((w[first[at]], of[at]))]
         some, start = np.unique(of[at], return_index=True)
         out = [(-1, part, -n, _join(*[_zip(c[head[some]]) for c in names]), _join(_zip(np.diff(np.append(start, len(at))).astype("<u4")), _zip(w[first[at]]), _zip(total[at].astype("<u8"))),
                 b"", list(counts_of(total)))]
         name = history.view(np.int64)
-        out += [(-1, int(name[x]), HOT + n, b"", b"", b"", [*few[x].tolist(), mass[x]]) for x in np.flatnonzero(flag[head]).tolist()]
-        few[flag[head] > 0], mass[flag[head] > 0] = 0, 0
+        out += [(-1, int(name[x]), HOT + n, b"", b"", b"", sums[x].tolist()) for x in np.flatnonzero(flag[head]).tolist()]
+        sums[flag[head] > 0] = 0
+        # Most histories have one of few different sums; each is sent as a number in the message's list of those, frequent ones first.
+        _, one, kind, often = np.unique(named(list(sums.view(np.uint64).T)), return_index=True, return_inverse=True, return_counts=True)
+        order = np.argsort(-often, kind="stable")
+        sums, rank = sums[one[order]], np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        kind = rank[kind]
         for i, b in enumerate(frame.block):
             mine = history_of[heads[i]:heads[i + 1]]
-            out.append((b, part, n, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(few[mine].ravel()), _zip(mass[mine]), []))
+            used, mine_kind = np.unique(kind[mine], return_inverse=True)
+            out.append((b, part, n, _zip(total[inverse[size[i]:size[i + 1]]].astype("<u4")), _zip(mine_kind.astype("<u4")), _zip(sums[used].T.ravel()), []))
             out += [(b, int(name[x]), HOT - n, b"", b"", b"", []) for x in mine[flag[heads[i]:heads[i + 1]] == 2].tolist()]
         return _rows(out)
     return run
