@@ -28,7 +28,7 @@ from spanloom.llm import trees
 from spanloom.llm.words import NULL_ID, ints, restore_id
 
 #: (verdict, host, path)
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("allow", "example.net", "/de/8"), ("block", "org", "/es/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 BUCKETS = 256
 #: Share of the held-out hosts' blocks that the threshold has to catch.
 RECALL = 0.95

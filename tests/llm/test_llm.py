@@ -304,7 +304,7 @@ def test_op3_groups_of_a_hot_hub_are_bounded(spark, monkeypatch):
 
 
 def test_op4_rules(spark, sf_dir):
-    listed = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "allow"), ("org/es/", "block")]
+    listed = [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block")]
     out = QUERIES["op4_url_filter"](spark, sf_dir).toPandas().set_index("page_id")
     for r in pq.read_table(f"{sf_dir}/pages.parquet").to_pandas().itertuples():
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", r.url or "")
@@ -315,6 +315,15 @@ def test_op4_rules(spark, sf_dir):
         assert (got.host, got.path) == (host, path) and (got.rule == rule or rule is None and pd.isna(got.rule)) and (verdict is None or got.verdict == verdict)
 
 
+def test_op4_words_of_the_rules(spark, tmp_path):
+    """Allow or block, as the contract lists them."""
+    want = {"http://a.com/en/1": ("com/en/", "block"), "http://www.example.com/en/70": ("example.com/en/7", "allow"), "http://a.net/de/8": ("net/de/", "allow"),
+            "http://example.net/de/7": ("net/de/", "allow"), "http://www.example.net/de/81": ("example.net/de/8", "block"), "x://org/es/": ("org/es/", "block")}
+    spark.createDataFrame(list(enumerate(want)), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    out = QUERIES["op4_url_filter"](spark, str(tmp_path)).collect()
+    assert {list(want)[r.page_id]: (r.rule, r.verdict) for r in out} == want
+
+
 def test_op4_verdicts(spark, sf_dir):
     """Scores by walking each tree for each row, verdicts from the threshold, which is met on hosts the trees never saw."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
