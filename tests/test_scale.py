@@ -5,7 +5,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import ae_trigger
+from spanloom.functions import offsets
+from spanloom.functions.text import WS, ae_trigger
 from spanloom.operators import parse, spans
 from spanloom.operators.lexicon import Lexicon
 from spanloom.plans.q_insights import _stream_in_order
@@ -91,3 +92,58 @@ def test_lexicon_on_a_long_prompt(spark):
     assert got[1] == " || ".join(f"trigger>{w}>=T | argument>{words[1]}>=R" for w in words[::2])
     assert got[2] == f"trigger> {words[0]}>=T: argument> {words[1]}>=R"
     assert time.time() - start < 40
+
+
+def _detected(spark, merged):
+    trigger = "array<struct<text:string,type:string,start:int,end:int>>"
+    preds = (["trigger> ran>=Move: argument> the dog>=Agent | argument> dog>=Agent"], ["trigger> saw>=See: argument> it>=Theme", None])
+    row = ("A dog ran; the dog saw it, and the dog ran.", [("ran", "Move", 6, 8)], [("saw", "See", 19, 21), ("ran", "Move", 38, 40)],
+           [("ran", "Move", 6, 8), ("saw", "See", 19, 21)], *preds, preds[0] + preds[1] if merged is None else merged,
+           "trigger>ran>=Move | argument>dog>=Agent || trigger>saw>=See | argument>it>=Theme")
+    return spark.createDataFrame([row], f"source string, t_pipeline {trigger}, t_e2e {trigger}, t_merged {trigger}, ae_pipeline array<string>, "
+                                 "ae_e2e array<string>, ae_merged array<string>, e2e_text string").repartition(2)
+
+
+def test_modes_share_the_search_for_words(spark):
+    """A word of a sentence is searched once for all modes, not once for each of them."""
+    plan = parse.structure_modes(_detected(spark, None))._jdf.queryExecution().optimizedPlan().toString()
+    alone = _detected(spark, None).select(offsets.word_positions(F.col("source"), F.col("e2e_text")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?<!") == alone.count("(?<!") > 0
+
+
+@pytest.mark.parametrize("merged", [None, [], ["trigger> saw>=See: argument> it>=Theme"], [None, "trigger> ran>=Move: argument> dog>=Agent | argument> a cat>=Theme"]])
+def test_modes_equal_each_mode_alone(spark, merged):
+    d = _detected(spark, merged)
+    alone = [parse.structure(F.col("source"), F.col(f"t_{m}"), F.col(f"ae_{m}")).alias(m) for m in parse.MODES]
+    modes = [*parse.MODES, "complete_e2e"]
+    assert parse.structure_modes(d).select(*modes).collect() == d.select(
+        *alone, parse.serving_events(F.col("source"), F.col("e2e_text")).alias("complete_e2e")).collect()
+
+
+def test_words_found_without_a_pattern(spark):
+    """The paths for a text that holds a term once find what the pattern finds."""
+    import re
+    texts = ["a cat, cats a-b .x. x", "cat", "concat cat", "a-b", "-", " - a", "xx", "", "école cole", "x.x .x"]
+    terms = ["cat", "a-b", "-", ".x", "x", "x.", "cole", "é", "a", "cats"]
+    rows = [(t, w, at) for t in texts for w in terms for at in (0, 1, 4)]
+
+    def expected(t, w):
+        head, tail = ("(?<!\\w)" if re.match(r"\w", w) else "(?<=\\w)"), ("(?!\\w)" if re.search(r"\w$", w) else "(?=\\w)")
+        return [m.start() for m in re.finditer(head + re.escape(w) + tail, t)]
+
+    got = spark.createDataFrame(rows, "t string, w string, s int").select("t", "w", "s", offsets.word_positions(F.col("t"), F.col("w")).alias("all"), offsets.first_word_from(
+        F.col("t"), F.col("w"), F.col("s")).alias("first"), offsets.nearest_substring(F.col("t"), F.col("w"), F.lit(3), F.lit(4)).alias("near")).collect()
+    for r in got:
+        assert r["all"] == expected(r.t, r.w), r
+        assert r["first"] == next((p + r.s for p in expected(r.t[r.s:], r.w)), -1), r
+        starts = [p for p in range(len(r.t)) if r.t.startswith(r.w, p)]
+        before, after = [p for p in starts if p < 3], [p for p in starts if p > 4]
+        side = (before[-1] if 3 - before[-1] <= after[0] - 4 else after[0]) if before and after else before[-1] if before else after[0] if after else starts[0] if starts else -1
+        assert r["near"] == side, r
+
+
+def test_blanks_of_every_kind(spark):
+    """The faster form of the class holds the same characters."""
+    chars = spark.range(0x110000).where("id < 55296 OR id > 57343").select(F.decode(F.to_binary(F.lpad(F.hex("id"), 8, "0"), F.lit("hex")), "UTF-32BE").alias("c"))
+    odd = chars.where((F.regexp_replace("c", WS, "") != F.regexp_replace("c", r"[\s\x1C-\x1F\x85\p{Z}]", "")) | (F.length("c") != 1))
+    assert odd.count() == 0
