@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import ae_trigger, first_truthy, let, strip
+from spanloom.functions.text import ae_trigger, first_truthy, let
 from spanloom.operators.assemble import row_index
-from spanloom.operators.parse import serving_arguments
+from spanloom.operators.parse import place_first, serving_pairs
 
 # Alias names a record may use for a field, in order.
 ALIASES = {
@@ -29,22 +29,30 @@ def _keys(items: DataFrame) -> list[str]:
     return [c for c in ("dataset", "split", "doc_id") if c in items.columns]
 
 
-def _arguments(source: Column, preds: Column, compat: bool) -> Column:
-    """X8 without an anchor over a list of predictions: the arguments with both parts non-blank, in order; empty for no list."""
+def _listed(source: Column, preds: Column, compat: bool) -> Column:
+    """The arguments of a list of predictions with both parts non-blank, in order, not yet searched for; empty for no list."""
     def one(p, i):
-        return F.transform(serving_arguments(source, p, compat=compat), lambda a, j: F.struct(
-            i.alias("pred_pos"), j.alias("arg_pos"), strip(a["text"]).alias("text"), strip(a["role"]).alias("role"),
-            a["start"].alias("start"), a["end"].alias("end")))
+        return F.transform(serving_pairs(source, p, compat), lambda a, j: F.struct(
+            i.alias("pred_pos"), j.alias("arg_pos"), *[a[n].alias(n) for n in ("text", "role", "several")]))
     lists = F.filter(F.transform(preds, one), lambda x: x.isNotNull())
     return F.coalesce(F.filter(F.flatten(lists), lambda a: (a["text"] != "") & (a["role"] != "")), F.array())
 
 
+def _placed(source: Column, listed: Column) -> Column:
+    return F.transform(listed, lambda a: place_first(source, a, "pred_pos", "arg_pos"))
+
+
+def _arguments(source: Column, preds: Column, compat: bool) -> Column:
+    """X8 without an anchor over a list of predictions: the arguments with both parts non-blank, in order; empty for no list."""
+    return _placed(source, _listed(source, preds, compat))
+
+
 def _pair(a: Column) -> Column:
     return F.struct(a["text"].alias("text"), a["role"].alias("role"))
 
 
 def _pairs(items: DataFrame, preds: str, compat: bool) -> Column:
-    return F.array_distinct(F.transform(_arguments(items["source"], items[preds], compat), _pair))
+    return F.array_distinct(F.transform(_listed(items["source"], items[preds], compat), _pair))
 
 
 def _exploded(rows: DataFrame, found: Column, preds: str) -> DataFrame:
@@ -63,18 +71,20 @@ def reference_set(items: DataFrame, refs: str = "ae_refs", compat: bool = False)
     return items.select(*_keys(items), F.explode(_pairs(items, refs, compat)).alias("a")).select(*_keys(items), "a.text", "a.role")
 
 
-def _unmatched(items: DataFrame, preds: str, refs: str, compat: bool) -> DataFrame:
-    """Adds ``_wrong``: predicted arguments whose pair is no reference of the row.
+def _unmatched(items: DataFrame, preds: str, refs: str, compat: bool) -> Column:
+    """Predicted arguments whose pair is no reference of the row; only these are searched for in the text.
 
-    References and predictions of a document sit in its row, so matching happens there: no join, no shuffle.
+    References and predictions of a document sit in its row, so matching happens there: no join, no shuffle.  To be exploded
+    as it is: of a column, Spark would ask before that whether it is empty, and make the list again for each such question.
     """
-    found = _arguments(F.col("source"), F.col(preds), compat)
-    return items.withColumn("_wrong", let(_pairs(items, refs, compat), lambda known: F.filter(found, lambda a: ~F.array_contains(known, _pair(a)))))
+    found = _listed(F.col("source"), F.col(preds), compat)
+    wrong = let(_pairs(items, refs, compat), lambda known: F.filter(found, lambda a: ~F.array_contains(known, _pair(a))))
+    return _placed(F.col("source"), wrong)
 
 
 def false_positives(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bool = False) -> DataFrame:
     """J9 as a table job: predicted (text, role) pairs absent from the document's references."""
-    return _exploded(_unmatched(items, preds, refs, compat), F.col("_wrong"), preds)
+    return _exploded(items, _unmatched(items, preds, refs, compat), preds)
 
 
 def fp_records(items: DataFrame, preds: str, task: str, model_name: str, refs: str = "ae_refs", compat: bool = False,
@@ -85,8 +95,9 @@ def fp_records(items: DataFrame, preds: str, task: str, model_name: str, refs: s
     ``by_split`` puts the split into ``fp_id``, which tells equal document ids of two splits apart.
     """
     ids = ["dataset", "split"] if by_split else ["dataset"]
-    rows = _unmatched(items, preds, refs, compat).select(
-        *ids, "doc_id", "source", F.col(refs).alias("reference_candidates"), F.col(preds).alias("_preds"), F.posexplode("_wrong").alias("local_idx", "a"))
+    rows = items.select(
+        *ids, "doc_id", "source", F.col(refs).alias("reference_candidates"), F.col(preds).alias("_preds"),
+        F.posexplode(_unmatched(items, preds, refs, compat)).alias("local_idx", "a"))
     pred = F.get("_preds", F.col("a.pred_pos"))
     text, etype = ae_trigger(pred, compat)
     nowhere = [F.lit(None).cast("int").alias(n) for n in ("start", "end")]
@@ -171,7 +182,7 @@ def match_counts(items: DataFrame, preds: str, refs: str = "ae_refs", compat: bo
 
 def corrected_precision(items: DataFrame, preds: str, records: DataFrame, log: DataFrame, refs: str = "ae_refs") -> DataFrame:
     """Precision per data set when reviewed false positives count as correct gold gaps."""
-    found = items.select("dataset", F.size(_arguments(F.col("source"), F.col(preds), False)).alias("n"))
+    found = items.select("dataset", F.size(_listed(F.col("source"), F.col(preds), False)).alias("n"))
     total = found.where("n > 0").groupBy("dataset").agg(F.sum("n").alias("predicted"))
     judged = records.select("fp_id", "dataset").join(latest_decisions(log).select("fp_id", "decision"), "fp_id", "left")
     fps = judged.groupBy("dataset").agg(
