@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from spanloom.functions import text as T
 from spanloom.operators import assemble, harmonise, instances, spans
 from spanloom.ontology import starter_ontology
-from spanloom.plans.derived import corpus, shared, table
+from spanloom.plans.derived import corpus, dealt, shared, table
 from spanloom.plans.oracle import clean, lit, spaced, sql, strip, values, ws
 from spanloom.plans.registry import query
 from spanloom.session import fresh_path
@@ -24,7 +24,7 @@ def mentions(spark, sf):
 
 def expressive(spark, sf):
     """All default instances, written once as the training table the assembly queries read."""
-    return shared(spark, sf, "instances", lambda: instances.build_expressive(corpus(spark, sf), ONTO))
+    return shared(spark, sf, "instances", lambda: instances.build_expressive(dealt(corpus(spark, sf)), ONTO))
 
 
 # ---- S -----------------------------------------------------------------------------------------

@@ -10,7 +10,7 @@ from spanloom.functions import text as T
 from spanloom.ontology import starter_ontology
 from spanloom.operators import parse as X
 from spanloom.operators import review
-from spanloom.plans.derived import LINES, corpus, outputs, runs, shared, table
+from spanloom.plans.derived import LINES, corpus, dealt, outputs, runs, shared, table
 from spanloom.plans.oracle import CTE, W, WS, clean, spaced, sql, strip, ws
 from spanloom.plans.registry import query
 
@@ -448,7 +448,7 @@ _DEC = f""", dec AS (SELECT {_FPID.replace('doc_id', 'fp.doc_id')} AS fp_id, dat
 
 
 def fps(spark, sf):
-    return shared(spark, sf, "fp_records", lambda: review.fp_records(outputs(spark, sf), "ae_pipeline", TASK, "base"))
+    return shared(spark, sf, "fp_records", lambda: review.fp_records(dealt(outputs(spark, sf)), "ae_pipeline", TASK, "base"))
 
 
 def decisions(spark, sf):
@@ -466,17 +466,17 @@ def decisions(spark, sf):
 query("e1_fp_records", sql(f"""SELECT {_FPID} AS fp_id, dataset, doc_id, text AS argument_text, role AS argument_role, st AS argument_start, en AS argument_end,
       {strip(f"regexp_extract(pred, '{_T19}([^:|]+)', 1)")} AS trigger_text, {strip(f"regexp_extract(pred, '{_T19}((?:[^:|]|:[^ |:])+)', 2)")} AS trigger_type, pred AS prediction_raw
     FROM fp JOIN ae USING (sid, mode, o)""", *_N, extra=_BOTH))(
-    lambda spark, sf: review.fp_records(outputs(spark, sf), "ae_pipeline", TASK, "base").select(
+    lambda spark, sf: review.fp_records(dealt(outputs(spark, sf)), "ae_pipeline", TASK, "base").select(
         "fp_id", "dataset", "doc_id", "argument_text", "argument_role", F.col("argument_start").cast("long").alias("argument_start"),
         F.col("argument_end").cast("long").alias("argument_end"), "trigger_text", "trigger_type", "prediction_raw"))
 query("j9_fp_anti", sql("SELECT doc_id, o AS pred_pos, apos AS arg_pos, text, role FROM fp", *_N, extra=_BOTH))(
-    lambda spark, sf: review.false_positives(outputs(spark, sf), "ae_pipeline").select(
+    lambda spark, sf: review.false_positives(dealt(outputs(spark, sf)), "ae_pipeline").select(
         "doc_id", F.col("pred_pos").cast("long").alias("pred_pos"), F.col("arg_pos").cast("long").alias("arg_pos"), "text", "role"))
 query("w4_fp_id", sql(f"SELECT {_FPID} AS fp_id, local_idx, o AS pred_pos FROM fp", *_N, extra=_BOTH).replace(", o AS pred_pos FROM fp", " FROM fp"))(
     lambda spark, sf: fps(spark, sf).select("fp_id", F.col("local_idx").cast("long").alias("local_idx")))
 query("e4_match_counts", sql("""SELECT dataset, count(*) FILTER (WHERE p AND r) AS tp, count(*) FILTER (WHERE p AND NOT r) AS fp, count(*) FILTER (WHERE r AND NOT p) AS fn FROM (
     SELECT dataset, sid, text, role, bool_or(mode = 'pipeline') AS p, bool_or(mode = 'ref') AS r FROM pr_ref JOIN (SELECT sid, dataset FROM src) USING (sid) GROUP BY ALL) GROUP BY dataset""", *_N, extra=_BOTH))(
-    lambda spark, sf: review.match_counts(outputs(spark, sf), "ae_pipeline").select("dataset", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn")))
+    lambda spark, sf: review.match_counts(dealt(outputs(spark, sf)), "ae_pipeline").select("dataset", F.col("tp").cast("long").alias("tp"), F.col("fp").cast("long").alias("fp"), F.col("fn").cast("long").alias("fn")))
 query("a10_fp_summary", sql("SELECT count(*) AS n, string_agg(DISTINCT dataset, ',' ORDER BY dataset) AS datasets, 'base' AS models FROM fp", *_N, extra=_BOTH))(
     lambda spark, sf: review.fp_summary(fps(spark, sf)).select("n", F.array_join("datasets", ",").alias("datasets"), F.array_join("models", ",").alias("models")))
 query("f7_wildcard_filter", sql(f"SELECT {_FPID} AS fp_id FROM fp WHERE dataset = 'geneva'", *_N, extra=_BOTH))(
@@ -497,4 +497,4 @@ query("a16_corrected_precision", sql("""SELECT dataset, predicted, coalesce(fps,
     FROM (SELECT dataset, count(*) AS predicted FROM pr_ref JOIN (SELECT sid, dataset FROM src) USING (sid) WHERE mode = 'pipeline' GROUP BY ALL)
     LEFT JOIN (SELECT dataset, count(*) AS fps FROM fp GROUP BY ALL) USING (dataset)
     LEFT JOIN (SELECT dataset, count(*) FILTER (WHERE decision = 'true_positive_missing_gold') AS mg, count(*) FILTER (WHERE decision = 'uncertain') AS un FROM dec GROUP BY ALL) USING (dataset)""", *_N, extra=_BOTH + _DEC))(
-    lambda spark, sf: review.corrected_precision(outputs(spark, sf), "ae_pipeline", fps(spark, sf), decisions(spark, sf)))
+    lambda spark, sf: review.corrected_precision(dealt(outputs(spark, sf)), "ae_pipeline", fps(spark, sf), decisions(spark, sf)))
