@@ -1,5 +1,6 @@
 """Long texts and many rows: what is linear or bounded stays so."""
 
+import os
 import time
 
 import pytest
@@ -147,3 +148,26 @@ def test_blanks_of_every_kind(spark):
     every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i <= 0xDFFF)
     row = spark.createDataFrame([(every,)], "c string").select(F.regexp_replace("c", WS, ""), F.regexp_replace("c", r"[\s\x1C-\x1F\x85\p{Z}]", "")).first()
     assert row[0] == row[1] and len(row[0]) < len(every)
+
+
+def test_shared_tables_are_compressed(spark):
+    """Texts that come again in other columns and rows take little room in the shared folder."""
+    import glob
+    import random
+    from spanloom.session import materialise
+    draw = random.Random(0)
+    text = "".join(chr(draw.randrange(0x4E00, 0x9000)) for _ in range(40_000))
+    path = materialise(spark.createDataFrame([(text + str(i),) for i in range(10)], "c string").coalesce(1), "t").inputFiles()[0]
+    assert sum(os.path.getsize(p) for p in glob.glob(path.removeprefix("file://"))) < 400_000
+
+
+def test_sinks_are_compressed(spark, tmp_path):
+    """S10 and S11 write compressed files that their readers read back."""
+    from spanloom.operators.instances import COLUMNS
+    from spanloom.sources import corpus as src
+    rows = [tuple("x" if c != "seq" else i for c in COLUMNS) for i in range(50)]
+    src.write_tasks(spark.createDataFrame(rows, ", ".join(f"{c} {'bigint' if c == 'seq' else 'string'}" for c in COLUMNS)), f"{tmp_path}/t")
+    items = spark.createDataFrame([(str(i), "a b") for i in range(50)], "doc_id string, source string")
+    src.write_results(items, f"{tmp_path}/r")
+    for read in (src.read_tasks(spark, f"{tmp_path}/t"), src.read_results(spark, f"{tmp_path}/r", array=False)):
+        assert read.count() == 50 and all(p.endswith(".gz") for p in read.inputFiles())
