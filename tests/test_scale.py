@@ -150,6 +150,53 @@ def test_blanks_of_every_kind(spark):
     assert row[0] == row[1] and len(row[0]) < len(every)
 
 
+def _lexicon_prompts(spark):
+    entries = [("word", "d", "", "ran", "A: B", 2), ("whole", "d", "", "ran", "T", 1), ("word", "d", "", "saw", "T", 1), ("argument", "d", "A", "dog", "R", 2), ("argument", "d", "A", "B", "S", 2),
+               ("argument", "d", "T", "dog", "R", 1), ("argument", "e", "T", "cat", "R", 1), ("word", None, "", "ran", "N", 9)]
+    table = spark.createDataFrame(entries, "kind string, dataset string, type string, word string, label string, n long")
+    leads = ["Identify trigger words. ", "Classify trigger types. trigger> saw> ", "Classify trigger types end-to-end. ", "Event trigger and argument extraction. ", "Identify potential arguments. ",
+             "trigger words: ", "Extract arguments for a specific event. argument> R for trigger> ran>=T: ", "Extract arguments for a specific event. argument>  for trigger> ran>=A: B: ", "Nothing asked. "]
+    prompts = [(f"{k}/{ds}", k, i, f"Domain: {ds}. {lead}The dog ran, a cat saw the dog; B ran.") for k in ("epoch/1", "epoch/2") for ds in ("d", "e", "x.y") for i, lead in enumerate(leads)]
+    return table, spark.createDataFrame([*prompts, ("d", "k", -1, ""), ("d", "k", -2, None), (None, "k", -3, prompts[0][3])], "model_key string, k string, i int, input string")
+
+
+def test_small_lexicon_answers_as_a_joined_one(spark, monkeypatch):
+    """Both ways to look words up, for every task; the small one stores and shuffles nothing."""
+    from spanloom.operators import lexicon
+    table, prompts = _lexicon_prompts(spark)
+    small = Lexicon(table).score_rows(prompts)
+    assert "Exchange" not in small._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(lexicon, "IN_ROW", 0)
+    key = lambda r: (str(r.model_key), r.i)
+    got = sorted(small.collect(), key=key)
+    assert got == sorted(Lexicon(table).score_rows(prompts).collect(), key=key)
+    said = {(r.model_key, r.i): r.prediction for r in got}
+    assert said["epoch/1/d", 4] == "argument>dog>=R(A) | argument>dog>=R(T) | argument>B>=S(A)" and said["epoch/1/d", 5] == "ran | saw | ran" and said["epoch/2/d", 5] == "ran | ran"
+
+
+def test_triggers_of_a_row_are_answered_as_their_prompts(spark):
+    """The lists made in the row are what the model says to each extraction prompt; a text is not stored for each trigger."""
+    from spanloom.functions.prompts import extraction_prompt
+    from spanloom.operators.instances import PROMPTS  # noqa: F401
+    from spanloom.ontology import starter_ontology
+    table, _ = _lexicon_prompts(spark)
+    trigger = "array<struct<text:string,type:string,start:int,end:int>>"
+    text = "The dog ran, a cat saw the dog; B ran."
+    ts = [("ran", "T", 0, 1), ("ran", "A: B", 0, 1), (None, "T", 0, 1), ("ran", "A", None, None)]
+    rows = [(ds, "m", str(i), key, text if i else None, ts, ts[:1], [], "") for ds in ("d", "e", "x.y") for i, key in enumerate(("d", "d", "epoch/2/d"))]
+    found = spark.createDataFrame(rows, f"dataset string, model_type string, doc_id string, model_key string, source string, t_pipeline {trigger}, t_e2e {trigger}, t_merged {trigger}, failed string")
+    model, onto = Lexicon(table), starter_ontology()
+    each = found.select("dataset", "doc_id", "model_key", "source", F.posexplode("t_pipeline").alias("pos", "t"))
+    prompts = each.withColumn("input", extraction_prompt(onto, F.col("dataset"), F.col("t.text"), F.col("t.type"), F.col("source")))
+    want = {}
+    for r in model.score_rows(prompts).orderBy("pos").collect():
+        want.setdefault((r.dataset, r.doc_id), []).append(r.prediction)
+    got = model.score_triggers(found, onto, ["dataset", "doc_id"]).collect()
+    assert {(r.dataset, r.doc_id): r.ae_pipeline for r in got} == want and any("dog" in p for p in want["d", "1"])
+    assert all(r.ae_e2e == r.ae_pipeline[:1] and r.ae_merged == [] for r in got)
+    assert {r._errors for r in got if r.dataset == "x.y" and r.source} == {"; ".join(["ValueError: a prompt of no known task"] * 4)}
+
+
 def test_shared_tables_are_compressed(spark):
     """Texts that come again in other columns and rows take little room in the shared folder."""
     import glob
