@@ -218,3 +218,13 @@ def test_sinks_are_compressed(spark, tmp_path):
     src.write_results(items, f"{tmp_path}/r")
     for read in (src.read_tasks(spark, f"{tmp_path}/t"), src.read_results(spark, f"{tmp_path}/r", array=False)):
         assert read.count() == 50 and all(p.endswith(".gz") for p in read.inputFiles())
+
+
+def test_sweep_takes_every_task(spark, tmp_path):
+    """I2 scores the instances of all tasks under each epoch, not those of one task."""
+    from spanloom.plans import catalog
+    from spanloom.plans.q_corpus import expressive
+    text = "\n".join(" ".join(f"{w}{chr(97 + i % 26)}" for w in ("attacked", "villages", "yesterday", "rebels", "marched") * 8) for i in range(6))
+    spark.createDataFrame([(i, text, "en", "web", len(text)) for i in range(12)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.epoch, r.task): r["count"] for r in catalog.QUERIES["i2_sweep"](spark, str(tmp_path)).groupBy("epoch", "task").count().collect()}
+    assert got == {(e, r.task): r["count"] for r in expressive(spark, str(tmp_path)).groupBy("task").count().collect() for e in (1, 2)} and len(got) == 14
